@@ -1 +1 @@
-
+"""Registered queries of the library."""
