@@ -138,10 +138,10 @@ def train(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (cosine with the language's prototype, 0 to 1)."""
     langs = sorted(prototypes)
-    table = np.array([prototypes[k] for k in langs], np.float64).reshape(len(langs), -1)
+    table = np.array([prototypes[k] for k in langs], np.float64) if langs else np.zeros((0, DIMS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = Bundler(table.shape[1] or DIMS)
+        bundle = Bundler(table.shape[1])
         for batch in slices(batches, "text"):
             names, scores = [], []
             for t in batch.column(1).to_pylist():

@@ -45,12 +45,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, doc_id:
     per_key = line.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"), *([F.count_distinct("d").alias("n")] if min_docs > 2 else []))
     frequent = per_key.where("first <> last").where(F.col("n") >= min_docs if min_docs > 2 else F.lit(True)).select("h1", "h2", "first")
     dropped = (
-        line.join(frequent, ["h1", "h2"]).where("d <> first").groupBy("d").agg(F.collect_set("pos").alias("__dropped"))
+        line.join(frequent, ["h1", "h2"]).where("d <> first").groupBy(F.col("d").alias("__dedup_id")).agg(F.collect_set("pos").alias("__dropped"))
     )
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped")), lambda i: F.col("__lines")[i]
     )
-    joined = docs.join(dropped, docs[doc_id] == dropped["d"], "left").drop("d").withColumn("__lines", F.when(F.col("__dropped").isNotNull(), _lines(text)))
+    joined = docs.join(dropped, docs[doc_id] == dropped["__dedup_id"], "left").withColumn("__lines", F.when(F.col("__dropped").isNotNull(), _lines(text)))
     none = F.col("__dropped").isNull()
     return joined.select(
         *[F.when(none, F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns],
