@@ -35,7 +35,7 @@ def soft_loss(x: Column, target: Column, low: Column, high: Column, weight: Colu
     a, b = (F.log(F.greatest(x, F.lit(1e-9))), F.log(target)) if log_space else (x, target)
     scale = F.when(a < b, low).otherwise(high)
     d = F.least(F.abs(a - b) / scale, F.lit(cap))
-    return F.coalesce(weight * (1 - F.exp(-d * d / 2)), F.lit(0.0))
+    return F.when(scale.isNull(), 0.0).otherwise(weight * (1 - F.exp(-d * d / 2)))
 
 
 def pixel_centroid(ratio: Column) -> Column:
