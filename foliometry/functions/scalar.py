@@ -17,6 +17,11 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def judge_transform(dim: Column, value: Column, heavy: tuple[str, ...]) -> Column:
     """log1p for heavy-tailed measures above -1, else the value."""
     return F.when(dim.isin(*heavy) & (value > -1), F.log1p(value)).otherwise(value)

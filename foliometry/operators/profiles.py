@@ -24,7 +24,7 @@ def profile_levels(long: DataFrame) -> DataFrame:
     level = F.when((F.col("gv") == 0) & (F.col("gr") == 0), "venue_role").when(F.col("gv") == 1, "role").otherwise("venue")
     key = F.concat_ws("|", "venue", "role")
     out = g.where((F.col("gv") == 1) | F.col("venue").isNotNull())
-    return out.select(level.alias("level"), key.alias("key"), "dim", "n", "n_papers", r6("mean").alias("mean"), *[r6(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p25", "p50", "p75", "p90"))], confidence_tier(F.col("n_papers")).alias("tier"))
+    return out.select(level.alias("level"), key.alias("key"), "dim", "n", "n_papers", F.round("mean", 7).alias("mean"), *[r6(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p25", "p50", "p75", "p90"))], confidence_tier(F.col("n_papers")).alias("tier"))
 
 
 def robust_block(long: DataFrame, keys: list[str], low_dims: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliometry.functions.scalar import band_loss, r6, robust_z
+from foliometry.functions.scalar import band_loss, corr, r6, robust_z
 from foliometry.operators import evaluation
 from foliometry.operators.windows import average_rank
 
@@ -23,7 +23,7 @@ def spearman(wide: DataFrame, keys: list[str], dims: list[str], least: int) -> D
     for d in dims:
         ranked = average_rank(ranked, keys, d, f"r_{d}")
     pairs = _pairs(dims)
-    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), *[F.corr(f"r_{a}", f"r_{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), *[corr(f"r_{a}", f"r_{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("rho")) for k, (a, b) in enumerate(pairs)])
     return g.where(F.col("n") >= least).select(*keys, "n", F.explode(rows).alias("r")).select(*keys, "r.a", "r.b", "n", "r.rho")
 
@@ -58,7 +58,7 @@ def wide_z(long: DataFrame, block: DataFrame, keys: list[str], dims: list[str])
 def shrunk_correlation(z: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
     """(keys, a, b, n, r, delta, shrunk): correlations and how far they are drawn to the identity."""
     pairs = _pairs(dims)
-    cols = [c for k, (a, b) in enumerate(pairs) for c in (F.corr(a, b).alias(f"r{k}"), F.var_samp(F.col(a) * F.col(b)).alias(f"v{k}"))]
+    cols = [c for k, (a, b) in enumerate(pairs) for c in (corr(a, b).alias(f"r{k}"), F.var_samp(F.col(a) * F.col(b)).alias(f"v{k}"))]
     g = z.groupBy(*keys).agg(F.count("*").alias("n"), *cols)
     total = lambda f: sum((f(k) for k in range(1, len(pairs))), f(0))
     delta = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total(lambda k: F.col(f"v{k}")) / F.col("n") / F.nullif(total(lambda k: F.col(f"r{k}") * F.col(f"r{k}")), F.lit(0.0))))
@@ -66,7 +66,7 @@ def shrunk_correlation(z: DataFrame, keys: list[str], dims: list[str]) -> DataFr
     return g.select(*keys, "n", delta.alias("delta"), F.explode(rows).alias("x")).select(*keys, "x.a", "x.b", "n", "x.r", "delta", ((1 - F.col("delta")) * F.col("x.r")).alias("shrunk"))
 
 
-def inverses(corr: DataFrame, key: str, dims: list[str]) -> DataFrame:
+def inverses(matrix: DataFrame, key: str, dims: list[str]) -> DataFrame:
     """(key, i, j, v): inverse matrices; a group holds the k(k-1)/2 pairs of one stratum."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,7 +77,7 @@ def inverses(corr: DataFrame, key: str, dims: list[str]) -> DataFrame:
         inv = np.linalg.pinv(m) if np.linalg.cond(m) > 1e12 else np.linalg.inv(m)
         return pd.DataFrame({key: rows[key].iloc[0], "i": np.repeat(dims, len(dims)), "j": dims * len(dims), "v": inv.ravel()})
 
-    return corr.select(key, "a", "b", "shrunk").groupBy(key).applyInPandas(run, f"{key} string, i string, j string, v double")
+    return matrix.select(key, "a", "b", "shrunk").groupBy(key).applyInPandas(run, f"{key} string, i string, j string, v double")
 
 
 def chi2_tail(x: Column, k: int) -> Column:
@@ -101,7 +101,7 @@ def mahalanobis(z: DataFrame, inverse: DataFrame, key: str, dims: list[str]) ->
 def pca(wide: DataFrame, dims: list[str]) -> DataFrame:
     """(component, explained, cumulative) from the k x k correlation matrix, which alone reaches the driver."""
     pairs = _pairs(dims)
-    row = wide.dropna(subset=dims).agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
+    row = wide.dropna(subset=dims).agg(F.count("*").alias("n"), *[corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
     m = np.eye(len(dims))
     for k, (a, b) in enumerate(pairs):
         m[dims.index(a), dims.index(b)] = m[dims.index(b), dims.index(a)] = row[f"p{k}"]

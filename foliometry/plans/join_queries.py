@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliometry.functions.scalar import r6
+from foliometry.functions.scalar import corr, r6
 from foliometry.operators import windows
 from foliometry.plans.registry import DIMS, LOGS_SQL, LONG_SQL, PAGES_SQL, Tables, query, with_views
 from foliometry.plans.text_queries import ISSUE, issues
@@ -39,7 +39,7 @@ def paired(t: Tables) -> DataFrame:
     rows = t.pages.select("paper", "page", F.col("price").alias("x"), F.col("net_price").alias("y")).where("x is not null and y is not null")
     ranked = windows.average_rank(windows.average_rank(rows, ["paper"], "x", "rx"), ["paper"], "y", "ry")
     d = F.abs(F.col("x") - F.col("y"))
-    return ranked.groupBy("paper").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"), F.percentile(d, 0.5).alias("median_delta"), F.percentile(d, 0.9).alias("p90_delta"), ((F.count_distinct("x") <= 1) | (F.count_distinct("y") <= 1)).alias("constant"))
+    return ranked.groupBy("paper").agg(F.count("*").alias("n"), corr("rx", "ry").alias("rho"), F.percentile(d, 0.5).alias("median_delta"), F.percentile(d, 0.9).alias("p90_delta"), ((F.count_distinct("x") <= 1) | (F.count_distinct("y") <= 1)).alias("constant"))
 
 
 @query("paired_compare", with_views(PAGES_SQL, PAIR, PAIRED, body="SELECT paper, n, round(rho, 6) AS rho, round(median_delta, 6) AS median_delta, round(p90_delta, 6) AS p90_delta, constant FROM cmp_"))
@@ -115,7 +115,7 @@ def metric_pair_join(t: Tables) -> DataFrame:
     """Pairwise complete correlation of every two measures: one pass over the wide rows, no self-join."""
     pairs = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    one = t.pages.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), r6(F.corr(a, b)).alias("r")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    one = t.pages.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), r6(corr(a, b)).alias("r")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[f"p{k}" for k in range(len(pairs))])).alias("p")).select("p.*")
 
 

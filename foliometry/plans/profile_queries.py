@@ -90,9 +90,9 @@ TOP = """top_ AS (SELECT paper, dim, n, k, mean, avg(value) FILTER (WHERE r <= k
   SELECT paper, dim, value, row_number() OVER (PARTITION BY paper, dim ORDER BY value DESC) AS r, count(*) OVER w AS n, avg(value) OVER w AS mean, CAST(greatest(1, round_even(0.05 * count(*) OVER w, 0)) AS BIGINT) AS k FROM long_ WINDOW w AS (PARTITION BY paper, dim)) GROUP BY paper, dim, n, k, mean)"""
 
 
-@query("topk_mean", with_views(LONG_SQL, TOP, body="SELECT paper, dim, n, k, round(top_mean, 6) AS top_mean FROM top_"))
+@query("topk_mean", with_views(LONG_SQL, TOP, body="SELECT paper, dim, n, k, round(top_mean, 9) AS top_mean FROM top_"))
 def topk_mean(t: Tables) -> DataFrame:
-    return agg.top_share(t.long, ["paper", "dim"]).select("paper", "dim", "n", "k", r6("top_mean").alias("top_mean"))
+    return agg.top_share(t.long, ["paper", "dim"]).select("paper", "dim", "n", "k", F.round("top_mean", 9).alias("top_mean"))
 
 
 @query("pooled_cvar", with_views(LONG_SQL, TOP, body="SELECT paper, dim, round(0.5 * top_mean + 0.5 * mean, 8) AS pooled FROM top_"))
@@ -101,7 +101,7 @@ def pooled_cvar(t: Tables) -> DataFrame:
 
 
 TIER = "CASE WHEN count(DISTINCT paper) >= 36 THEN 'high' WHEN count(DISTINCT paper) >= 16 THEN 'medium' ELSE 'low' END AS tier"
-LEVEL = "dim, count(*) AS n, count(DISTINCT paper) AS n_papers, round(avg(value), 6) AS mean, " + QUANT + ", " + TIER + " FROM long_"
+LEVEL = "dim, count(*) AS n, count(DISTINCT paper) AS n_papers, round(avg(value), 7) AS mean, " + QUANT + ", " + TIER + " FROM long_"
 
 
 @query("profile_levels", with_views(LONG_SQL, body=f"""SELECT 'venue_role' AS level, CAST(venue AS VARCHAR) || '|' || role AS key, {LEVEL} WHERE venue IS NOT NULL GROUP BY venue, role, dim

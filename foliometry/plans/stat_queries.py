@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliometry.functions.scalar import r6
+from foliometry.functions.scalar import corr, r6
 from foliometry.operators import evaluation, profiles, statistics, windows
 from foliometry.plans.profile_queries import BLOCK, LOSS, NORM, TOP, WEIGHT_SQL, WEIGHTS
 from foliometry.plans.registry import DIMS, LONG_SQL, PAGES_SQL, Tables, query, with_views
@@ -299,7 +299,7 @@ def pair_agreement(t: Tables) -> DataFrame:
 def human_rank_corr(t: Tables) -> DataFrame:
     j = t["documents"].select("doc_id", "lang", "n_chars").join(t["labels"].select("doc_id", "quality"), "doc_id")
     r = windows.average_rank(windows.average_rank(j, ["lang"], "n_chars", "rx"), ["lang"], "quality", "ry")
-    return r.groupBy("lang").agg(F.count("*").alias("n"), r6(F.corr("rx", "ry")).alias("rho")).where("n >= 8")
+    return r.groupBy("lang").agg(F.count("*").alias("n"), r6(corr("rx", "ry")).alias("rho")).where("n >= 8")
 
 
 @query("signal_noise_weights", with_views(LONG_SQL, BLOCK, LOSS, NORM, body="""SELECT dim, round(greatest(0.25, least(4.0, c / avg(c) OVER ())), 6) AS weight FROM (SELECT dim, greatest(0.25, least(4.0, (quantile_cont(norm, 0.95) - quantile_cont(norm, 0.5)) / (quantile_cont(norm, 0.9) + 0.05))) AS c FROM norm_ GROUP BY dim)"""))
