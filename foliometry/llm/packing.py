@@ -82,28 +82,28 @@ class Encoder:
         ends = np.cumsum(n)
         return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - n), n)], n
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.place) + len(words) > MOST_WORDS:
+    def _learn(self, words: set[str]) -> bool:
+        """Adds words that are not known; False if the store was full and has been emptied instead."""
+        if self.place and len(self.place) + len(words) > MOST_WORDS:
             self._clear()
+            return False
         known = self.place
-        new = [w for w in words if w not in known]
-        tailed = [w for w in new if w[-1] in ".,!|" and w[:-1].isalpha()]
-        letters = {w for w in new if w.isalpha()} | {w[:-1] for w in tailed}
-        letters = [w for w in letters if w not in known]
+        whole = {w for w in words if w.isalpha()}
+        tailed = [w for w in words - whole if w[-1] in ".,!|" and w[:-1].isalpha()]
+        letters = list(whole.union(b for w in tailed if (b := w[:-1]) not in known))
         for i in range(0, len(letters), 4096):  # runs of letters, each of which ends with one word-end id
             part = letters[i : i + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             assert len(ends) == len(part)
             self._store(part, ids, np.diff(ends, prepend=0))
-        composed = set(tailed)
-        rest = [w for w in new if w not in composed and w not in known] + [c for c in ".,!|" if c not in known]
-        rest = list(dict.fromkeys(rest))
+        rest = list((words - whole).difference(tailed).union(c for c in ".,!|" if c not in known))
         found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
         self._store(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         pairs = np.array([[known[w[:-1]], known[w[-1]]] for w in tailed], np.int64).reshape(-1)
         ids, n = self._gather(pairs)
         self._store(tailed, ids, n.reshape(-1, 2).sum(axis=1))
+        return True
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         whole = {i for i, t in enumerate(texts) if "<|" in t}
@@ -111,9 +111,13 @@ class Encoder:
         flat = [w for ws in words for w in ws if w]
         counts = np.array([len(ws) - ws.count("") for ws in words], np.int64)
         at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(flat) and at.min() < 0:
-            self._learn(set(flat))
-            at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [flat[i] for i in missing]
+            if not self._learn(set(new)):  # the store began anew
+                self._learn(set(flat))
+                new, missing = flat, range(len(flat))
+            at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
         ids, n = self._gather(at)
         bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         end = np.array([self.end_id], np.uint32)
