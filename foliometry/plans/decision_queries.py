@@ -333,3 +333,23 @@ def greedy_unique_pairs(t: Tables) -> DataFrame:
         used = picked.select(F.explode(F.array("a", "b")).alias("paper")).distinct()
         open_ = open_.join(used.withColumnRenamed("paper", "a"), "a", "left_anti").join(used.withColumnRenamed("paper", "b"), "b", "left_anti")
     return picked.select("dim", "a", "b", "gap")
+
+
+@query("accept_verdict", with_views(VERSIONS, body="SELECT n, round(old_median, 6) AS old_median, round(new_median, 6) AS new_median, new_median <= old_median AND new_worst <= old_worst AS accepted FROM (SELECT count(*) AS n, quantile_cont(m1, 0.5) AS old_median, quantile_cont(m1 + 0.1 * m2, 0.5) AS new_median, max(m1) AS old_worst, max(m1 + 0.1 * m2) AS new_worst FROM v_)"))
+def accept_verdict(t: Tables) -> DataFrame:
+    """New scores are accepted only if neither the median nor the worst is worse."""
+    new = F.col("m1") + 0.1 * F.col("m2")
+    g = versions(t).agg(F.count("*").alias("n"), F.percentile("m1", 0.5).alias("a"), F.percentile(new, 0.5).alias("b"), F.max("m1").alias("wa"), F.max(new).alias("wb"))
+    return g.select("n", r6("a").alias("old_median"), r6("b").alias("new_median"), ((F.col("b") <= F.col("a")) & (F.col("wb") <= F.col("wa"))).alias("accepted"))
+
+
+@query("venue_template", """WITH m AS (SELECT p_brand, quantile_cont(p_size, 0.25) AS p25, quantile_cont(p_size, 0.5) AS p50, quantile_cont(p_size, 0.75) AS p75, count(*) AS n FROM part GROUP BY 1),
+o AS (SELECT p_brand, min(p_size) AS official FROM part WHERE p_type = 'PROMO' AND p_size > 20 GROUP BY 1)
+SELECT m.p_brand, coalesce(CAST(official AS DOUBLE), p50) AS target, CASE WHEN official IS NULL THEN 'sample' ELSE 'official' END AS basis, p25 AS low, p75 AS high, n >= 16 AS reliable FROM m LEFT JOIN o USING (p_brand)""")
+def venue_template(t: Tables) -> DataFrame:
+    """One row a venue: the official value, else the sample's median, with the usual range and whether it is reliable."""
+    q = F.percentile("p_size", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    m = t["part"].groupBy("p_brand").agg(q.alias("q"), F.count("*").alias("n"))
+    o = t["part"].where("p_type = 'PROMO' and p_size > 20").groupBy("p_brand").agg(F.min("p_size").cast("double").alias("official"))
+    j = m.join(o, "p_brand", "left")
+    return j.select("p_brand", F.coalesce("official", F.col("q")[1]).alias("target"), F.when(F.col("official").isNull(), "sample").otherwise("official").alias("basis"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"), (F.col("n") >= 16).alias("reliable"))

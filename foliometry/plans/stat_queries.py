@@ -320,3 +320,13 @@ def margin_stats(t: Tables) -> DataFrame:
     both = profiles.weighted_score(pooled, ["paper"], "pooled", WEIGHTS).select("paper", F.col("score").alias("new")).join(profiles.weighted_score(pooled, ["paper"], "pooled", {}).select("paper", F.col("score").alias("old")), "paper")
     d = F.col("new") - F.col("old")
     return both.agg(F.round(F.percentile(d, 0.5), 5).alias("median_margin"), r6(F.avg(F.when(d > 0, 1.0).otherwise(0.0))).alias("positive"), F.count("*").alias("n"))
+
+
+@query("evaluate_docs", with_views(LONG_SQL, BLOCK, LOSS, NORM, TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").replace("value", "norm"), WEIGHT_SQL, "score_ AS (SELECT paper, sum(w * (0.5 * top_mean + 0.5 * mean)) / sum(w) AS score FROM pool_ JOIN w_ USING (dim) GROUP BY paper)", "odd_ AS (SELECT paper, count(*) FILTER (WHERE round(s, 6) > 12) AS anomalous, arg_max(page, (round(s, 6), -page)) AS worst_page FROM (SELECT paper, page, sum(norm) AS s FROM norm_ GROUP BY 1, 2) GROUP BY paper)", body="SELECT paper, round(score, 5) AS score, anomalous, worst_page FROM score_ JOIN odd_ USING (paper)"))
+def evaluate_docs(t: Tables) -> DataFrame:
+    """Documents against the profile: weighted score, anomalous pages and the worst page, all documents in one job."""
+    norm = profiles.normalise(profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"]), ["role"])
+    score = profiles.weighted_score(profiles.pooled(norm, ["paper", "dim"], "norm"), ["paper"], "pooled", WEIGHTS)
+    pages = norm.groupBy("paper", "page").agg(r6(F.sum("norm")).alias("s"))
+    odd = pages.groupBy("paper").agg(F.count_if(F.col("s") > 12).alias("anomalous"), F.max_by("page", F.struct("s", (-F.col("page")).alias("p"))).alias("worst_page"))
+    return score.join(odd, "paper").select("paper", F.round("score", 5).alias("score"), "anomalous", "worst_page")
