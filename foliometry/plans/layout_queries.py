@@ -84,3 +84,47 @@ def whitespace_class(t: Tables) -> DataFrame:
     """Class of each grid row by what covers it, in a fixed order of decisions."""
     rows = cells(t).groupBy("doc", "j").agg(F.count("*").alias("n")).withColumn("last", F.max("j").over(W.partitionBy("doc")))
     return rows.select("doc", "j", F.when(F.col("n") == 0, "band").when(F.col("j") >= F.col("last"), "trailing").when(F.col("n") < 4, "anomalous").otherwise("structural").alias("class"))
+
+
+GRID = geometry.Grid(29, 38, 20.0)
+LEADING = 45.0
+FRAME = "frame_ AS (SELECT doc, j FROM (SELECT DISTINCT doc FROM item_), (SELECT unnest(range(0, 38)) AS j))"
+
+
+def regions(t: Tables) -> DataFrame:
+    """Blank regions of all pages over the full frame; a box's kind comes from the order's priority by rule."""
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "head").when(F.col("o_orderpriority").startswith("2"), "float").when(F.col("o_orderpriority").startswith("3"), "caption").otherwise("text")
+    boxes = items(t).join(t["orders"].select(F.col("o_orderkey").alias("id"), kind.alias("kind")), "id")
+    return geometry.blank_regions(boxes, "doc", "kind", GRID, LEADING)
+
+
+@query("blank_regions_all")
+def blank_regions_all(t: Tables) -> DataFrame:
+    """Connected blank cells of every page and every cell of its frame, with bands; regions under 0.4% are marked."""
+    return regions(t).select("doc", "region", "n_cells", "top", "bottom", "band", "bottom_band", "fragment")
+
+
+@query("whitespace_regions")
+def whitespace_regions(t: Tables) -> DataFrame:
+    """Class and confidence of every blank region."""
+    return regions(t).select("doc", "region", "n_cells", "class", "confidence")
+
+
+@query("whitespace_ratios")
+def whitespace_ratios(t: Tables) -> DataFrame:
+    """Blank share of every page's frame and its five parts by class; a page without blank cells has zeros."""
+    share = lambda c: F.sum(F.when(c, F.col("n_cells")).otherwise(0)) / GRID.cells
+    parts = [share(F.col("class") == c) for c in geometry.CLASSES]
+    found = regions(t).groupBy("doc").agg(share(F.lit(True)).alias("total"), *[p.alias(c) for p, c in zip(parts, geometry.CLASSES, strict=True)])
+    names = ["total", *geometry.CLASSES]
+    return items(t).select("doc").distinct().join(found, "doc", "left").select("doc", *[r6(F.coalesce(c, F.lit(0.0))).alias(c) for c in names])
+
+
+@query("whitespace_rows", with_views(ITEMS, CELLS, FRAME, body="SELECT doc, j, CASE WHEN n = 0 THEN 'band' WHEN j >= last THEN 'trailing' WHEN n < 4 THEN 'anomalous' ELSE 'structural' END AS class FROM (SELECT f.doc, f.j, count(c.i) AS n, max(CASE WHEN count(c.i) > 0 THEN f.j END) OVER (PARTITION BY f.doc) AS last FROM frame_ f LEFT JOIN cell_ c ON c.doc = f.doc AND c.j = f.j GROUP BY f.doc, f.j)"))
+def whitespace_rows(t: Tables) -> DataFrame:
+    """Class of each row of every page's frame, wholly blank ones too, by what covers it."""
+    covered = geometry.row_masks(items(t).withColumn("kind", F.lit("box")), "doc", "kind", GRID).where("row is not null")
+    frame = items(t).select("doc").distinct().select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID.rows - 1).cast("long"))).alias("j"))
+    rows = frame.join(covered.select("doc", F.col("row").alias("j"), F.bit_count("mask").alias("n")), ["doc", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = rows.withColumn("last", F.max(F.when(F.col("n") > 0, F.col("j"))).over(W.partitionBy("doc")))
+    return rows.select("doc", "j", F.when(F.col("n") == 0, "band").when(F.col("j") >= F.col("last"), "trailing").when(F.col("n") < 4, "anomalous").otherwise("structural").alias("class"))
