@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import corr, r6
 from foliometry.operators import windows
+from foliometry.operators.pairs import partners, theta_counts
 from foliometry.plans.registry import DIMS, LOGS_SQL, LONG_SQL, PAGES_SQL, Tables, query, with_views
 from foliometry.plans.text_queries import ISSUE, issues
 
@@ -110,6 +111,25 @@ def pair_theta_join(t: Tables) -> DataFrame:
     return hi.join(lo, on).where(F.col("x.b") - F.col("y.b") >= 0.5 * gap).select(F.col("x.paper").alias("hi_paper"), F.col("x.page").alias("hi"), F.col("y.paper").alias("lo_paper"), F.col("y.page").alias("lo"))
 
 
+def all_losses(t: Tables) -> DataFrame:
+    """Losses of every page, to six places."""
+    keys = [F.col("l_suppkey").alias("paper"), F.col("l_linestatus").alias("col"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page")]
+    return t["lineitem"].groupBy(*keys).agg(r6(F.sum("l_quantity")).alias("a"), r6(F.sum(F.col("l_discount") * 100)).alias("b"))
+
+
+@query("pair_partners")
+def pair_partners(t: Tables) -> DataFrame:
+    """All pairs of pages of one paper, summed up for each page: counts by the dim that differs most, and the best partner."""
+    return partners(all_losses(t), "paper", "page", "col", "a", "b")
+
+
+@query("pair_theta_counts")
+def pair_theta_counts(t: Tables) -> DataFrame:
+    """All pairs of high and low pages of different papers of one column where one dim explains half of the gap, counted for each page."""
+    rows = all_losses(t).withColumn("w", r6(F.col("b") - F.col("a")))
+    return theta_counts(rows, "paper", "col", "a + b >= 58", "a + b < 49.5").select("paper", "col", "page", "side", "n_pairs")
+
+
 @query("metric_pair_join", with_views(PAGES_SQL, body=" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM pages_ WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, a in enumerate(DIMS) for b in DIMS[i + 1 :])))
 def metric_pair_join(t: Tables) -> DataFrame:
     """Pairwise complete correlation of every two measures: one pass over the wide rows, no self-join."""

@@ -91,3 +91,42 @@ def test_region_classes(spark, boxes, want):
     df = spark.createDataFrame([(1, k, *map(float, b)) for k, *b in boxes], "doc long, kind string, x0 double, y0 double, x1 double, y1 double")
     got = geometry.blank_regions(df, "doc", "kind", geometry.Grid(29, 38, 20.0), 45.0).select(F.col("class")).collect()
     assert len(got) == (want != "") and all(r[0] in want.split() for r in got)
+
+
+def all_losses(duck):
+    return duck.execute("SELECT l_suppkey, l_linestatus, l_orderkey * 10 + l_linenumber AS page, round(sum(l_quantity), 6), round(sum(l_discount * 100), 6) FROM lineitem GROUP BY 1, 2, 3 ORDER BY 1, 3, 2").fetchall()
+
+
+def test_pair_partners_of_all_pages(spark, duck):
+    papers = {}
+    for paper, col, page, a, b in all_losses(duck):
+        papers.setdefault(paper, []).append((page, col, a, b))
+    want = set()
+    for paper, pages in papers.items():
+        for page, col, a, b in pages:
+            d = [(max(abs(a - x), abs(b - y)), -q, abs(a - x), abs(b - y)) for q, _, x, y in pages if q != page]
+            lead_b, (far, q, _, _) = sum(r[3] > r[2] for r in d), max(d)
+            want.add((paper, page, col, len(d), len(d) - lead_b, lead_b, -q, far))
+    got = registry.run("pair_partners")(spark, DATA).collect()
+    assert {(r.paper, r.page, r.col, r.n_pairs, r.lead_a, r.lead_b, r.partner, r.lead_delta) for r in got} == want and len(got) == len(want)
+
+
+def test_pair_partners_of_lone_and_equal_pages(spark):
+    from foliometry.operators.pairs import partners
+
+    df = spark.createDataFrame([(1, 5, "F", 1.0, 2.0), (2, 3, "F", 4.0, 4.0), (2, 8, "F", 4.0, 4.0)], "paper long, page long, col string, a double, b double")
+    got = {(r.paper, r.page): (r.n_pairs, r.partner, r.lead, r.lead_delta) for r in partners(df, "paper", "page", "col", "a", "b").collect()}
+    assert got == {(1, 5): (0, None, None, None), (2, 3): (1, 8, "a", 0.0), (2, 8): (1, 3, "a", 0.0)}
+
+
+def test_pair_theta_counts_of_all_pages(spark, duck):
+    rows = all_losses(duck)
+    hi, lo = [r for r in rows if r[3] + r[4] >= 58], [r for r in rows if r[3] + r[4] < 49.5]
+    want = {(r[0], r[1], r[2], side): 0 for side, rs in (("hi", hi), ("lo", lo)) for r in rs}
+    for x in hi:
+        for y in lo:
+            if x[1] == y[1] and x[0] != y[0] and x[4] - y[4] >= 0.5 * (x[3] + x[4] - y[3] - y[4]):
+                want[*x[:3], "hi"] += 1
+                want[*y[:3], "lo"] += 1
+    got = {(r.paper, r.col, r.page, r.side): r.n_pairs for r in registry.run("pair_theta_counts")(spark, DATA).collect()}
+    assert got == want and sum(want.values()) > 0
