@@ -119,6 +119,8 @@ def heading_predicates(t: Tables) -> DataFrame:
     return t.lines.select("doc", "line", ((F.length(x) <= 90) & ~x.rlike("[.!?:;,]$") & x.rlike("^[A-Z0-9]")).alias("heading"), F.lower(x).contains("license").alias("refs"))
 
 
+#: Tasks over which the copies of one body are dealt.
+DEALT = 16
 BODY = r"regexp_replace(regexp_replace(replace({x}, '|', ''), '[#$%&*]{{3}}', '', 'g'), '[ \t\n\r]+', '', 'g')"
 
 
@@ -129,6 +131,18 @@ def content_equal(t: Tables) -> DataFrame:
     return v.alias("a").join(v.alias("b"), (F.col("a.body") == F.col("b.body")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
+@query("content_groups", f"WITH v AS (SELECT doc_id, md5({BODY.format(x='text')}) AS body FROM documents WHERE text IS NOT NULL) SELECT doc_id, first, n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS first, count(*) OVER (PARTITION BY body) AS n FROM v) WHERE n > 1")
+def content_groups(t: Tables) -> DataFrame:
+    """Every version that shares its body with another of any source, with the smallest id of that body and the number of versions.
+
+    A body's versions are dealt over several tasks when they meet its count, so a body with very many copies makes no large task.
+    """
+    v = t["documents"].select("doc_id", F.unhex(F.md5(tx.strip_layout(F.col("text")).cast("binary"))).alias("body")).where("body is not null")
+    bodies = v.groupBy("body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    dealt = bodies.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")).join(dealt, ["body", "part"]).select("doc_id", "first", "n")
+
+
 @query("figure_fingerprint", with_views(LINES_SQL, body="SELECT doc, sha256(string_agg(regexp_replace(lower(text), '[^a-z]', '', 'g'), '|' ORDER BY line)) AS print FROM lines_ WHERE length(text) < 60 GROUP BY doc"))
 def figure_fingerprint(t: Tables) -> DataFrame:
     """Hash of a document's short blocks in order."""

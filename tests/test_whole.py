@@ -130,3 +130,10 @@ def test_pair_theta_counts_of_all_pages(spark, duck):
                 want[*y[:3], "lo"] += 1
     got = {(r.paper, r.col, r.page, r.side): r.n_pairs for r in registry.run("pair_theta_counts")(spark, DATA).collect()}
     assert got == want and sum(want.values()) > 0
+
+
+def test_content_groups_cross_sources(spark, tmp_path):
+    rows = [(1, "a", "x  y"), (2, "b", "xy"), (3, "c", "x y"), (4, "a", "z"), (5, "b", None), (6, "b", None), (7, "a", "w"), (8, "c", "w")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.run("content_groups")(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (7, 7, 2), (8, 7, 2)}
