@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliometry.operators import sampling
+
 #: A neighbour search compares blocks of at most so many rows a task.
 BLOCK = 2000
 
@@ -41,7 +43,7 @@ def bootstrap_counts(papers: DataFrame, paper: str, rounds: int, seed: int = 23)
     many pages the papers have: pages are weighted by mult and never copied.
     """
     spark = papers.sparkSession
-    numbered = papers.select(paper, (F.row_number().over(W.orderBy(paper)) - 1).alias("idx"))
+    numbered = sampling.numbered(papers.select(paper), [paper]).select(paper, F.col("__rn").alias("idx"))
     n = numbered.count()
     draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("iter"), (F.col("id") % n).alias("draw"))
     idx = F.pmod((F.col("iter") * 1103515 + F.col("draw") * 12345 + seed) * 7919 % 2147483647 * 48271 % 2147483647, F.lit(n))

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import band_loss, corr, r6, robust_z
-from foliometry.operators import evaluation
+from foliometry.operators import evaluation, sampling
+from foliometry.operators.lineage import cut
 from foliometry.operators.windows import average_rank
 
 
@@ -111,35 +112,69 @@ def pca(wide: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def bootstrap_median(long: DataFrame, paper: str, keys: list[str], rounds: int, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the median over resampled papers; null below five papers."""
-    papers = long.select(paper).distinct()
-    counts = evaluation.bootstrap_counts(papers, paper, rounds)
-    values = long.groupBy(paper, *keys, "value").agg(F.count("*").alias("c"))
-    medians = values.join(counts, paper).groupBy("iter", *keys).agg(F.percentile("value", 0.5, F.col("c") * F.col("mult")).alias("m"))
-    n = long.groupBy(*keys).agg(F.count_distinct(paper).alias("papers"), r6(F.percentile("value", 0.5)).alias("p50"))
+    """Percentile interval of the median over resampled papers; null below five papers.
+
+    Only values near the group's median meet the resamples one by one; those below are counts of their paper. Where a
+    resample's median is not among the near values the range is widened until it is, so the medians are exact.
+    """
+    values = cut(long.groupBy(paper, *keys, "value").agg(F.count("*").alias("c")))
+    counts = cut(evaluation.bootstrap_counts(cut(values.select(paper).distinct()), paper, rounds))
+    n = cut(values.groupBy(*keys).agg(F.count_distinct(paper).alias("papers"), F.sum("c").alias("pages"), r6(F.percentile("value", 0.5, F.col("c"))).alias("p50")))
+    reach = min(0.5, 2.5 / (n.agg(F.min("pages")).first()[0] or 1) ** 0.5)
+    while True:
+        medians, inside = _near_medians(values, counts, paper, keys, reach)
+        if inside or reach >= 0.5:
+            break
+        reach = min(0.5, reach * 3)
     at = lambda q: F.get(F.array_sort(F.collect_list("m")), F.lit(min(rounds - 1, int(rounds * q))))
     ci = medians.groupBy(*keys).agg(at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))
     some = F.col("papers") >= 5
     return n.join(ci, keys).select(*keys, "p50", r6(F.when(some, F.col("lo"))).alias("ci_lo"), r6(F.when(some, F.col("hi"))).alias("ci_hi"))
 
 
-def separability(rows: DataFrame, item: str, label: str, dims: list[str], permutations: int) -> DataFrame:
-    """Accuracy, majority baseline and permutation p: neighbours are found once, labels are dealt anew each time."""
+def _near_medians(values: DataFrame, counts: DataFrame, paper: str, keys: list[str], reach: float) -> tuple[DataFrame, bool]:
+    """(iter, keys, m): each resample's median, found among values within `reach` of the middle rank; and whether all were there."""
+    ends = values.groupBy(*keys).agg(F.percentile_approx("value", F.array(F.lit(max(0.0, 0.5 - reach)), F.lit(min(1.0, 0.5 + reach))), 10_000).alias("e"))
+    if reach >= 0.5:
+        ends = values.groupBy(*keys).agg(F.array(F.min("value"), F.max("value")).alias("e"))
+    placed = values.join(F.broadcast(ends), keys)
+    low, near = F.col("value") < F.col("e")[0], (F.col("value") >= F.col("e")[0]) & (F.col("value") <= F.col("e")[1])
+    sums = placed.groupBy(paper, *keys).agg(F.sum(F.when(low, F.col("c")).otherwise(0)).alias("low"), F.sum("c").alias("all"))
+    base = sums.join(counts, paper).groupBy("iter", *keys).agg(F.sum(F.col("low") * F.col("mult")).alias("low"), F.sum(F.col("all") * F.col("mult")).alias("all"))
+    weight = placed.where(near).join(counts, paper).groupBy("iter", *keys, "value").agg(F.sum(F.col("c") * F.col("mult")).alias("k"))
+    seen = weight.withColumn("cum", F.sum("k").over(W.partitionBy("iter", *keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0)))
+    first = lambda r: F.min(F.when(F.col("low") + F.col("cum") > r, F.col("value")))
+    r0, r1 = F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2)
+    found = base.join(seen, ["iter", *keys], "left").groupBy("iter", *keys).agg(first(r0).alias("m0"), first(r1).alias("m1"), F.max(F.col("low") > r0).alias("under"))
+    found = cut(found)
+    inside = not found.where("m0 is null or m1 is null or under").take(1)
+    return found.select("iter", *keys, ((F.col("m0") + F.col("m1")) / 2).alias("m")), inside
+
+
+def separability(rows: DataFrame, item: str, label: str, dims: list[str], permutations: int, least: int = 20) -> DataFrame:
+    """Accuracy, majority baseline and permutation p over labels of `least` items or more; all null where fewer than two labels remain.
+
+    Neighbours are found once, labels are dealt anew each time. Items are numbered by range over all permutations at once.
+    """
+    large = rows.groupBy(label).count().where(F.col("count") >= least).select(label)
+    rows = cut(rows.join(large, label, "left_semi"))
     near = evaluation.nearest(rows, item, label, dims).select(item, "near_item")
-    n = rows.count()
-    numbered = rows.select(item, label)
-    shuffled = numbered.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = F.when(F.col("perm") == 0, F.col(item)).otherwise(F.pmod(F.xxhash64("perm", item), F.lit(1 << 40)))
-    target = shuffled.withColumn("k", F.row_number().over(W.partitionBy("perm").orderBy(order, item)))
-    source = shuffled.withColumn("k", F.row_number().over(W.partitionBy("perm").orderBy(item))).select("perm", "k", F.col(label).alias("given"))
-    dealt = target.join(source, ["perm", "k"]).select("perm", item, "given")
+    n, enough = rows.count(), rows.select(label).distinct().count() >= 2
+    given = sampling.numbered(rows.select(item, label), [item]).select(item, F.col(label).alias("given"), F.col("__rn").alias("k"))
+    given = cut(given)
+    mixed = given.select(item, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))).alias("perm"))
+    mixed = mixed.withColumn("o", F.col("perm") * (1 << 40) + F.pmod(F.xxhash64("perm", item), F.lit(1 << 40)))
+    target = sampling.numbered(mixed, ["o", item]).select(item, "perm", (F.col("__rn") - (F.col("perm") - 1) * n).alias("k"))
+    target = target.unionByName(given.select(item, F.lit(0).cast("long").alias("perm"), "k"))
+    dealt = cut(target.join(given.select("k", "given"), "k").select("perm", item, "given"))
     a = dealt.join(near, item)
     b = dealt.select("perm", F.col(item).alias("near_item"), F.col("given").alias("near_given"))
     acc = a.join(b, ["perm", "near_item"]).groupBy("perm").agg((F.count_if(F.col("given") == F.col("near_given")) / n).alias("acc"))
     top = rows.groupBy(label).count().agg((F.max("count") / n).alias("majority"))
     out = acc.withColumn("real", F.max(F.when(F.col("perm") == 0, F.col("acc"))).over(W.partitionBy()))
     p = (1 + F.count_if((F.col("perm") > 0) & (F.col("acc") >= F.col("real")))) / (1 + permutations)
-    return out.agg(r6(F.max("real")).alias("accuracy"), r6(p).alias("p_value")).join(top).withColumn("majority", r6("majority"))
+    told = lambda c: F.when(F.lit(enough), r6(c))
+    return out.agg(told(F.max("real")).alias("accuracy"), told(p).alias("p_value")).join(top).withColumn("majority", told(F.col("majority")))
 
 
 def ladder(block: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def fp_protocol(t: Tables) -> DataFrame:
 @query("cluster_bootstrap_ci")
 def cluster_bootstrap_ci(t: Tables) -> DataFrame:
     """Interval of the median by resampling papers: pages are weighted by how often their paper is drawn."""
-    return statistics.bootstrap_median(t.long.where("dim in ('quantity', 'discount')"), "paper", ["role", "dim"], 60)
+    return statistics.bootstrap_median(t.long, "paper", ["role", "dim"], 300)
 
 
 @query("paper_features", with_views(LONG_SQL, body="SELECT paper, dim, round(median, 6) AS median, round((median - quantile_cont(median, 0.5) OVER (PARTITION BY dim)) / CASE WHEN quantile_cont(median, 0.75) OVER (PARTITION BY dim) - quantile_cont(median, 0.25) OVER (PARTITION BY dim) < 1e-9 THEN 1.0 ELSE quantile_cont(median, 0.75) OVER (PARTITION BY dim) - quantile_cont(median, 0.25) OVER (PARTITION BY dim) END, 5) AS z FROM (SELECT paper, dim, quantile_cont(value, 0.5) AS median FROM long_ GROUP BY paper, dim HAVING count(*) >= 3)"))
@@ -125,9 +125,9 @@ def paper_features(t: Tables) -> DataFrame:
 
 @query("separability_test")
 def separability_test(t: Tables) -> DataFrame:
-    """Leave-one-out accuracy of venues by nearest paper, and its permutation p value."""
+    """Leave-one-out accuracy of venues of 20 papers or more by nearest paper, and its permutation p value."""
     rows = t["lineitem"].join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("item"), (F.col("s_nationkey") % 5).cast("long").alias("label")).agg(F.avg("l_quantity").alias("x"), (F.avg("l_discount") * 100).alias("y"))
-    return statistics.separability(rows, "item", "label", ["x", "y"], 50)
+    return statistics.separability(rows, "item", "label", ["x", "y"], 100)
 
 
 @query("stability_spread", with_views(LONG_SQL, body="SELECT dim, round(abs(b - a) / nullif(abs(a), 0), 6) AS drift, abs(b - a) / nullif(abs(a), 0) < 0.05 AS ok FROM (SELECT dim, avg(value) FILTER (WHERE page % 2 = 0) AS a, avg(value) FILTER (WHERE page % 2 = 1) AS b FROM long_ GROUP BY dim HAVING count(*) >= 3)"))

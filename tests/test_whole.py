@@ -137,3 +137,35 @@ def test_content_groups_cross_sources(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in registry.run("content_groups")(spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (7, 7, 2), (8, 7, 2)}
+
+
+def test_bootstrap_interval_matches_resampling(spark):
+    from foliometry.operators import evaluation, statistics
+
+    dice = random.Random(3)
+    rows = [(p, d, round(dice.gauss(p % 7, 2), 3)) for d in ("x", "y") for p in range(60) for _ in range(dice.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "paper long, dim string, value double")
+    drawn = {}
+    for r in evaluation.bootstrap_counts(df.select("paper").distinct(), "paper", 40).collect():
+        drawn.setdefault(r.iter, {})[r.paper] = r.mult
+    got = {r.dim: (r.ci_lo, r.ci_hi) for r in statistics.bootstrap_median(df, "paper", ["dim"], 40).collect()}
+    for d in ("x", "y"):
+        m = sorted(statistics.np.median([v for p, e, v in rows if e == d for _ in range(c.get(p, 0))]) for c in drawn.values())
+        assert len(m) == 40 and all(abs(a - b) < 2e-6 for a, b in zip(got[d], (m[1], m[39]), strict=True))
+
+
+def test_bootstrap_covers_all_dims(spark):
+    from foliometry.plans.registry import DIMS
+
+    rows = registry.run("cluster_bootstrap_ci")(spark, DATA).collect()
+    assert {(r.role, r.dim) for r in rows} == {(r, d) for r in "ANR" for d in DIMS} and all(r.ci_lo <= r.p50 <= r.ci_hi for r in rows)
+
+
+def test_separability_leaves_small_venues_out(spark):
+    from foliometry.operators import statistics
+
+    rows = [(i, i % 2, float(i % 2) * 100 + i * 0.01, 0.0) for i in range(60)] + [(100 + i, 2, 50.0 + i, 0.0) for i in range(19)]
+    df = spark.createDataFrame(rows, "item long, label long, x double, y double")
+    r = statistics.separability(df, "item", "label", ["x", "y"], 100).first()
+    assert (r.accuracy, r.p_value, r.majority) == (1.0, round(1 / 101, 6), 0.5)
+    assert tuple(statistics.separability(df.where("label = 2"), "item", "label", ["x", "y"], 5).first()) == (None, None, None)
