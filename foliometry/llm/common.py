@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,24 @@ BLANKS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Scratch tables written so far, in order, so that an operator can drop those that its result does not read.
+_written: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a fresh one."""
+    """The shared folder named by spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is set, a fresh local folder serves if all tasks run in this process; on a cluster that is an error, as
+    executors would write where nobody reads.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = getattr(spark, "_foliometry_scratch", None)
-        if folder is None:
-            folder = spark._foliometry_scratch = tempfile.mkdtemp(prefix="spark-")
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else getattr(spark, "_foliometry_scratch", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = spark._foliometry_scratch = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
@@ -35,7 +47,47 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/foliometry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._foliometry_path = path
+    return table
+
+
+def mark() -> int:
+    """A point to which release() goes back."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *needed: DataFrame) -> None:
+    """Deletes the scratch tables written after the mark, but for the needed ones (frames as materialize() gave them)."""
+    kept = {df._foliometry_path for df in needed}
+    for path in [p for p in _written[since:] if p not in kept]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _written.remove(path)
+
+
+#: Up to so many ids (8 bytes each) are broadcast; beyond it the rows are shuffled to them.
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """rows without those whose keys stand in gone (distinct, one column a key). Rows with a null key stay.
+
+    Few keys go to the rows, which then are not shuffled; many are joined by shuffle.
+    """
+    gone = materialize(gone.toDF(*[f"__gone{k}" for k in range(len(keys))]), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    match = reduce(Column.__and__, [key == few[f"__gone{k}"] for k, key in enumerate(keys)])
+    return rows.join(few, match, "left_anti")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def lower_ascii(c: Column) -> Column:
@@ -55,6 +107,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     after each round, so lineage stays short, and only the count of changed labels reaches the driver.
     Nodes without links have no row. An empty link table gives an empty result.
     """
+    spark, since = edges.sparkSession, mark()
     there, back = edges.select("a", "b"), edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = materialize(there.union(back).where("a <> b").distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
@@ -64,7 +117,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("node").alias("best"), F.col("component").alias("far"))
         moved = materialize(step.join(jump, "best").select("node", F.least("best", "far").alias("new"), "component"), "labels")
         labels = moved.select("node", F.col("new").alias("component"))
-        if not moved.where("new <> component").take(1):
+        labels._foliometry_path = moved._foliometry_path
+        done = not moved.where("new <> component").take(1)
+        release(spark, since, labels, *([] if done else [both]))
+        if done:
             return labels
     raise RuntimeError("components did not settle")
 

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliometry.llm.common import lower_ascii
+from foliometry.llm.common import lower_ascii, without
 
 #: Word offsets of each seed. Six words count under each mask; 2 to 4 positions between them are ignored.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 8), (0, 2, 3, 4, 7, 9))
@@ -109,9 +109,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, min_iden
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark."""
-    return docs.join(leaks(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """docs without the rows whose text holds a passage of the benchmark; texts are told apart by hash, ids play no part."""
+    key = F.xxhash64(text)
+    gone = leaks(docs.select(key.alias("doc_id"), F.col(text).alias("text")), benchmark, **how).select("doc_id").distinct()
+    return without(docs, gone, key)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

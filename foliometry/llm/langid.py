@@ -5,14 +5,15 @@ vectors, each permuted (rotated) by its place in the trigram; a text's vector bu
 trigrams; a language's prototype bundles texts known to be of it. A text is given the language of the prototype with the
 largest cosine.
 
-Training takes a bounded sample of labelled texts (max_train_docs, chosen by a hash of the id); each task adds up the
-vectors of its own texts, and a partial sum per language and task is all that is shuffled. The prototypes (one vector
-of `dims` numbers per language, most_langs at most) reach the driver and go out to the tasks with the scoring function.
-Scoring reads every text once, in whole, and shuffles nothing.
+Training takes a bounded sample of labelled texts of each language (max_train_docs, chosen by a hash of the text), so a rare
+language is learned from all its texts however large the others are; each task adds up the vectors of its own texts, and a
+partial sum per language and task is all that is shuffled. The prototypes (one vector of `dims` numbers per language,
+MOST_LANGS at most) reach the driver and go out to the tasks with the scoring function. Scoring reads every text once, in
+whole, and shuffles nothing; the filter of the pipeline passes whole rows through, so ids play no part in it.
 
 Defined results: und with score 0 where the text is null or has no letter, or where nothing was learned; a null lang
-is not learned from; equal cosines go to the first language in sorted order; repeated rows are scored alike; a
-cosine below 0 scores 0.
+is not learned from; equal cosines go to the first language in sorted order; repeated rows are scored alike, each row by
+its own text, whatever its id; a null id stays null; a cosine below 0 scores 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from foliometry.llm.common import M1, fold, mix, slices
 
-DIMS, MAX_TRAIN_DOCS, MOST_LANGS = 512, 20_000, 1000
+#: Numbers of a vector, texts learned from in each language, and languages.
+DIMS, MAX_TRAIN_DOCS, MOST_LANGS = 1024, 5_000, 1000
 #: Trigram vectors that a task keeps; 4 * DIMS bytes each.
 KEPT = 30_000
 EDGE = 32
+#: The cosine of unrelated texts is about normal with deviation 1 / sqrt(DIMS); three deviations are noise.
+MIN_SCORE = 3 / DIMS**0.5
 
 
 def letter_vectors(points: np.ndarray, dims: int) -> np.ndarray:
@@ -113,50 +117,63 @@ def _sums(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 v = bundle(text)
                 if v is not None:
                     sums[lang] = sums.get(lang, 0) + v / max(np.linalg.norm(v), 1e-9)
-                    if len(sums) > MOST_LANGS:
-                        raise ValueError(f"more than {MOST_LANGS} languages")
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "total": [s.astype(float).tolist() for s in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("total", pa.list_(pa.float64()))]))
 
     return run
 
 
-def train(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", dims: int = DIMS, max_train_docs: int = MAX_TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """Unit prototypes by language, from about max_train_docs of the usable rows at most."""
-    rows = docs.where(usable & F.col(lang).isNotNull())
-    n = rows.count()
-    if n > max_train_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(8), doc_id), F.lit(1_000_000)) < int(1_000_000 * max_train_docs / n))
-    sums = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_sums(dims), "lang string, total array<double>")
-    added = sums.select("lang", F.posexplode("total").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
-    found = added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("v")).select("lang", "v.v").orderBy("lang").limit(MOST_LANGS + 1).collect()
-    if len(found) > MOST_LANGS:
+def train(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", dims: int = DIMS, max_train_docs: int = MAX_TRAIN_DOCS) -> dict[str, np.ndarray]:
+    """Unit prototypes by language, from about max_train_docs of the usable rows of each language at most."""
+    rows = docs.where(usable & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
+    if large := {r["lang"]: int(1_000_000 * max_train_docs / r["count"]) for r in counts if r["count"] > max_train_docs}:
+        rate = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("lang")]
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(1_000_000)) < F.coalesce(rate, F.lit(1_000_000)))
+    sums = rows.mapInArrow(_sums(dims), "lang string, total array<double>")
+    added = sums.select("lang", F.posexplode("total").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    found = added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("v")).select("lang", "v.v").collect()
     return {r.lang: np.array(r.v) / max(np.linalg.norm(r.v), 1e-9) for r in found}
 
 
+class Scorer:
+    """Languages and cosines of the texts of a batch."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]) -> None:
+        self.langs = sorted(prototypes)
+        self.table = np.array([prototypes[k] for k in self.langs], np.float64) if self.langs else np.zeros((0, DIMS))
+
+    def start(self) -> Bundler:
+        return Bundler(self.table.shape[1])
+
+    def __call__(self, bundle: Bundler, texts: pa.Array) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        for t in texts.to_pylist():
+            v = bundle(t) if self.langs else None
+            if v is None:
+                names.append("und")
+                scores.append(0.0)
+            else:
+                cosines = self.table @ v / max(float(np.linalg.norm(v)), 1e-9)
+                best = int(np.argmax(cosines))
+                names.append(self.langs[best])
+                scores.append(float(min(1.0, max(0.0, cosines[best]))))
+        return names, scores
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (cosine with the language's prototype, 0 to 1)."""
-    langs = sorted(prototypes)
-    table = np.array([prototypes[k] for k in langs], np.float64) if langs else np.zeros((0, DIMS))
+    score = Scorer(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = Bundler(table.shape[1])
+        bundle = score.start()
         for batch in slices(batches, "text"):
-            names, scores = [], []
-            for t in batch.column(1).to_pylist():
-                v = bundle(t) if langs else None
-                if v is None:
-                    names.append("und")
-                    scores.append(0.0)
-                else:
-                    cosines = table @ v / max(float(np.linalg.norm(v)), 1e-9)
-                    best = int(np.argmax(cosines))
-                    names.append(langs[best])
-                    scores.append(float(min(1.0, max(0.0, cosines[best]))))
+            names, scores = score(bundle, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -165,8 +182,22 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """docs without those that language identification rejects: no letter, or no likeness to any language."""
-    prototypes = train(docs, F.lit(True))
-    out = predict(docs, prototypes).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
+    """docs without those that language identification rejects: no letter, or no likeness to any language.
+
+    Where nothing was learned, only texts without a letter go.
+    """
+    score = Scorer(train(docs, F.lit(True), text=text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle = score.start()
+        for batch in slices(batches, text):
+            column = batch.column(batch.schema.get_field_index(text))
+            if score.langs:
+                names, scores = score(bundle, column)
+                stays = [n != "und" and s >= min_score for n, s in zip(names, scores, strict=True)]
+            else:
+                stays = [any(map(str.isalpha, t or "")) for t in column.to_pylist()]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

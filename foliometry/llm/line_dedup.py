@@ -4,12 +4,15 @@ Lines are exploded, normalised (blanks stripped at both ends, A-Z lower-cased) a
 documents per hash are counted with a partial aggregate before the shuffle; lines over the threshold go,
 except in the smallest document that holds them; the others are put together again by position.
 
-Only hashes and positions are shuffled for the count. The join back to the lines is one that AQE can split where
-one line is very frequent, and each document's text is shuffled once, to meet its list of dropped positions.
+Lines are hashed once, to a table of hashes and positions. The join from repeated hashes back to the lines has two parts: a
+hash that holds more than one line in HOT of all is one of HOT hashes at most, so these are broadcast and their lines stay
+where they are; every other hash is too small to fill a task. Each text is shuffled once at most, to meet its own list of
+dropped positions; few such lists are broadcast instead.
 
 Defined results: a null or empty text has one empty line and keeps it; a key shorter than min_chars code points never
-goes; a line that repeats inside one document only stays; repeated document ids count as one document and are each
-treated alike; an empty table gives an empty result; other columns pass through.
+goes; a line that repeats inside one document only stays; rows of the same id count as one document, and each of them loses
+its own lines; a row with a null id counts for no document and keeps all its lines; an empty table gives an empty
+result; other columns pass through, and the two new ones get underscores before their names where a column has them.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliometry.llm.common import lower_ascii
+from foliometry.llm.common import free_name, lower_ascii, mark, materialize, release
 
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -27,42 +30,62 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANK_CHARS)))
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+#: A hash with more than one line in so many is joined by broadcast; there are at most so many of them.
+HOT = 2_000
+#: Positions of dropped lines that are broadcast (with ids and hashes, some 40 bytes each at most).
+BROADCAST_LINES = 200_000
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `text` replaced by the lines that stay and two more columns, __n_lines and __n_dropped.
+    """docs with `text` replaced by the lines that stay and two more columns at the end, n_lines and n_dropped.
 
     min_docs: a key found in at least so many distinct documents loses its lines, except in the smallest id.
     """
+    spark, since = docs.sparkSession, mark()
+    # a row is known by its id and its text's hash: rows alike in both lose the same lines
+    row_key = [F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
     line = (
-        docs.select(F.col(doc_id).alias("d"), F.posexplode(_lines(text)).alias("pos", "line"))
-        .select("d", "pos", line_key(F.col("line")).alias("key"))
+        docs.where(F.col(doc_id).isNotNull() & (F.char_length(text) >= min_chars))
+        .select(*row_key, F.posexplode(_lines(F.col(text))).alias("pos", "line"))
+        .select("d", "t1", "t2", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("d", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("d", "t1", "t2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    per_key = line.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"), *([F.count_distinct("d").alias("n")] if min_docs > 2 else []))
-    frequent = per_key.where("first <> last").where(F.col("n") >= min_docs if min_docs > 2 else F.lit(True)).select("h1", "h2", "first")
-    dropped = (
-        line.join(frequent, ["h1", "h2"]).where("d <> first").groupBy(F.col("d").alias("__dedup_id")).agg(F.collect_set("pos").alias("__dropped"))
+    line = materialize(line, "lines")
+    per_key = line.groupBy("h1", "h2").agg(
+        F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("lines"), *([F.count_distinct("d").alias("n")] if min_docs > 2 else [])
     )
-    kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped")), lambda i: F.col("__lines")[i]
-    )
-    joined = docs.join(dropped, docs[doc_id] == dropped["__dedup_id"], "left").withColumn("__lines", F.when(F.col("__dropped").isNotNull(), _lines(text)))
-    none = F.col("__dropped").isNull()
+    frequent = per_key.where("first <> last").where(F.col("n") >= min_docs if min_docs > 2 else F.lit(True)).select("h1", "h2", "first", "lines")
+    frequent = materialize(frequent, "frequent")
+    hot = F.col("lines") > F.lit(max(1, line.count() // HOT))
+    gone = [line.join(side, ["h1", "h2"]).where("d <> first").select("d", "t1", "t2", "pos") for side in (F.broadcast(frequent.where(hot)), frequent.where(~hot))]
+    dropped = gone[0].union(gone[1]).groupBy("d", "t1", "t2").agg(F.collect_set("pos").alias("dropped"))
+    dropped = materialize(dropped.toDF("__d", "__t1", "__t2", "__dropped"), "dropped")
+    release(spark, since, dropped)
+    size = dropped.agg(F.sum(F.size("__dropped") + 1)).first()[0] or 0
+    if size <= BROADCAST_LINES:
+        dropped = F.broadcast(dropped)
+    # the row goes along as one value, so no name of its columns can clash
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *[c.alias(f"__{n}") for c, n in zip(row_key, ("d", "t1", "t2"), strict=True)])
+    joined = rows.join(dropped, ["__d", "__t1", "__t2"], "left")
+    own, gone_at = F.col("__row")[text], F.col("__dropped")
+    joined = joined.withColumn("__lines", F.when(gone_at.isNotNull(), _lines(own)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone_at), lambda i: F.col("__lines")[i])
+    n_lines = F.when(gone_at.isNull(), F.char_length(F.regexp_replace(F.coalesce(own, F.lit("")), "[^\n]", "")) + 1).otherwise(F.size("__lines"))
     return joined.select(
-        *[F.when(none, F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.when(none, F.char_length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^\n]", "")) + 1).otherwise(F.size("__lines")).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__n_dropped"),
-    )
+        *[F.when(gone_at.isNull(), own).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns],
+        n_lines.cast("long").alias(free_name(docs, "n_lines")), F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias(free_name(docs, "n_dropped")),
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:
     """The digest columns of the query: doc_id, n_lines, n_dropped, kept_sha256."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

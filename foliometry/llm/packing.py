@@ -17,10 +17,11 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 from typing import Any
 
 import numpy as np
@@ -48,11 +49,17 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
+def _stays_letters(word: str) -> bool:
+    """Whether a run of letters is one after normalisation, which takes some (U+0130, U+095E) apart into letter and mark."""
+    return word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class Encoder:
     """Token ids of texts. The vocabulary's rules never reach over a blank, so ids are looked up word by word.
 
-    That holds for tokenizers that drop white space, lower-case, normalise each character by itself and mark word ends
-    with </w>; texts that may hold a special token's string go to the tokenizer whole.
+    That holds for tokenizers that drop white space, whose normalisation never joins characters over a blank and that mark
+    word ends with </w>. A word may have several word ends (normalisation can take a letter apart into a letter and a mark).
+    Texts that may hold a special token's string go to the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -76,6 +83,11 @@ class Encoder:
         self.used += len(ids)
         self.place.update(zip(words, range(n, n + k), strict=True))
 
+    def _store_each(self, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._store(words, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the known words at these places, one word after the other, and each word's number of ids."""
         n = self.lengths[at]
@@ -88,18 +100,19 @@ class Encoder:
             self._clear()
             return False
         known = self.place
-        whole = {w for w in words if w.isalpha()}
-        tailed = [w for w in words - whole if w[-1] in ".,!|" and w[:-1].isalpha()]
+        whole = {w for w in words if w.isalpha() and _stays_letters(w)}
+        tailed = [w for w in words - whole if w[-1] in ".,!|" and (b := w[:-1]).isalpha() and _stays_letters(b)]
         letters = list(whole.union(b for w in tailed if (b := w[:-1]) not in known))
         for i in range(0, len(letters), 4096):  # runs of letters, each of which ends with one word-end id
             part = letters[i : i + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
-            assert len(ends) == len(part)
-            self._store(part, ids, np.diff(ends, prepend=0))
+            if len(ends) == len(part):
+                self._store(part, ids, np.diff(ends, prepend=0))
+            else:  # a letter of these that normalisation takes apart ends a word early: each word by itself
+                self._store_each(part)
         rest = list((words - whole).difference(tailed).union(c for c in ".,!|" if c not in known))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        self._store(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        self._store_each(rest)
         pairs = np.array([[known[w[:-1]], known[w[-1]]] for w in tailed], np.int64).reshape(-1)
         ids, n = self._gather(pairs)
         self._store(tailed, ids, n.reshape(-1, 2).sum(axis=1))
@@ -142,47 +155,54 @@ class Packer:
         self.left, self.offset = self.limit.copy(), 0
         self.keys: list[Any] = []
         self.starts: list[int] = []
-        self.sizes = np.zeros((0, 3))
+        self.table = np.zeros((WINDOW + 1, 3))  # sizes of the waiting examples, in the order of keys
         self.pieces: list[tuple[Any, int, int, int, int]] = []
 
     def add(self, key: Any, tokens: int, loss: int) -> None:
         """A new example; the window is brought down to its size first."""
         if not self.cut and (tokens > self.limit[0] or loss > self.limit[2]):
             raise ValueError(f"an example of {tokens} tokens, {loss} with loss, fits in no sequence")
+        self.table[len(self.keys)] = tokens, 1, loss
         self.keys.append(key)
         self.starts.append(0)
-        self.sizes = np.vstack([self.sizes, [tokens, 1, loss]])
         while len(self.keys) > WINDOW:
             self._place()
 
+    @property
+    def sizes(self) -> np.ndarray:
+        return self.table[: len(self.keys)]
+
     def _new(self) -> None:
         self.sequence += 1
         self.left, self.offset = self.limit.copy(), 0
 
     def _place(self, most: int | None = None) -> None:
-        fits = (self.sizes <= self.left).all(axis=1)
-        gain = (self.sizes / self.limit) @ (self.left / self.limit)
+        sizes = self.sizes
+        fits = (sizes <= self.left).all(axis=1)
+        gain = sizes @ (self.left / self.limit**2)
         if fits.any():
             i = int(np.argmax(np.where(fits, gain, -1)))
-            n = int(self.sizes[i, 0])
+            n = int(sizes[i, 0])
         elif self.cut and (self.left >= 1).all():
             i = int(np.argmax(gain))
-            n = int(min(self.left[0], self.left[2], self.sizes[i, 0]))
+            n = int(min(self.left[0], self.left[2], sizes[i, 0]))
         else:
             return self._new()
         self._put(i, n)
 
     def _put(self, i: int, n: int) -> None:
-        tokens, _, loss = self.sizes[i]
+        tokens, _, loss = self.table[i].tolist()
         bears = n if tokens == loss else min(loss, n)
         self.pieces.append((self.keys[i], self.starts[i], n, self.sequence, self.offset))
         self.left -= [n, 1, bears]
         self.offset += n
         self.starts[i] += n
-        self.sizes[i] -= [n, 0, bears]
-        if self.sizes[i, 0] <= 0:
-            del self.keys[i], self.starts[i]
-            self.sizes = np.delete(self.sizes, i, axis=0)
+        if n < tokens:
+            self.table[i] = tokens - n, 1, loss - bears
+        else:  # the last one takes its place
+            last, start = self.keys.pop(), self.starts.pop()
+            if i < len(self.keys):
+                self.keys[i], self.starts[i], self.table[i] = last, start, self.table[len(self.keys)]
         if self.left[0] <= 0:
             self._new()
 

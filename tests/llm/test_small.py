@@ -106,6 +106,8 @@ def test_line_dedup_matches_brute_force(docs):
 def test_line_dedup_keeps_other_columns(docs):
     out = line_dedup.dedup_lines(clashing(docs))
     assert set(clashing(docs).columns) <= set(out.columns) and out.count() == len(TEXTS)
+    named = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit(-1)).withColumn("__dropped", F.lit(-2)))
+    assert named.columns[-2:] == ["_n_lines", "n_dropped"] and named.where("n_lines = -1 and __dropped = -2 and _n_lines > 0").count() == len(TEXTS)
 
 
 def test_leaks_tolerate_substitutions(spark, docs):
@@ -203,6 +205,21 @@ def test_packing_is_exact_and_tight(docs):
         assert at <= 512 and at & (at - 1) == 0
 
 
+def test_packing_ids_equal_the_tokenizer_on_any_letter():
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer(), 2)
+    letters = [chr(i) for i in range(0x110000) if chr(i).isalpha()]
+    texts = []
+    for i in range(0, len(letters), 100):
+        texts += [" ".join(form(c) for c in letters[i : i + 100]) for form in (lambda c: c, lambda c: f"a{c}b", lambda c: f"{c}.", lambda c: f"x{c}, {c}!")]
+    rng, odd = np.random.default_rng(6), [*map(chr, [*range(0x250), *range(0x300, 0x370), *range(0x900, 0x980), *range(0xFB00, 0xFB50), *range(0x1100, 0x1200), 0x130, 0x200D, 0x3000, 0x1F600]), "<|endoftext|>", "<|", " ", "\n", "."]
+    texts += ["".join(odd[k] for k in rng.integers(len(odd), size=rng.integers(40))) for _ in range(3000)]
+    for i in range(0, len(texts), 200):
+        for text, ids in zip(texts[i : i + 200], encode(texts[i : i + 200]), strict=True):
+            assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_packing_limits_of_instruction_data(spark):
     rng = np.random.default_rng(3)
     rows = [(k, int(n), int(n * q)) for k, (n, q) in enumerate(zip(rng.integers(5, 300, 400), rng.random(400), strict=True))]
