@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: language, lines, near copies, benchmark passages, packing."""
+"""A training corpus from raw documents: language, lines, near copies, benchmark passages, packing.
+
+Defined results: every stage but the last returns the columns of documents and treats each row by its own text. Rows without
+a letter, or like no known language, go; of rows alike in id and text one stays; rows that share an id but not a text are
+judged each by itself; a row with a null id is no copy of any other and loses no lines; a text that loses all its lines stays, empty; an empty table gives an empty result. Long texts
+are read whole. Ties go to the smallest id. Columns beyond those of documents pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliometry.llm import decontaminate, langid, line_dedup, minhash, packing
-from foliometry.llm.common import materialize
+from foliometry.llm.common import mark, materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,7 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat across documents go, except in the smallest document id; n_chars follows the text."""
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    dropped = F.col(out.columns[-1]) > 0
+    return out.withColumn("n_chars", F.when(dropped, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
