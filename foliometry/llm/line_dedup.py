@@ -6,8 +6,8 @@ except in the smallest document that holds them; the others are put together aga
 
 Lines are hashed once, to a table of hashes and positions. The join from repeated hashes back to the lines has two parts: a
 hash that holds more than one line in HOT of all is one of HOT hashes at most, so these are broadcast and their lines stay
-where they are; every other hash is too small to fill a task. Each text is shuffled once at most, to meet its own list of
-dropped positions; few such lists are broadcast instead.
+where they are; every other hash is too small to fill a task. Each text is shuffled once, to meet its own list of dropped
+positions.
 
 Defined results: a null or empty text has one empty line and keeps it; a key shorter than min_chars code points never
 goes; a line that repeats inside one document only stays; rows of the same id count as one document, and each of them loses
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliometry.llm.common import free_name, lower_ascii, mark, materialize, release
+from foliometry.llm.common import free_name, lower_ascii, materialize
 
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -36,8 +36,6 @@ def _lines(text: Column) -> Column:
 
 #: A hash with more than one line in so many is joined by broadcast; there are at most so many of them.
 HOT = 2_000
-#: Positions of dropped lines that are broadcast (with ids and hashes, some 40 bytes each at most).
-BROADCAST_LINES = 200_000
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,7 +43,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, doc_id:
 
     min_docs: a key found in at least so many distinct documents loses its lines, except in the smallest id.
     """
-    spark, since = docs.sparkSession, mark()
     # a row is known by its id and its text's hash: rows alike in both lose the same lines
     row_key = [F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
     line = (
@@ -64,11 +61,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, doc_id:
     hot = F.col("lines") > F.lit(max(1, line.count() // HOT))
     gone = [line.join(side, ["h1", "h2"]).where("d <> first").select("d", "t1", "t2", "pos") for side in (F.broadcast(frequent.where(hot)), frequent.where(~hot))]
     dropped = gone[0].union(gone[1]).groupBy("d", "t1", "t2").agg(F.collect_set("pos").alias("dropped"))
-    dropped = materialize(dropped.toDF("__d", "__t1", "__t2", "__dropped"), "dropped")
-    release(spark, since, dropped)
-    size = dropped.agg(F.sum(F.size("__dropped") + 1)).first()[0] or 0
-    if size <= BROADCAST_LINES:
-        dropped = F.broadcast(dropped)
+    dropped = dropped.toDF("__d", "__t1", "__t2", "__dropped").hint("merge")  # the lists grow with the documents
     # the row goes along as one value, so no name of its columns can clash
     rows = docs.select(F.struct(*docs.columns).alias("__row"), *[c.alias(f"__{n}") for c, n in zip(row_key, ("d", "t1", "t2"), strict=True)])
     joined = rows.join(dropped, ["__d", "__t1", "__t2"], "left")
