@@ -4,15 +4,17 @@ Trusted positives are texts labelled 1; the unlabelled texts are the corpus as i
 p * R_pos(+) + max(0, R_unl(-) - p * R_pos(-)) is minimised by stochastic steps over a small network on shape features;
 where the second part falls below 0, the step goes up it instead (the non-negative correction).
 
-The class prior is the share of 1 among the labelled rows that may be learned from; where those hold no 0, it is
-bounded from the two samples of features.
+The class prior is estimated from positives and unlabelled texts alone (labels 0 are never read): a linear scorer parts the
+two on one half of each, and on the other half the least ratio of the shares above a cut bounds the share of positives, taken
+where the bound's own uncertainty is least; the halves are then swapped.
 
-Fit: on bounded samples, at most max_positive labelled rows and max_unlabelled texts, chosen by a hash of the id; their
+Fit: on bounded samples, at most max_positive labelled rows and max_unlabelled texts, chosen by a hash of the text; their
 features (a few hundred bytes each) reach the driver, and the weights go out with the scoring function. Scoring reads each text
 once, in whole, and shuffles nothing.
 
 Defined results: null and empty texts have the features of an empty text and are scored; ids with both labels are not
-trusted; without any positive, each score is 0.5; repeated rows are scored alike; an empty table gives an empty result.
+trusted; without any positive, each score is 0.5; every row is scored by its own text, repeated rows alike, whatever their
+ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,12 +73,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(hidden @ self.second + self.last, -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Upper bound of the share of positives among the unlabelled: the least ratio of tail shares along one direction."""
-    way = positive.mean(axis=0) - unlabelled.mean(axis=0)
-    p, u = positive @ way, unlabelled @ way
-    cuts = np.quantile(p, np.linspace(0.05, 0.9, 30))
-    return float(np.clip(min((u <= c).mean() / max((p <= c).mean(), 1e-9) for c in cuts), 0.05, 0.99))
+def _linear(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Direction of a ridge regression that parts the two."""
+    x = np.concatenate([positive, unlabelled])
+    weight = np.concatenate([np.full(len(positive), 0.5 / len(positive)), np.full(len(unlabelled), 0.5 / len(unlabelled))])
+    y = np.concatenate([np.ones(len(positive)), -np.ones(len(unlabelled))])
+    x = x - weight @ x
+    return np.linalg.solve((x * weight[:, None]).T @ x + 1e-4 * np.eye(x.shape[1]), (x * weight[:, None]).T @ (y - weight @ y))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, risk: float = 0.1) -> float:
+    """Share of positives among the unlabelled, between 0.05 and 0.99; 0.5 where there are too few rows to tell.
+
+    Above any cut of a score, the unlabelled rows hold at least the prior times the positives' share; the ratio of the two shares
+    comes near the prior where the cut leaves positives only.
+    """
+    if min(len(positive), len(unlabelled)) < 8:
+        return 0.5
+    found = []
+    for k in range(2):
+        way = _linear(positive[k::2], unlabelled[k::2])
+        p, u = np.sort(positive[1 - k :: 2] @ way), np.sort(unlabelled[1 - k :: 2] @ way)
+        cuts = np.unique(p)
+        above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+        slack = np.sqrt(np.log(4 / risk) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p))) / above_p
+        best = int(np.argmin(above_u / above_p + slack))
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.05, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, batch: int = 256, rate: float = 0.006, seed: int = 5) -> Model:
@@ -114,9 +137,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior)
 
 
-def _sampled(rows: DataFrame, most: int, salt: int, doc_id: str) -> DataFrame:
+def _sampled(rows: DataFrame, most: int, salt: int, text: str) -> DataFrame:
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), doc_id), F.lit(1_000_000)) < int(1e6 * most / n))
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), text), F.lit(1_000_000_000)) < int(1e9 * most / n))
 
 
 def _features_of(docs: DataFrame, text: str) -> np.ndarray:
@@ -130,12 +153,11 @@ def _features_of(docs: DataFrame, text: str) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """usable: condition on the labels' ids that says which labels may be learned from."""
-    trusted = labels.where(usable & F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("low"), F.max(label).alias("high"))
-    share = trusted.agg(F.avg("high").alias("share"), F.min("low").alias("low")).first()
-    positive = _sampled(trusted.where("low = 1").select(doc_id), max_positive, 51, doc_id)
-    p = _features_of(docs.join(F.broadcast(positive), doc_id, "left_semi"), text)
-    u = _features_of(_sampled(docs, max_unlabelled, 52, doc_id), text)
-    prior = float(np.clip(share.share, 0.05, 0.99)) if share.low == 0 else estimate_prior(p, u) if len(p) and len(u) else 0.5
+    trusted = labels.where(usable & F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("low"))
+    positive = docs.join(trusted.where("low = 1").select(doc_id), doc_id, "left_semi").select(text)
+    p = _features_of(_sampled(positive, max_positive, 51, text), text)
+    u = _features_of(_sampled(docs.select(text), max_unlabelled, 52, text), text)
+    prior = estimate_prior(p, u)
     return fit(p, u, prior)
 
 
