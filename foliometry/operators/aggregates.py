@@ -7,18 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import r6
+from foliometry.operators.lineage import cut
+from foliometry.operators.quantiles import counted, joined, percentiles, running
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """n, mean, min, max and p10..p90 with linear interpolation, rounded to 6 places."""
-    p = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), p.alias("p"))
+    """n, mean, min, max and p10..p90 with linear interpolation, rounded to 6 places; for strata of any size."""
+    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = joined(out, percentiles(df, keys, (0.1, 0.25, 0.5, 0.75, 0.9), value), keys)
     names = ("p10", "p25", "p50", "p75", "p90")
     return out.select(*keys, "n", *[r6(c).alias(c) for c in ("mean", "min", "max")], *[r6(F.col("p")[i]).alias(c) for i, c in enumerate(names)])
 
 
 def at_ranks(df: DataFrame, keys: list[str], ranks: dict[str, Column], value: str = "value") -> DataFrame:
-    """For each group the values at the given 0-based ranks; a rank is an expression of n, the group's count."""
+    """For each group the values at the given 0-based ranks; a rank is an expression of n, the group's count.
+
+    For groups such as the pages of a paper, whose distinct values one task sorts; see ranks_of for strata.
+    """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
     w = W.partitionBy(*keys)
     upto = counted.withColumn("__upto", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("__c").over(w))
@@ -26,6 +31,13 @@ def at_ranks(df: DataFrame, keys: list[str], ranks: dict[str, Column], value: st
     return upto.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
+def ranks_of(df: DataFrame, keys: list[str], ranks: dict[str, Column], value: str = "value") -> DataFrame:
+    """at_ranks for strata of any size."""
+    rows = running(cut(counted(df, keys, value)), keys)
+    picks = [F.min(F.when(F.col("upto") > rank, F.col("value"))).alias(name) for name, rank in ranks.items()]
+    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
 def floor_rank(q: float) -> Column:
     return F.least(F.col("n") - 1, F.floor(F.col("n") * q))
 

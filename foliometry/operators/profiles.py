@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import band_loss, confidence_tier, r6
 from foliometry.operators.aggregates import top_share
+from foliometry.operators.lineage import cut
+from foliometry.operators.quantiles import counted, joined, percentiles
 
 LEVELS = {"venue_role": ["venue", "role"], "role": ["role"], "venue": ["venue"]}
 
@@ -14,23 +18,27 @@ LEVELS = {"venue_role": ["venue", "role"], "role": ["role"], "venue": ["venue"]}
 def profile_levels(long: DataFrame) -> DataFrame:
     """One row for each level, stratum and dim: quantiles, numbers of papers and pages, tier. Papers without a venue count for roles only.
 
-    One aggregate by grouping sets: the long table is read and shuffled once for all levels.
+    Values are counted once by venue and role; the counts of a level add up those of its parts, and so do its papers.
     """
-    rows = long.select("paper", "page", F.col("venue").cast("string").alias("venue"), "role", "dim", "value")
-    g = rows.groupingSets([["venue", "role", "dim"], ["role", "dim"], ["venue", "dim"]], "venue", "role", "dim").agg(
-        F.grouping("venue").alias("gv"), F.grouping("role").alias("gr"), F.count("value").alias("n"), F.count_distinct("paper").alias("n_papers"), F.avg("value").alias("mean"),
-        F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p"),
-    )
-    level = F.when((F.col("gv") == 0) & (F.col("gr") == 0), "venue_role").when(F.col("gv") == 1, "role").otherwise("venue")
-    key = F.concat_ws("|", "venue", "role")
-    out = g.where((F.col("gv") == 1) | F.col("venue").isNotNull())
-    return out.select(level.alias("level"), key.alias("key"), "dim", "n", "n_papers", F.round("mean", 7).alias("mean"), *[r6(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p25", "p50", "p75", "p90"))], confidence_tier(F.col("n_papers")).alias("tier"))
+    base = ["venue", "role", "dim"]
+    rows = long.select("paper", F.col("venue").cast("string").alias("venue"), "role", "dim", "value")
+    values = cut(counted(rows, base, "value"))
+    papers = cut(rows.select("paper", *base).distinct())
+    out = []
+    for level, keys in LEVELS.items():
+        known = [F.col(k).isNotNull() for k in keys if k == "venue"]
+        part = [df.where(known[0]) if known else df for df in (values, papers)]
+        g = part[0].groupBy(*keys, "dim").agg((F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"))
+        g = joined(g, part[1].groupBy(*keys, "dim").agg(F.count_distinct("paper").alias("n_papers")), [*keys, "dim"])
+        g = joined(g, percentiles(part[0], [*keys, "dim"], (0.1, 0.25, 0.5, 0.75, 0.9), count="c"), [*keys, "dim"])
+        names = [r6(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p25", "p50", "p75", "p90"))]
+        out.append(g.select(F.lit(level).alias("level"), F.concat_ws("|", *keys).alias("key"), "dim", "n", "n_papers", F.round("mean", 7).alias("mean"), *names, confidence_tier(F.col("n_papers")).alias("tier")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def robust_block(long: DataFrame, keys: list[str], low_dims: tuple[str, ...] = ()) -> DataFrame:
     """Center, scale and band of each dim: IQR (else the wide range, else a floor), the wide band where the IQR is thin."""
-    p = F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    q = long.groupBy(*keys, "dim").agg(p.alias("p"), F.count("value").alias("n"))
+    q = percentiles(long, [*keys, "dim"], (0.1, 0.25, 0.5, 0.75, 0.9))
     p10, p25, p50, p75, p90 = (F.col("p")[i] for i in range(5))
     iqr, wide = p75 - p25, p90 - p10
     scale = F.when(iqr > 1e-9, iqr).when(wide > 1e-9, wide / 2.563).otherwise(F.lit(1e-6))
@@ -48,7 +56,7 @@ def page_losses(long: DataFrame, block: DataFrame, keys: list[str]) -> DataFrame
 
 
 def normalise(losses: DataFrame, keys: list[str], cap: float = 20.0) -> DataFrame:
-    ref = losses.groupBy(*keys, "dim").agg(F.percentile("loss", 0.9).alias("ref"))
+    ref = percentiles(losses, [*keys, "dim"], (0.9,), "loss").select(*keys, "dim", F.col("p")[0].alias("ref"))
     return losses.join(ref, [*keys, "dim"]).withColumn("norm", F.least(F.col("loss") / F.greatest("ref", F.lit(1e-6)), F.lit(cap)))
 
 

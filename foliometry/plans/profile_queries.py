@@ -9,6 +9,8 @@ from foliometry.functions import scalar
 from foliometry.functions.scalar import r6
 from foliometry.operators import aggregates as agg
 from foliometry.operators import flatten, profiles
+from foliometry.operators.lineage import cut
+from foliometry.operators.quantiles import percentiles
 from foliometry.plans.registry import DIMS, LONG_SQL, PAGES_SQL, Tables, query, with_views
 
 P = "round(quantile_cont({v}, {q}), 6)"
@@ -27,7 +29,7 @@ def renest_metrics(t: Tables) -> DataFrame:
 
 @query("quantile_linear", with_views(LONG_SQL, body=f"SELECT dim, role, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, {QUANT} FROM long_ GROUP BY dim, role"))
 def quantile_linear(t: Tables) -> DataFrame:
-    return agg.quantiles(t.long, ["dim", "role"])
+    return agg.quantiles(t.kept, ["dim", "role"])
 
 
 @query("descriptive_stats", f"SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, {QUANT} FROM events GROUP BY event_type")
@@ -107,7 +109,7 @@ LEVEL = "dim, count(*) AS n, count(DISTINCT paper) AS n_papers, round(avg(value)
 @query("profile_levels", with_views(LONG_SQL, body=f"""SELECT 'venue_role' AS level, CAST(venue AS VARCHAR) || '|' || role AS key, {LEVEL} WHERE venue IS NOT NULL GROUP BY venue, role, dim
 UNION ALL SELECT 'role', role, {LEVEL} GROUP BY role, dim UNION ALL SELECT 'venue', CAST(venue AS VARCHAR), {LEVEL} WHERE venue IS NOT NULL GROUP BY venue, dim"""))
 def profile_levels(t: Tables) -> DataFrame:
-    return profiles.profile_levels(t.long)
+    return profiles.profile_levels(t.kept)
 
 
 ROLL = "dim, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 9) AS mean, round(max(value), 6) AS max, round(quantile_cont(value, 0.9), 6) AS p90 FROM long_"
@@ -139,21 +141,27 @@ def band_hit_rate(t: Tables) -> DataFrame:
 round(stddev_pop(value), 6) AS sd, round(stddev_pop(value) / avg(value), 6) AS cv, round(avg(CASE WHEN abs(value) < 1e-6 THEN 1.0 ELSE 0.0 END), 6) AS near_zero FROM long_ GROUP BY dim"""))
 def metric_health(t: Tables) -> DataFrame:
     v = F.col("value")
-    p = [r6(F.percentile("value", q)).alias(n) for q, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return t.long.groupBy("dim").agg(F.count("*").alias("n"), *p, r6(F.stddev_pop(v)).alias("sd"), r6(F.stddev_pop(v) / F.avg(v)).alias("cv"), r6(F.avg(F.when(F.abs(v) < 1e-6, 1.0).otherwise(0.0))).alias("near_zero"))
+    p = percentiles(t.kept, ["dim"], (0.05, 0.5, 0.95, 0.99)).select("dim", *[r6(F.col("p")[k]).alias(c) for k, c in enumerate(("p5", "p50", "p95", "p99"))])
+    g = t.kept.groupBy("dim").agg(F.count("*").alias("n"), r6(F.stddev_pop(v)).alias("sd"), r6(F.stddev_pop(v) / F.avg(v)).alias("cv"), r6(F.avg(F.when(F.abs(v) < 1e-6, 1.0).otherwise(0.0))).alias("near_zero"))
+    return g.join(p, "dim")
 
 
 @query("metric_version_compare", with_views(PAGES_SQL, body="""SELECT role, round(quantile_cont(price, 0.5), 6) AS old_p50, round(quantile_cont(net_price, 0.5), 6) AS new_p50, round(quantile_cont(price, 0.9), 6) AS old_p90, round(quantile_cont(net_price, 0.9), 6) AS new_p90,
 round(max(price), 6) AS old_max, round(max(net_price), 6) AS new_max, round(avg(CASE WHEN price <> net_price THEN 1.0 ELSE 0.0 END), 6) AS changed FROM pages_ GROUP BY role"""))
 def metric_version_compare(t: Tables) -> DataFrame:
-    both = [f(c, n) for n in ("p50", "p90", "max") for c in ("price", "net_price") for f in [lambda c, n: r6(F.max(c) if n == "max" else F.percentile(c, int(n[1:]) / 100)).alias(f"{'old' if c == 'price' else 'new'}_{n}")]]
-    return t.pages.groupBy("role").agg(*both, r6(F.avg(F.when(F.col("price") != F.col("net_price"), 1.0).otherwise(0.0))).alias("changed"))
+    pages = cut(t.pages.select("role", "price", "net_price"))
+    out = pages.groupBy("role").agg(r6(F.max("price")).alias("old_max"), r6(F.max("net_price")).alias("new_max"), r6(F.avg(F.when(F.col("price") != F.col("net_price"), 1.0).otherwise(0.0))).alias("changed"))
+    for version, column in (("old", "price"), ("new", "net_price")):
+        p = percentiles(pages, ["role"], (0.5, 0.9), column)
+        out = out.join(p.select("role", *[r6(F.col("p")[k]).alias(f"{version}_{c}") for k, c in enumerate(("p50", "p90"))]), "role")
+    return out
 
 
 @query("hygiene_rates", "SELECT source, count(*) AS n, round(avg(CASE WHEN contains(text, '@') THEN 1.0 ELSE 0.0 END), 6) AS with_at, round(avg(CASE WHEN contains(text, '|') THEN 0.0 ELSE 1.0 END), 6) AS lacks_bar, quantile_cont(n_chars, 0.5) AS median_chars FROM documents GROUP BY source")
 def hygiene_rates(t: Tables) -> DataFrame:
     has = lambda s: F.when(F.col("text").contains(s), 1.0).otherwise(0.0)
-    return t["documents"].groupBy("source").agg(F.count("*").alias("n"), r6(F.avg(has("@"))).alias("with_at"), r6(F.avg(1.0 - has("|"))).alias("lacks_bar"), F.percentile("n_chars", 0.5).alias("median_chars"))
+    median = percentiles(t["documents"], ["source"], (0.5,), "n_chars").select("source", F.col("p")[0].alias("median_chars"))
+    return t["documents"].groupBy("source").agg(F.count("*").alias("n"), r6(F.avg(has("@"))).alias("with_at"), r6(F.avg(1.0 - has("|"))).alias("lacks_bar")).join(median, "source")
 
 
 BLOCK = """block_ AS (SELECT role, dim, n, p50 AS center, CASE WHEN p75 - p25 > 1e-9 THEN p75 - p25 WHEN p90 - p10 > 1e-9 THEN (p90 - p10) / 2.563 ELSE 1e-6 END AS scale,
@@ -166,23 +174,23 @@ POOL = TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").re
 
 @query("robust_block", with_views(LONG_SQL, BLOCK, body="SELECT role, dim, n, round(center, 6) AS center, round(scale, 6) AS scale, round(lo, 6) AS lo, round(hi, 6) AS hi FROM block_"))
 def robust_block(t: Tables) -> DataFrame:
-    return profiles.robust_block(t.long, ["role"]).select("role", "dim", "n", *[r6(c).alias(c) for c in ("center", "scale", "lo", "hi")])
+    return profiles.robust_block(t.kept, ["role"]).select("role", "dim", "n", *[r6(c).alias(c) for c in ("center", "scale", "lo", "hi")])
 
 
 @query("band_loss", with_views(LONG_SQL, BLOCK, LOSS, body="SELECT paper, page, dim, round(loss, 6) AS loss FROM loss_"))
 def band_loss(t: Tables) -> DataFrame:
-    return profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"]).select("paper", "page", "dim", r6("loss").alias("loss"))
+    return profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]).select("paper", "page", "dim", r6("loss").alias("loss"))
 
 
 @query("norm_loss", with_views(LONG_SQL, BLOCK, LOSS, NORM, body="SELECT paper, page, dim, round(norm, 6) AS norm FROM norm_"))
 def norm_loss(t: Tables) -> DataFrame:
-    losses = profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"])
+    losses = profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"])
     return profiles.normalise(losses, ["role"]).select("paper", "page", "dim", r6("norm").alias("norm"))
 
 
 @query("page_loss_rows", with_views(LONG_SQL, BLOCK, LOSS, NORM, body="SELECT paper, page, count(*) AS n_dims, round(sum(norm), 5) AS total FROM norm_ WHERE role = 'A' GROUP BY paper, page HAVING count(*) >= 3"))
 def page_loss_rows(t: Tables) -> DataFrame:
-    long = t.long.where("role = 'A'")
+    long = t.kept.where("role = 'A'")
     norm = profiles.normalise(profiles.page_losses(long, profiles.robust_block(long, ["role"]), ["role"]), ["role"])
     return norm.groupBy("paper", "page").agg(F.count("*").alias("n_dims"), F.round(F.sum("norm"), 5).alias("total")).where("n_dims >= 3")
 
@@ -194,13 +202,13 @@ SCORE = "score_ AS (SELECT paper, count(*) AS n_dims, sum(w * (0.5 * top_mean +
 
 @query("weighted_profile_score", with_views(LONG_SQL, BLOCK, LOSS, NORM, POOL, WEIGHT_SQL, SCORE, body="SELECT paper, n_dims, round(score, 5) AS score FROM score_"))
 def weighted_profile_score(t: Tables) -> DataFrame:
-    return profiles.paper_scores(t.long, ["role"], WEIGHTS).select("paper", "n_dims", F.round("score", 5).alias("score"))
+    return profiles.paper_scores(t.kept, ["role"], WEIGHTS).select("paper", "n_dims", F.round("score", 5).alias("score"))
 
 
 @query("flagship", with_views(LONG_SQL, BLOCK, LOSS, NORM, POOL, WEIGHT_SQL, SCORE, body="SELECT paper, round(score, 5) AS score FROM score_ ORDER BY score_.score DESC, paper LIMIT 20"))
 def flagship(t: Tables) -> DataFrame:
     """The twenty papers that are furthest from the profile of their pages' roles."""
-    scores = profiles.paper_scores(t.long, ["role"], WEIGHTS)
+    scores = profiles.paper_scores(t.kept, ["role"], WEIGHTS)
     return scores.orderBy(F.desc("score"), "paper").limit(20).select("paper", F.round("score", 5).alias("score"))
 
 
@@ -223,17 +231,18 @@ def defect_frequency(t: Tables) -> DataFrame:
     d = e.groupBy(F.col("user_id").alias("paper"), F.col("event_type").alias("defect")).agg(F.count("*").alias("hits"))
     n = e.agg(F.count_distinct("user_id").alias("papers"), F.count("*").alias("pages"))
     g = d.join(F.broadcast(n)).groupBy("defect")  # n is one row
+    p = percentiles(d, ["defect"], (0.5, 0.9), "hits").select("defect", *[F.col("p")[k].alias(c) for k, c in enumerate(("p50", "p90"))])
     return g.agg(
-        r6(100.0 * F.count("*") / F.max("papers")).alias("incidence_pct"), r6(F.sum("hits") / F.max("papers")).alias("mean_hits"), F.percentile("hits", 0.5).alias("p50"), F.percentile("hits", 0.9).alias("p90"),
-        r6(100.0 * F.sum("hits") / F.max("pages")).alias("per_100_pages"),
-    )
+        r6(100.0 * F.count("*") / F.max("papers")).alias("incidence_pct"), r6(F.sum("hits") / F.max("papers")).alias("mean_hits"), r6(100.0 * F.sum("hits") / F.max("pages")).alias("per_100_pages"),
+    ).join(p, "defect")
 
 
 @query("defect_amplitude", "SELECT event_type, count(*) AS n, round(quantile_cont(a, 0.5), 6) AS p50, round(quantile_cont(a, 0.9), 6) AS p90, round(avg(CASE WHEN a >= 50 THEN 1.0 ELSE 0.0 END), 6) AS share_high FROM (SELECT event_type, unnest(amps) AS a FROM (SELECT user_id, event_type, list(value) AS amps FROM events GROUP BY 1, 2)) GROUP BY event_type")
 def defect_amplitude(t: Tables) -> DataFrame:
     amps = t["events"].groupBy("user_id", "event_type").agg(F.collect_list("value").alias("amps"))
     rows = amps.select("event_type", F.explode("amps").alias("a"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.percentile("a", 0.5)).alias("p50"), r6(F.percentile("a", 0.9)).alias("p90"), r6(F.avg(F.when(F.col("a") >= 50, 1.0).otherwise(0.0))).alias("share_high"))
+    p = percentiles(rows, ["event_type"], (0.5, 0.9), "a").select("event_type", *[r6(F.col("p")[k]).alias(c) for k, c in enumerate(("p50", "p90"))])
+    return p.join(rows.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("a") >= 50, 1.0).otherwise(0.0))).alias("share_high")), "event_type")
 
 
 @query("defect_prevalence", "SELECT event_type AS defect, round(100.0 * count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events), 6) AS papers_pct, round(count(*) / (SELECT count(*) FROM events), 6) AS hits_per_page FROM events GROUP BY 1")
@@ -246,9 +255,9 @@ def defect_prevalence(t: Tables) -> DataFrame:
 
 @query("sample_stats", with_views(LONG_SQL, body="SELECT venue, dim, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90, string_agg(DISTINCT CAST(paper AS VARCHAR), ',' ORDER BY CAST(paper AS VARCHAR)) AS papers FROM long_ GROUP BY venue, dim"))
 def sample_stats(t: Tables) -> DataFrame:
-    p = [r6(F.percentile("value", q)).alias(n) for q, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))]
+    p = percentiles(t.kept, ["venue", "dim"], (0.5, 0.1, 0.9)).select("venue", "dim", *[r6(F.col("p")[k]).alias(c) for k, c in enumerate(("median", "p10", "p90"))])
     papers = F.array_join(F.sort_array(F.collect_set(F.col("paper").cast("string"))), ",")
-    return t.long.groupBy("venue", "dim").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), *p, papers.alias("papers"))
+    return t.kept.groupBy("venue", "dim").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), papers.alias("papers")).join(p, ["venue", "dim"])
 
 
 @query("venue_pattern_table", """SELECT p_brand, round(avg(p_size), 6) AS mean_size, quantile_cont(p_retailprice, 0.5) AS median_price, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types, count(DISTINCT p_type) = 1 AS consistent FROM part GROUP BY p_brand""")
@@ -264,7 +273,7 @@ def judge_transform(t: Tables) -> DataFrame:
 
 @query("robust_z", with_views(LONG_SQL, BLOCK, body="SELECT paper, page, dim, round(greatest(-4, least(4, (value - center) / scale)), 6) AS z FROM long_ JOIN block_ USING (role, dim)"))
 def robust_z(t: Tables) -> DataFrame:
-    rows = t.long.join(profiles.robust_block(t.long, ["role"]), ["role", "dim"])
+    rows = t.kept.join(profiles.robust_block(t.kept, ["role"]), ["role", "dim"])
     return rows.select("paper", "page", "dim", r6(scalar.robust_z(F.col("value"), F.col("center"), F.col("scale"))).alias("z"))
 
 
@@ -277,6 +286,6 @@ def confidence_tier(t: Tables) -> DataFrame:
 def worst_dims(t: Tables) -> DataFrame:
     from foliometry.operators.windows import top_k
 
-    losses = profiles.normalise(profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"]), ["role"])
+    losses = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])
     pooled = profiles.pooled(losses, ["paper", "dim"], "norm").withColumn("p", F.round("pooled", 5))
     return top_k(pooled, ["paper"], [F.desc("p"), F.col("dim")], 3).select("paper", "dim", "k")

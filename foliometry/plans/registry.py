@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from foliometry.operators.flatten import to_long
+from foliometry.operators.lineage import cut
+
 
 class Tables:
     """The driver's tables under one folder, and the views of them that stand for layout data."""
@@ -34,9 +37,12 @@ class Tables:
     @cached_property
     def long(self) -> DataFrame:
         """One row for each page and measure."""
-        from foliometry.operators.flatten import to_long
+        return to_long(self.pages, IDS, DIMS)
 
-        return to_long(self.pages, ["paper", "page", "venue", "role", "layout"], DIMS)
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The same from page rows that are written once, for queries that read it several times."""
+        return to_long(cut(self.pages), IDS, DIMS)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -57,6 +63,7 @@ class Tables:
         return self["events"].select(F.col("user_id").alias("doc"), F.col("event_id").alias("line_no"), text.alias("text"))
 
 
+IDS = ["paper", "page", "venue", "role", "layout"]
 DIMS = ["quantity", "price", "discount", "tax", "unit_price", "net_price"]
 PAGES_SQL = """
 pages_ AS (

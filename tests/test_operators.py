@@ -107,3 +107,20 @@ def test_thin_band_uses_wide_range(spark):
     df = spark.createDataFrame([("r", "d", float(v)) for v in [5] * 80 + list(range(20))], "role string, dim string, value double")
     r = profiles.robust_block(df, ["role"]).first()
     assert r["center"] == 5.0 and r["lo"] <= 5.0 <= r["hi"]
+
+
+def test_percentiles_of_large_and_small_strata_agree(spark, monkeypatch):
+    from foliometry.operators import aggregates, quantiles
+
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g, n in ((None, 700), ("a", 5000), ("b", 1), ("c", 300)) for v in (rng.integers(0, 40, n) if g == "c" else rng.standard_normal(n))] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    qs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    want = {g: np.quantile([v for h, v in rows if h == g and v is not None], qs) for g in (None, "a", "b", "c")}
+    for most in (quantiles.MOST, 10):
+        monkeypatch.setattr(quantiles, "MOST", most)
+        got = {r.g: r for r in quantiles.percentiles(df, ["g"], qs).collect()}
+        assert set(got) == set(want)
+        assert all(np.allclose(got[g].p, want[g], rtol=0, atol=1e-12) for g in want) and got["a"].n == 5000
+    ranks = {r.g: r for r in aggregates.ranks_of(df, ["g"], {"median": aggregates.upper_median_rank()}).collect()}
+    assert all(ranks[g].median == sorted(v for h, v in rows if h == g and v is not None)[ranks[g].n // 2] for g in want)
