@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Lengths in pt and mm.
-PT = {"pt": 1.0, "mm": 72.27 / 25.4, "cm": 72.27 / 2.54, "in": 72.27, "em": 10.0, "ex": 4.3, "mu": 10.0 / 18}
+PT = {"pt": 1.0, "mm": 72.27 / 25.4, "cm": 72.27 / 2.54, "in": 72.27, "em": 10.0, "ex": 4.3, "mu": 0.5}
 MM = {"mm": 1.0, "cm": 10.0, "in": 25.4, "pt": 25.4 / 72.27}
 #: Paper sizes in pt.
 PAPERS = {"letter": (612.0, 792.0), "a4": (595.28, 841.89)}
-STANDARD_SIZES = (5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 10.95, 12.0, 14.4, 17.28, 20.74, 24.88)
+STANDARD_SIZES = (7.0, 8.0, 9.0, 10.0, 11.0, 12.0)
 
 
 def r6(c: Column | str) -> Column:
@@ -35,12 +35,20 @@ def confidence_tier(n: Column, high: int = 36, medium: int = 16) -> Column:
     return F.when(n >= high, "high").when(n >= medium, "medium").otherwise("low")
 
 
-def soft_loss(x: Column, target: Column, low: Column, high: Column, weight: Column, cap: float = 3.0, log_space: bool = False) -> Column:
-    """w * (1 - exp(-d^2 / 2)), d the distance from the target in units of the side's scale; a null scale costs nothing."""
-    a, b = (F.log(F.greatest(x, F.lit(1e-9))), F.log(target)) if log_space else (x, target)
+def soft_loss(
+    x: Column, target: Column, low: Column, high: Column, weight: Column, cap: float = 3.0, log_space: bool = False, clip: tuple[float, float] | None = None
+) -> Column:
+    """w * (1 - exp(-d^2 / 2)) and at most cap, d the distance from the target in units of the side's scale.
+
+    The value is clipped first; in log space value and target are at least 1e-6. A side without a scale costs nothing; a null
+    value has no loss.
+    """
+    x = F.least(F.greatest(x, F.lit(clip[0])), F.lit(clip[1])) if clip else x
+    a, b = (F.log(F.greatest(c, F.lit(1e-6))) if log_space else c for c in (x, target))
     scale = F.when(a < b, low).otherwise(high)
-    d = F.least(F.abs(a - b) / scale, F.lit(cap))
-    return F.when(scale.isNull(), 0.0).otherwise(weight * (1 - F.exp(-d * d / 2)))
+    d = F.abs(a - b) / F.greatest(scale, F.lit(1e-6))
+    loss = F.least(F.lit(cap), weight * (1 - F.exp(-0.5 * d * d)))
+    return F.when(x.isNull(), None).when(scale.isNull() | (scale == 0), 0.0).otherwise(loss)
 
 
 def pixel_centroid(ratio: Column) -> Column:
@@ -48,10 +56,11 @@ def pixel_centroid(ratio: Column) -> Column:
     return F.when(ratio >= 0, F.round(1 - (0.25 * ratio + 0.75) / (ratio + 1), 4))
 
 
-def length_in(text: Column, table: dict[str, float]) -> Column:
-    """A length such as 12.5mm as a number in the table's unit; null where it is no length."""
-    number = F.regexp_extract(text, r"^\s*(-?[0-9]*\.?[0-9]+)\s*([a-z]+)\s*$", 1)
-    unit = F.regexp_extract(text, r"^\s*(-?[0-9]*\.?[0-9]+)\s*([a-z]+)\s*$", 2)
+def length_in(text: Column, table: dict[str, float], bare: str = "pt") -> Column:
+    """A length such as 12.5mm as a number in the table's unit, a bare number in the unit that bare names; null where it is no length."""
+    pattern = r"^\s*(-?[0-9]*\.?[0-9]+)\s*([a-z]*)\s*$"
+    number = F.regexp_extract(text, pattern, 1)
+    unit = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")), F.lit(bare))
     factor = F.lit(None).cast("double")
     for name, value in table.items():
         factor = F.when(unit == name, F.lit(value)).otherwise(factor)

@@ -6,16 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entities and typographic replacements.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-QUOTES_FROM, QUOTES_TO = "‘’“”–—", "''\"\"--"
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&copy;", "©"), ("&reg;", "®"), ("&deg;", "°"), ("&middot;", "·"), ("&bull;", "•"), ("&times;", "×"), ("&amp;", "&"),
+)
+QUOTES_FROM, QUOTES_TO = "‘’“”–—−", "''\"\"---"
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("­", ""))
-#: Patterns of compile-log lines, by kind: pattern, and the groups of amount, first and last line.
+_DETAIL, _LINES = r" \(([^)]*)\) ", r"(?:(?:in paragraph|in alignment) at lines ([0-9]+)(?:--([0-9]+))?|detected at line ([0-9]+))"
+_VBOX = r"(?:has occurred while \\output is active|detected at line ([0-9]+))"
+#: Patterns of compile-log lines, by kind: pattern, and the groups of detail, first lines and last line.
 LOG_RULES = {
-    "overfull": (r"Overfull \\hbox \(([0-9.]+)pt too wide\) in paragraph at lines ([0-9]+)--([0-9]+)", 1, 2, 3),
-    "underfull": (r"Underfull \\hbox \(badness ([0-9]+)\) in paragraph at lines ([0-9]+)--([0-9]+)", 1, 2, 3),
-    "vbox": (r"(?:Over|Under)full \\vbox \(([0-9.]+)pt too (?:high|low)\)", 1, 0, 0),
-    "error": (r"^! ", 0, 0, 0),
-    "warning": (r"Warning: ", 0, 0, 0),
+    "overfull": (r"Overfull \\hbox" + _DETAIL + _LINES, 1, (2, 4), 3),
+    "underfull": (r"Underfull \\hbox" + _DETAIL + _LINES, 1, (2, 4), 3),
+    "vbox_over": (r"Overfull \\vbox" + _DETAIL + _VBOX, 1, (2,), 0),
+    "vbox_under": (r"Underfull \\vbox" + _DETAIL + _VBOX, 1, (2,), 0),
+    "floatwarn": (r"LaTeX Warning: [^\n]*[Ff]loat", 0, (), 0),
+    "error": (r"^! ", 0, (), 0),
+    "warning": (r"LaTeX Warning: ", 0, (), 0),
 }
 
 
@@ -38,11 +45,13 @@ def norm_quote(c: Column) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    """Readable text of a page: no scripts, styles or tags; block tags break lines."""
-    c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", "")
-    c = F.regexp_replace(c, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)[^>]*>", "\n")
-    c = unescape(F.regexp_replace(c, r"<[^>]+>", ""))
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n[ \n]*\n", "\n"), F.lit(" \n"))
+    """Readable text of a page: no scripts or styles, a blank for each tag, block tags break lines."""
+    for tag in ("script", "style", "noscript"):
+        c = F.regexp_replace(c, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|section|article)>", "\n")
+    c = unescape(F.regexp_replace(c, r"<[^>]+>", " "))
+    c = F.regexp_replace(F.regexp_replace(c, "[ \t\u00a0]+", " "), r"\n[ \n]*\n[ \n]*\n+", "\n\n")
+    return F.btrim(c, F.lit(" \t\r\n"))
 
 
 def strip_layout(c: Column) -> Column:
@@ -59,17 +68,27 @@ def log_kind(c: Column) -> Column:
     return out
 
 
-def log_part(c: Column, part: int, kind: type[float] | type[int]) -> Column:
-    """Amount (1), first line (2) or last line (3) of a log line by its rule; null where the rule has none."""
-    out = F.lit(None).cast("double" if kind is float else "long")
-    for pattern, *groups in LOG_RULES.values():
-        g = groups[part - 1]
-        if g:
-            found = F.regexp_extract(c, pattern, g)
-            out = F.when(c.rlike(pattern), F.when(found != "", found.cast("double" if kind is float else "long"))).otherwise(out)
+def _by_rule(c: Column, groups: dict[str, tuple[int, ...]], dtype: str, inside: str | None = None) -> Column:
+    """The first non-empty of a rule's groups, or what a pattern finds in it; null where no rule or group applies."""
+    out = F.lit(None).cast(dtype)
+    for kind, wanted in groups.items():
+        pattern = LOG_RULES[kind][0]
+        found = F.concat(*[F.regexp_extract(c, pattern, g) for g in wanted])
+        found = F.regexp_extract(found, inside, 0) if inside else found
+        out = F.when(c.rlike(pattern), F.nullif(found, F.lit("")).cast(dtype)).otherwise(out)
     return out
 
 
+def log_amount(c: Column) -> Column:
+    """The number in a log line's detail: points too wide or high, or badness."""
+    return _by_rule(c, {k: (r[1],) for k, r in LOG_RULES.items() if r[1]}, "double", r"[0-9]+\.?[0-9]*")
+
+
+def log_lines(c: Column) -> tuple[Column, Column]:
+    """First and last source line of a log line; a single line has no last one."""
+    return _by_rule(c, {k: r[2] for k, r in LOG_RULES.items() if r[2]}, "long"), _by_rule(c, {k: (r[3],) for k, r in LOG_RULES.items() if r[3]}, "long")
+
+
 def caption_kind(c: Column) -> Column:
     word = F.lower(F.regexp_extract(c, r"^\s*(?i:(fig(?:ure|\.)?|tab(?:le|\.)?))\s*[0-9]+", 1))
     return F.when(word.startswith("fig"), "figure").when(word.startswith("tab"), "table")

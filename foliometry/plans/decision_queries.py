@@ -123,7 +123,7 @@ PROJ_ROWS = [("a", "ECONOMY", "small"), ("b", "STANDARD", "red"), ("c", "ECONOMY
 def spec_projection(t: Tables) -> DataFrame:
     """Constraint rows mapped to fields, of permitted bases only."""
     proj = t.spark.createDataFrame(PROJ_ROWS, "field string, kind string, basis string")
-    j = t["part"].join(F.broadcast(proj), F.col("p_type") == F.col("kind"))  # a fixed table of five rows
+    j = t["part"].join(F.broadcast(proj), F.col("p_type") == F.col("kind"))  # a fixed table of six rows
     return j.where(F.col("p_name").startswith(F.col("basis"))).groupBy("p_brand", "field").agg(F.min("p_size").alias("value"))
 
 
@@ -178,14 +178,15 @@ def venue_shadow_summary(t: Tables) -> DataFrame:
     return s.groupBy("venue").agg(F.count("*").alias("n"), r6(F.percentile("s", 0.5)).alias("median"), r6(F.percentile("s", 0.9)).alias("p90"), r6(F.avg(F.when(F.col("s") > 50000, 1.0).otherwise(0.0))).alias("anomalous"))
 
 
-SEV = "sev_(kind, w) AS (VALUES ('overfull', 1.5), ('underfull', 0.5), ('vbox', 2.0), ('error', 5.0), ('warning', 0.6))"
-SEV_ROWS = [("overfull", 1.5), ("underfull", 0.5), ("vbox", 2.0), ("error", 5.0), ("warning", 0.6)]
+#: Weights of log defects.
+SEV_ROWS = [("overfull", 1.696), ("underfull", 0.737), ("vbox_over", 0.737), ("vbox_under", 1.033), ("floatwarn", 1.033), ("warning", 0.3)]
+SEV = "sev_(kind, w) AS (VALUES " + ", ".join(f"('{k}', {w})" for k, w in SEV_ROWS) + ")"
 
 
 @query("defect_score", with_views(LOGS_SQL, ISSUE, SEV, body="SELECT doc, round(sum(w * CASE WHEN coalesce(amount, 0) > 50 THEN 1.0 ELSE 0.6 END), 4) AS score FROM issue_ JOIN sev_ USING (kind) GROUP BY doc"))
 def defect_score(t: Tables) -> DataFrame:
     """Weighted count of defects, with a severity factor."""
-    j = issues(t).join(F.broadcast(t.spark.createDataFrame(SEV_ROWS, "kind string, w double")), "kind")  # a fixed table of five rows
+    j = issues(t).join(F.broadcast(t.spark.createDataFrame(SEV_ROWS, "kind string, w double")), "kind")  # a fixed table of six rows
     return j.groupBy("doc").agg(F.round(F.sum(F.col("w") * F.when(F.coalesce("amount", F.lit(0.0)) > 50, 1.0).otherwise(0.6)), 4).alias("score"))
 
 
@@ -220,7 +221,7 @@ def reasonableness(t: Tables) -> DataFrame:
     return c.join(F.broadcast(q)).select("p_brand", "n", F.when(F.col("n") < F.col("p25"), "below").when(F.col("n") > F.col("p75"), "above").otherwise("in_band").alias("place"))
 
 
-SOFT = "CASE WHEN {x} < {t} THEN {w} * (1 - exp(-0.5 * least(abs({x} - {t}) / {a}, 3) ** 2)) ELSE {w} * (1 - exp(-0.5 * least(abs({x} - {t}) / {b}, 3) ** 2)) END"
+SOFT = "least(3.0, CASE WHEN {x} < {t} THEN {w} * (1 - exp(-0.5 * (({t} - {x}) / {a}) ** 2)) ELSE {w} * (1 - exp(-0.5 * (({x} - {t}) / {b}) ** 2)) END)"
 SOFT_A, SOFT_B = SOFT.format(x="quantity", t="25.0", w="1.0", a="10.0", b="8.0"), SOFT.format(x="discount", t="0.05", w="2.0", a="0.03", b="0.02")
 
 

@@ -196,21 +196,21 @@ def truth_error(t: Tables) -> DataFrame:
     return two_sides(t).where("A is not null").groupBy((F.col("k") % 20).alias("metric")).agg(r6(F.max(e)).alias("worst"), r6(F.avg(e)).alias("mean"), (F.max(e) <= 500).alias("ok"))
 
 
-ADVICE = "advice_(kind, severity, advice) AS (VALUES ('overfull', 2, 'reword or allow a break'), ('underfull', 1, 'let the page be shorter'), ('vbox', 2, 'move the float'), ('error', 3, 'fix the macro'))"
-ADVICE_ROWS = [("overfull", 2, "reword or allow a break"), ("underfull", 1, "let the page be shorter"), ("vbox", 2, "move the float"), ("error", 3, "fix the macro")]
-ADVISED = "adv_ AS (SELECT * FROM (SELECT i.doc, i.kind, i.line_no, severity, advice, row_number() OVER (PARTITION BY i.doc, i.kind ORDER BY line_no) AS k FROM issue_ i JOIN advice_ USING (kind)) WHERE k <= 10 OR kind NOT IN ('overfull', 'vbox'))"
+ADVICE = "advice_(kind, severity, advice) AS (VALUES ('overfull', 2, 'reword or allow a break'), ('underfull', 1, 'let the page be shorter'), ('vbox_over', 2, 'move the float'), ('vbox_under', 2, 'move the float'), ('error', 3, 'fix the macro'))"
+ADVICE_ROWS = [("overfull", 2, "reword or allow a break"), ("underfull", 1, "let the page be shorter"), ("vbox_over", 2, "move the float"), ("vbox_under", 2, "move the float"), ("error", 3, "fix the macro")]
+ADVISED = "adv_ AS (SELECT * FROM (SELECT i.doc, i.kind, i.line_no, severity, advice, row_number() OVER (PARTITION BY i.doc, i.kind ORDER BY line_no) AS k FROM issue_ i JOIN advice_ USING (kind)) WHERE k <= 10 OR kind NOT IN ('overfull', 'vbox_over', 'vbox_under'))"
 
 
 def advised(t: Tables) -> DataFrame:
     table = t.spark.createDataFrame(ADVICE_ROWS, "kind string, severity int, advice string")
-    rows = issues(t).select("doc", "kind", "line_no").join(F.broadcast(table), "kind")  # a fixed table of four rows
+    rows = issues(t).select("doc", "kind", "line_no").join(F.broadcast(table), "kind")  # a fixed table of five rows
     k = F.row_number().over(W.partitionBy("doc", "kind").orderBy("line_no"))
-    return rows.withColumn("k", k).where((F.col("k") <= 10) | ~F.col("kind").isin("overfull", "vbox")).drop("k")
+    return rows.withColumn("k", k).where((F.col("k") <= 10) | ~F.col("kind").isin("overfull", "vbox_over", "vbox_under")).drop("k")
 
 
 @query("advice_lookup", with_views(LOGS_SQL, ISSUE, ADVICE, ADVISED, body="SELECT doc, kind, line_no, CAST(severity AS INTEGER) AS severity, advice FROM adv_"))
 def advice_lookup(t: Tables) -> DataFrame:
-    """Issues with severity and advice; at most ten a document of the two kinds that come in masses (a report's limit)."""
+    """Issues with severity and advice; at most ten a document of the kinds that come in masses (a report's limit)."""
     return advised(t).select("doc", "kind", "line_no", "severity", "advice")
 
 

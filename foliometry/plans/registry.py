@@ -51,13 +51,21 @@ class Tables:
 
     @cached_property
     def logs(self) -> DataFrame:
-        """Compile-log lines made from events: doc, line_no, text."""
-        v, k = F.col("value"), F.col("event_id") % 500
+        """Compile-log lines made from events: doc, line_no, text. A kind's events give its forms by their number modulo 3."""
+        v, k, form = F.format_string("%.2f", "value"), F.col("event_id") % 500, F.col("event_id") % 3
+        at = lambda n: F.concat(k.cast("string"), F.lit("--"), (k + n).cast("string"))
+        kind = F.col("event_type")
         text = (
-            F.when(F.col("event_type") == "click", F.concat(F.lit("Overfull \\hbox ("), F.format_string("%.2f", v), F.lit("pt too wide) in paragraph at lines "), k.cast("string"), F.lit("--"), (k + 3).cast("string")))
-            .when(F.col("event_type") == "view", F.concat(F.lit("Underfull \\hbox (badness "), (F.floor(v) % 10000).cast("string"), F.lit(") in paragraph at lines "), k.cast("string"), F.lit("--"), (k + 1).cast("string")))
-            .when(F.col("event_type") == "purchase", F.concat(F.lit("Overfull \\vbox ("), F.format_string("%.2f", v), F.lit("pt too high) has occurred while \\output is active")))
-            .when(F.col("event_type") == "signup", F.concat(F.lit("LaTeX Warning: Reference `r"), (k % 7).cast("string"), F.lit("' undefined on input line "), k.cast("string"), F.lit(".")))
+            F.when((kind == "click") & (form == 0), F.concat(F.lit("Overfull \\hbox ("), v, F.lit("pt too wide) in paragraph at lines "), at(3)))
+            .when((kind == "click") & (form == 1), F.concat(F.lit("Overfull \\hbox ("), v, F.lit("pt too wide) detected at line "), k.cast("string")))
+            .when(kind == "click", F.concat(F.lit("Overfull \\hbox ("), v, F.lit("pt too wide) in alignment at lines "), at(9)))
+            .when((kind == "view") & (form < 2), F.concat(F.lit("Underfull \\hbox (badness "), (F.floor("value") % 10000).cast("string"), F.lit(") in paragraph at lines "), at(1)))
+            .when(kind == "view", F.concat(F.lit("Underfull \\hbox (badness "), (F.floor("value") % 10000).cast("string"), F.lit(") detected at line "), k.cast("string")))
+            .when((kind == "purchase") & (form == 0), F.concat(F.lit("Overfull \\vbox ("), v, F.lit("pt too high) has occurred while \\output is active []")))
+            .when((kind == "purchase") & (form == 1), F.concat(F.lit("Overfull \\vbox ("), v, F.lit("pt too high) detected at line "), k.cast("string")))
+            .when(kind == "purchase", F.concat(F.lit("Underfull \\vbox (badness "), (F.floor("value") % 10000).cast("string"), F.lit(") has occurred while \\output is active []")))
+            .when((kind == "signup") & (form < 2), F.concat(F.lit("LaTeX Warning: Reference `r"), (k % 7).cast("string"), F.lit("' undefined on input line "), k.cast("string"), F.lit(".")))
+            .when(kind == "signup", F.concat(F.lit("LaTeX Warning: Float too large for page by "), v, F.lit("pt on input line "), k.cast("string"), F.lit(".")))
             .otherwise(F.concat(F.lit("! Undefined control sequence "), (k % 5).cast("string")))
         )
         return self["events"].select(F.col("user_id").alias("doc"), F.col("event_id").alias("line_no"), text.alias("text"))
@@ -76,11 +84,17 @@ LINES_SQL = """
 lines_ AS (SELECT doc_id AS doc, CAST(i - 1 AS BIGINT) AS line, l[i] AS text, lang, source
   FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents) t, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"""
 LOGS_SQL = """
-logs_ AS (SELECT user_id AS doc, event_id AS line_no, CASE event_type
-  WHEN 'click' THEN 'Overfull \\hbox (' || printf('%.2f', value) || 'pt too wide) in paragraph at lines ' || (event_id % 500) || '--' || (event_id % 500 + 3)
-  WHEN 'view' THEN 'Underfull \\hbox (badness ' || (CAST(floor(value) AS BIGINT) % 10000) || ') in paragraph at lines ' || (event_id % 500) || '--' || (event_id % 500 + 1)
-  WHEN 'purchase' THEN 'Overfull \\vbox (' || printf('%.2f', value) || 'pt too high) has occurred while \\output is active'
-  WHEN 'signup' THEN 'LaTeX Warning: Reference `r' || (event_id % 500 % 7) || ''' undefined on input line ' || (event_id % 500) || '.'
+logs_ AS (SELECT user_id AS doc, event_id AS line_no, CASE
+  WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'Overfull \\hbox (' || printf('%.2f', value) || 'pt too wide) in paragraph at lines ' || (event_id % 500) || '--' || (event_id % 500 + 3)
+  WHEN event_type = 'click' AND event_id % 3 = 1 THEN 'Overfull \\hbox (' || printf('%.2f', value) || 'pt too wide) detected at line ' || (event_id % 500)
+  WHEN event_type = 'click' THEN 'Overfull \\hbox (' || printf('%.2f', value) || 'pt too wide) in alignment at lines ' || (event_id % 500) || '--' || (event_id % 500 + 9)
+  WHEN event_type = 'view' AND event_id % 3 < 2 THEN 'Underfull \\hbox (badness ' || (CAST(floor(value) AS BIGINT) % 10000) || ') in paragraph at lines ' || (event_id % 500) || '--' || (event_id % 500 + 1)
+  WHEN event_type = 'view' THEN 'Underfull \\hbox (badness ' || (CAST(floor(value) AS BIGINT) % 10000) || ') detected at line ' || (event_id % 500)
+  WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'Overfull \\vbox (' || printf('%.2f', value) || 'pt too high) has occurred while \\output is active []'
+  WHEN event_type = 'purchase' AND event_id % 3 = 1 THEN 'Overfull \\vbox (' || printf('%.2f', value) || 'pt too high) detected at line ' || (event_id % 500)
+  WHEN event_type = 'purchase' THEN 'Underfull \\vbox (badness ' || (CAST(floor(value) AS BIGINT) % 10000) || ') has occurred while \\output is active []'
+  WHEN event_type = 'signup' AND event_id % 3 < 2 THEN 'LaTeX Warning: Reference `r' || (event_id % 500 % 7) || ''' undefined on input line ' || (event_id % 500) || '.'
+  WHEN event_type = 'signup' THEN 'LaTeX Warning: Float too large for page by ' || printf('%.2f', value) || 'pt on input line ' || (event_id % 500) || '.'
   ELSE '! Undefined control sequence ' || (event_id % 500 % 5) END AS text FROM events)"""
 
 Query = Callable[[Tables], DataFrame]

@@ -9,16 +9,26 @@ from pyspark.sql import functions as F
 from foliometry.functions import text as tx
 from foliometry.functions.scalar import r6
 from foliometry.operators import windows
+from foliometry.operators.lineage import cut
 from foliometry.plans.registry import LINES_SQL, LOGS_SQL, Tables, query, with_views
 
-ISSUE = r"""issue_ AS (SELECT doc, line_no, text,
- CASE WHEN regexp_matches(text, 'Overfull \\hbox') THEN 'overfull' WHEN regexp_matches(text, 'Underfull \\hbox') THEN 'underfull' WHEN regexp_matches(text, 'full \\vbox') THEN 'vbox' WHEN starts_with(text, '! ') THEN 'error' WHEN contains(text, 'Warning: ') THEN 'warning' ELSE 'other' END AS kind,
- TRY_CAST(nullif(regexp_extract(text, '\((?:badness )?([0-9.]+)', 1), '') AS DOUBLE) AS amount, TRY_CAST(nullif(regexp_extract(text, 'lines ([0-9]+)--', 1), '') AS BIGINT) AS line_lo, TRY_CAST(nullif(regexp_extract(text, '--([0-9]+)', 1), '') AS BIGINT) AS line_hi FROM logs_)"""
+#: One line is one issue: an hbox by its line or lines in one of three forms, a vbox in one of two, a float warning, an error or another warning.
+ISSUE = r"""issue_ AS (SELECT doc, line_no, text, kind,
+ CASE WHEN kind IN ('overfull', 'underfull', 'vbox_over', 'vbox_under') THEN CAST(regexp_extract(regexp_extract(text, '\(([^)]*)\)', 1), '[0-9]+[.]?[0-9]*') AS DOUBLE) END AS amount,
+ CASE WHEN kind IN ('overfull', 'underfull', 'vbox_over', 'vbox_under') THEN TRY_CAST(regexp_extract(text, ' (?:at lines|detected at line) ([0-9]+)', 1) AS BIGINT) END AS line_lo,
+ CASE WHEN kind IN ('overfull', 'underfull') THEN TRY_CAST(regexp_extract(text, ' at lines [0-9]+--([0-9]+)', 1) AS BIGINT) END AS line_hi
+ FROM (SELECT *, CASE
+   WHEN starts_with(text, 'Overfull \hbox') AND (contains(text, 'in paragraph at lines') OR contains(text, 'in alignment at lines') OR contains(text, 'detected at line')) THEN 'overfull'
+   WHEN starts_with(text, 'Underfull \hbox') AND (contains(text, 'in paragraph at lines') OR contains(text, 'in alignment at lines') OR contains(text, 'detected at line')) THEN 'underfull'
+   WHEN starts_with(text, 'Overfull \vbox') AND (contains(text, 'has occurred while \output is active') OR contains(text, 'detected at line')) THEN 'vbox_over'
+   WHEN starts_with(text, 'Underfull \vbox') AND (contains(text, 'has occurred while \output is active') OR contains(text, 'detected at line')) THEN 'vbox_under'
+   WHEN starts_with(text, 'LaTeX Warning: ') AND contains(lower(text), 'float') THEN 'floatwarn' WHEN starts_with(text, '! ') THEN 'error' WHEN starts_with(text, 'LaTeX Warning: ') THEN 'warning' ELSE 'other' END AS kind FROM logs_))"""
 
 
 def issues(t: Tables) -> DataFrame:
     x = F.col("text")
-    return t.logs.select("doc", "line_no", "text", tx.log_kind(x).alias("kind"), tx.log_part(x, 1, float).alias("amount"), tx.log_part(x, 2, int).alias("line_lo"), tx.log_part(x, 3, int).alias("line_hi"))
+    low, high = tx.log_lines(x)
+    return t.logs.select("doc", "line_no", "text", tx.log_kind(x).alias("kind"), tx.log_amount(x).alias("amount"), low.alias("line_lo"), high.alias("line_hi"))
 
 
 @query("log_issues", with_views(LOGS_SQL, ISSUE, body="SELECT doc, line_no, kind, amount, line_lo, line_hi FROM issue_ WHERE kind <> 'other'"))
@@ -37,9 +47,14 @@ def log_recount(t: Tables) -> DataFrame:
     return issues(t).groupBy("doc", "kind").agg(F.count("*").alias("n"), r6(F.max("amount")).alias("largest"), F.round(F.sum("amount"), 4).alias("total"))
 
 
-@query("log_miss_rate", with_views(LOGS_SQL, ISSUE, body="SELECT doc, count(*) FILTER (WHERE contains(text, 'full')) AS raw, count(*) FILTER (WHERE kind IN ('overfull', 'underfull')) AS perceived, round(1 - count(*) FILTER (WHERE kind IN ('overfull', 'underfull')) / nullif(count(*) FILTER (WHERE contains(text, 'full')), 0), 6) AS miss FROM issue_ GROUP BY doc"))
+FULL = ("overfull", "underfull", "vbox_over", "vbox_under")
+
+
+@query("log_miss_rate", with_views(LOGS_SQL, ISSUE, body=r"SELECT doc, count(*) FILTER (WHERE raw) AS raw, count(*) FILTER (WHERE seen) AS perceived, round(1 - count(*) FILTER (WHERE seen) / nullif(count(*) FILTER (WHERE raw), 0), 6) AS miss FROM (SELECT doc, contains(text, 'full \hbox') OR contains(text, 'full \vbox') AS raw, kind IN ('overfull', 'underfull', 'vbox_over', 'vbox_under') AS seen FROM issue_) GROUP BY doc"))
 def log_miss_rate(t: Tables) -> DataFrame:
-    g = issues(t).groupBy("doc").agg(F.count_if(F.col("text").contains("full")).alias("raw"), F.count_if(F.col("kind").isin("overfull", "underfull")).alias("perceived"))
+    """Box messages by their plain text, those that a rule reads, and the share that none does."""
+    raw = F.col("text").contains("full \\hbox") | F.col("text").contains("full \\vbox")
+    g = issues(t).groupBy("doc").agg(F.count_if(raw).alias("raw"), F.count_if(F.col("kind").isin(*FULL)).alias("perceived"))
     return g.withColumn("miss", r6(1 - F.try_divide(F.col("perceived").cast("double"), F.col("raw"))))
 
 
@@ -70,7 +85,9 @@ def asof_line_page(t: Tables) -> DataFrame:
 
 
 TITLE = r"""regexp_extract(html, '<title>([^<]*)</title>', 1)"""
-UNESC = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+UNESC = "{x}"
+for _a, _b in tx.ENTITIES:
+    UNESC = f"replace({UNESC}, '{_a}', '{_b.replace(chr(39), 2 * chr(39))}')"
 
 
 @query("text_norm_title", "SELECT page_id, trim(regexp_replace(" + UNESC.format(x=TITLE) + ", '[ \\t\\n\\r]+', ' ', 'g'), ' .·-') AS title FROM pages")
@@ -81,13 +98,16 @@ def text_norm_title(t: Tables) -> DataFrame:
 NORM = "lower(trim(regexp_replace({x}, '[ \\t\\n\\r]+', ' ', 'g')))"
 
 
-@query("text_norm_quote", "SELECT doc_id, md5(" + NORM.format(x="text") + ") AS norm_md5 FROM documents WHERE lang = 'en'")
+@query("text_norm_quote", "SELECT doc_id, md5(" + NORM.format(x="text") + ") AS norm_md5 FROM documents")
 def text_norm_quote(t: Tables) -> DataFrame:
-    return t["documents"].where("lang = 'en'").select("doc_id", F.md5(tx.norm_quote(F.col("text")).cast("binary")).alias("norm_md5"))
+    return t["documents"].select("doc_id", F.md5(tx.norm_quote(F.col("text")).cast("binary")).alias("norm_md5"))
 
 
-HTML = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(?:script|style)>', '', 'gis'), '<(?:br|/p|/div|/li|/h[1-6]|/tr)[^>]*>', chr(10), 'gi')"
-HTML = "trim(regexp_replace(regexp_replace(" + UNESC.format(x="regexp_replace(" + HTML + ", '<[^>]+>', '', 'g')") + ", '[ \\t]+', ' ', 'g'), '\\n[ \\n]*\\n', chr(10), 'g'), ' ' || chr(10))"
+HTML = "html"
+for _t in ("script", "style", "noscript"):
+    HTML = f"regexp_replace({HTML}, '<{_t}[^>]*>.*?</{_t}>', ' ', 'gis')"
+HTML = UNESC.format(x=f"regexp_replace(regexp_replace({HTML}, '<br\\s*/?>|</(?:p|div|li|tr|h[1-6]|section|article)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')")
+HTML = f"trim(regexp_replace(regexp_replace({HTML}, '[ \\t' || chr(160) || ']+', ' ', 'g'), '\\n[ \\n]*\\n[ \\n]*\\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10))"
 
 
 @query("html_to_text", f"SELECT page_id, length({HTML}) AS n, md5({HTML}) AS text_md5 FROM pages")
@@ -177,18 +197,27 @@ def edit_cost(t: Tables) -> DataFrame:
     return o.join(nxt, o.o_orderkey == nxt.k).select("k", r6(cost).alias("cost"))
 
 
+#: Characters of an anchor, and the one that it begins with.
+ANCHOR, ANCHOR_AT = 12, "t"
+
+
 @query("quote_provenance", f"WITH b AS (SELECT item_id, {NORM.format(x='text')} AS q FROM benchmark), d AS (SELECT doc_id, {NORM.format(x='text')} AS t FROM documents) SELECT item_id, count(doc_id) AS n_sources, min(doc_id) AS first_source FROM b LEFT JOIN d ON contains(t, q) OR contains(replace(t, ' ', ''), replace(q, ' ', '')) GROUP BY item_id")
 def quote_provenance(t: Tables) -> DataFrame:
-    """In which archived texts a quote stands: texts that hold its first four words, then the whole quote, also without blanks."""
-    docs = t["documents"].select("doc_id", tx.norm_quote(F.col("text")).alias("t"))
-    quotes = t["benchmark"].select("item_id", tx.norm_quote(F.col("text")).alias("q"))
+    """In which archived texts a quote stands, as it is or without blanks. The latter holds wherever the former does.
+
+    A quote's anchor is its first run of ANCHOR characters (without blanks) that begins with ANCHOR_AT; each text gives all such
+    runs, so whatever holds the quote holds the anchor. The quotes' hashes, as far as they fit a broadcast, filter the runs where
+    the texts are scanned. Quotes without an anchor are compared with every text.
+    """
     glue = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    keys = quotes.select("item_id", "q", F.xxhash64(F.array_join(F.slice(F.split("q", " "), 1, 4), " ")).alias("key"))
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
-    spots = docs.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(run)).alias("key"))
-    met = spots.join(keys.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    whole = met.join(quotes, "item_id").join(docs, "doc_id")
-    found = whole.where(F.col("t").contains(F.col("q")) | glue(F.col("t")).contains(glue(F.col("q")))).select("item_id", "doc_id")
+    runs = F.regexp_extract_all("g", F.lit(f"(?=({ANCHOR_AT}.{{{ANCHOR - 1}}}))"), F.lit(1))
+    docs = t["documents"].select("doc_id", glue(tx.norm_quote(F.col("text"))).alias("g"))
+    quotes = t["benchmark"].select("item_id", glue(tx.norm_quote(F.col("text"))).alias("q"))
+    keyed = cut(quotes.withColumn("key", F.xxhash64(F.get(F.regexp_extract_all("q", F.lit(f"(?=({ANCHOR_AT}.{{{ANCHOR - 1}}}))"), F.lit(1)), F.lit(0)))).withColumn("anchored", F.col("q").rlike(f"{ANCHOR_AT}.{{{ANCHOR - 1}}}")))
+    spots = docs.select("doc_id", "g", F.explode(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))).alias("key"))
+    met = spots.join(keyed.where("anchored").select("key", "item_id", "q"), "key")
+    plain = docs.join(F.broadcast(keyed.where("not anchored").select("item_id", "q")), F.col("g").contains(F.col("q")))
+    found = met.where(F.col("g").contains(F.col("q"))).select("item_id", "doc_id").union(plain.select("item_id", "doc_id")).distinct()
     counts = found.groupBy("item_id").agg(F.count("*").alias("n_sources"), F.min("doc_id").alias("first_source"))
     return quotes.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "first_source")
 
