@@ -5,32 +5,33 @@ document position and each benchmark position is hashed under every mask; equal
 texts are compared word by word along its diagonal, and the best ungapped stretch (match +1, mismatch -2) is kept
 where it has at least min_matched equal words and at least min_identity percent of equal words.
 
-Scale: documents are neither shuffled nor cut; positions are generated inside the scan's stage and probe the benchmark's
-hashes there. The benchmark's hashes are counted first and broadcast in blocks of at most BLOCK_SEEDS rows, so any
-benchmark works within the same memory (more blocks, more probes). Of a run of hits on one diagonal the join keeps the
-first only, so a passage held by a third of all documents adds about one row per document. Only verified (document,
-item) rows are shuffled.
-
-Defined results: words are runs outside ASCII punctuation, blanks and controls, A-Z lower-cased; a null, empty or short
-text has no hits; repeated rows of an id or item count as one; an empty table on either side gives an empty result; of
-equally good stretches the first in the document is reported.
+Scale: a seed of the benchmark is a hash, an item and a position. Up to MOST_SEEDS of them (counted first) are broadcast:
+documents are neither shuffled nor cut, positions are generated inside the scan's stage and probe the hashes there, and of a run of
+hits on one diagonal the first only is compared, so a passage held by a third of all documents adds about one row per
+document. A larger benchmark is joined by shuffle on the hash, hits are reduced to one row for each document, item and diagonal,
+and the two texts join again only for these. Items' words join after the hits (Spark broadcasts them where their counted
+number allows). Only verified (document, item) rows are grouped.
+
+Defined results: words are runs outside ASCII punctuation, blanks and controls, A-Z lower-cased; a null or empty text has no
+hits; an item of fewer than min_matched words counts where all its words stand together, one of fewer than SHORTEST words is
+never reported; rows of an id or item count as one, with the best of their overlaps; a null id is an id of its own; an empty
+table on either side gives an empty result; of equally good stretches the first in the document is reported.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliometry.llm.common import lower_ascii, without
 
-#: Word offsets of each seed. Six words count under each mask; 2 to 4 positions between them are ignored.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 8), (0, 2, 3, 4, 7, 9))
-#: Span of the first mask; the span of mask k is SHORTEST + k.
-SHORTEST = MASKS[0][-1] + 1
-BLOCK_SEEDS = 200_000
+#: Word offsets of each seed, by span; 1 to 4 positions between them are ignored. Some mask hits every passage of 12 words with 2
+#: substitutions, 15 with 3 or 20 with 4 inside it (4,000 random ones tried).
+MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 8), (0, 2, 3, 4, 7, 9))
+SPANS = tuple(mask[-1] + 1 for mask in MASKS)
+SHORTEST = SPANS[0]
+#: Rows of seeds, and words of items, that are broadcast (some 60 and 10 bytes each).
+MOST_SEEDS, MOST_WORDS = 500_000, 4_000_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -57,7 +58,7 @@ def _first_of_run() -> Column:
 
     Short on purpose: a long condition makes the generated method too large for the JIT compiler.
     """
-    span = F.col("mask") + SHORTEST
+    span = F.element_at(F.array(*map(F.lit, SPANS)), F.col("mask") + 1)
     before = F.when((F.col("p") > 0) & (F.col("q") > 0), F.slice("dw", F.col("p"), span) == F.slice("iw", F.col("q"), span)).otherwise(F.lit(False))
     earlier = (F.col("mask") > 0) & (F.slice("dw", F.col("p") + 1, SHORTEST) == F.slice("iw", F.col("q") + 1, SHORTEST))
     return ~before & ~earlier
@@ -91,17 +92,23 @@ def _best_stretch() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, min_identity: int = 80, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified overlaps: doc_id, item_id, n_matched, n_aligned, doc_start, item_start (word positions from 0)."""
     items = _hashed(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "item_id", "text", "iw")
-    item_seeds = _seeds(items, "iw", "q").select("hash", "item_id", "q", "iw")
-    n = item_seeds.count()
-    doc_seeds = _seeds(_hashed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "dw"), "dw", "p")
-    blocks = max(1, math.ceil(n / BLOCK_SEEDS))
-    hits = [
-        doc_seeds.join(F.broadcast(item_seeds.where(F.pmod("hash", F.lit(blocks)) == k) if blocks > 1 else item_seeds), "hash").where(_first_of_run())
-        for k in range(blocks)
-    ]
-    found = reduce(DataFrame.union, hits).select("doc_id", "item_id", _best_stretch().alias("s"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    item_seeds = _seeds(items, "iw", "q").select("hash", "item_id", "q")
+    n, n_words = item_seeds.count(), items.agg(F.sum(F.size("iw"))).first()[0] or 0
+    items = F.broadcast(items) if n_words <= MOST_WORDS else items
+    if n <= MOST_SEEDS:
+        doc_seeds = _seeds(_hashed(docs, "doc_id", "text", "dw"), "dw", "p")
+        hits = doc_seeds.join(F.broadcast(item_seeds), "hash").join(items, "item_id").where(_first_of_run())
+    else:
+        key = ["doc_id", "t"]  # rows that share an id are told apart by their text
+        rows = docs.withColumn("t", F.xxhash64("text"))
+        rows = rows.select(*key, F.transform(words("text"), lambda w: F.xxhash64(w)).alias("dw"))
+        met = _seeds(rows, "dw", "p").select(*key, "p", "hash").join(item_seeds, "hash").groupBy(*key, "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.min("p").alias("p"))
+        met = met.withColumn("q", F.col("p") - F.col("shift")).withColumnsRenamed({"doc_id": "d", "t": "u"})
+        hits = rows.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).drop("d", "u").join(items, "item_id")
+    found = hits.select("doc_id", "item_id", F.least(F.lit(min_matched), F.size("iw")).alias("need"), _best_stretch().alias("s"))
     # the test stands inside the aggregate: as a filter it would move into the join and take it out of generated code
-    holds = (F.col("s.matched") >= min_matched) & (100 * F.col("s.matched") >= -min_identity * F.col("s.minus_aligned"))
+    holds = (F.col("s.matched") >= F.col("need")) & (100 * F.col("s.matched") >= -min_identity * F.col("s.minus_aligned"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.when(holds, F.col("s"))).alias("s")).where(F.col("s").isNotNull())
     return best.select(
         "doc_id", "item_id", F.col("s.matched").cast("long").alias("n_matched"), (-F.col("s.minus_aligned")).cast("long").alias("n_aligned"),
@@ -135,8 +142,8 @@ pre AS MATERIALIZED (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER w AS
 seg AS (SELECT e.doc_id, e.item_id, e.shift, e.s - (f.s - CASE WHEN f.same THEN 1 ELSE -2 END) AS score, e.m - f.m + f.same::INT AS matched, e.i - f.i + 1 AS aligned, f.i AS item_from, e.i AS item_to
         FROM pre f JOIN pre e ON f.doc_id = e.doc_id AND f.item_id = e.item_id AND f.shift = e.shift AND e.i >= f.i),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY score DESC, item_to, item_from DESC) AS r FROM seg),
-held AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, aligned, item_from + shift, item_from DESC) AS k FROM best
-         WHERE r = 1 AND matched >= 10 AND 100 * matched >= 80 * aligned)
+held AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, aligned, item_from + shift, item_from DESC) AS k FROM best JOIN (SELECT item_id, len(ws) AS n_words FROM b) USING (item_id)
+         WHERE r = 1 AND matched >= least(10, n_words) AND 100 * matched >= 80 * aligned)
 SELECT doc_id, item_id, matched::BIGINT AS n_matched, aligned::BIGINT AS n_aligned, (item_from + shift - 1)::BIGINT AS doc_start, (item_from - 1)::BIGINT AS item_start FROM held WHERE k = 1
 """
 

@@ -336,4 +336,4 @@ def query(docs: DataFrame) -> DataFrame:
     def n(kind: str) -> F.Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return find(docs).select("doc_id", *[n(k) for k in KINDS[:4]], F.sha2(F.col("base_text").cast("binary"), 256).alias("base_sha256"), F.col("spans_text").alias("spans"))
+    return find(docs).select("doc_id", *[n(k) for k in KINDS[:4]], F.sha2(F.col("base_text").cast("binary"), 256).alias("base_sha256"), F.col("spans_text").alias("spans"), F.size(F.array_union("base", "added")).cast("long").alias("n_spans"))

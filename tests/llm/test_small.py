@@ -120,11 +120,18 @@ def test_leaks_tolerate_substitutions(spark, docs):
     assert (got[10, 4].n_matched, got[10, 4].n_aligned) == (28, 30)
 
 
-def test_leaks_in_blocks(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+def test_leaks_by_shuffle(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, LONG[:400])], "item_id long, text string")
     whole = decontaminate.leaks(docs, bench).collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 7)
-    assert decontaminate.leaks(docs, bench).collect() == whole
+    monkeypatch.setattr(decontaminate, "MOST_SEEDS", 7)
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 7)
+    assert len(whole) > 1 and sorted(decontaminate.leaks(docs, bench).collect()) == sorted(whole)
+
+
+def test_short_items_count_where_they_stand_whole(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "seven words are a short item too"), (3, "five words are too few")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "x One two, three four five six seven eight nine y"), (2, "one two three four five six seven eight ten"), (3, "five words are too few"), (None, "seven words are a short item too")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in decontaminate.leaks(texts, bench).collect()} == {(1, 1, 9), (None, 2, 7)}
 
 
 def test_license_scan(docs):
