@@ -325,3 +325,46 @@ def test_empty_tables(spark, none):
         decontaminate.query(none, bench), license_scan.query(none), minhash.query(none), line_dedup.query(none), quality.query(none, labels), pii.query(none), packing.query(none), langid.query(none), lm.query(none), embedding_dedup.query(vectors),
     ):
         assert df.count() == 0
+
+
+def test_lm_model_matches_brute_force(spark, docs):
+    """Class counts, weights and scores by dictionaries; probabilities of all words and one unknown a class add up to 1."""
+    from foliometry.llm.common import word_hashes
+    import pyarrow as pa
+
+    got = {r.doc_id: r.score for r in lm.query(docs).collect()}
+    code = lambda w: lm.END if w is None else word_hashes(pa.array([w]))[0][0]
+    seqs = {k: [int(code(w)) for w in [*tokens(t), None]] for k, t in TEXTS.items()}
+    kind = lambda h: h >> (64 - lm.CLASS_BITS)
+    learned = [k for k in seqs if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts = Counter(h for k in learned for h in seqs[k])
+    by_class, mass = Counter(), Counter()
+    for h, c in counts.items():
+        by_class[kind(h)] += c
+        mass[kind(h)] += c + 1
+    total = sum(by_class.values()) + 0.5 * lm.CLASSES
+    share = [(by_class[c] + 0.5) / total for c in range(lm.CLASSES)]
+    rows, seen = lm.model_rows(len(counts)), Counter()
+    contexts = lambda s: zip([int(lm.START), *s[:-1]], [int(lm.START), int(lm.START), *s[:-2]], s, strict=False)
+    for k in learned:
+        for one, two, h in contexts(seqs[k]):
+            seen[0, one % rows, kind(h)] += 1
+            seen[1, two % rows, kind(h)] += 1
+    times = Counter()
+    for (f, r, _), n in seen.items():
+        times[f, r] += n
+    weight = lambda f, r, c: 0.5 * math.log((seen[f, r, c] + lm.SMOOTHING * share[c]) / ((times[f, r] + lm.SMOOTHING) * share[c]))
+    for k, s in seqs.items():
+        want = 0.0
+        for one, two, h in contexts(s):
+            logits = [math.log(share[c]) + weight(0, one % rows, c) + weight(1, two % rows, c) for c in range(lm.CLASSES)]
+            top = sum(map(math.exp, logits))
+            want += (logits[kind(h)] - math.log(top)) / math.log(10) + math.log10((counts[h] + 1) / (mass[kind(h)] + 1))
+        assert abs(got[k] - want) < 2e-3 * len(s), k
+    assert all(abs(sum((c + 1) / (mass[k] + 1) for h, c in counts.items() if kind(h) == k) + 1 / (mass[k] + 1) - 1) < 1e-12 for k in range(lm.CLASSES))
+
+
+def test_lm_does_not_depend_on_the_split(docs):
+    one = {r.doc_id: r.score for r in lm.score(docs.repartition(1), F.lit(True), rounds=2).collect()}
+    many = {r.doc_id: r.score for r in lm.score(docs.repartition(7), F.lit(True), rounds=2, block_bytes=100).collect()}
+    assert all(abs(one[k] - many[k]) < 1e-2 for k in one)
