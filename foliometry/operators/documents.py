@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -292,6 +293,27 @@ def _signal_noise(trials: DataFrame, keys: list[str], count: Column, dims: list[
     return both.withColumn("raw", raw).withColumn("weight", weight).select(*keys, F.col("measure").alias("dim"), "signal", "noise", "weight")
 
 
+def false_positives(pages: DataFrame, dims: list[str], fold: str, folds: int, least_papers: int = MEDIUM, least_train: int = 20) -> DataFrame:
+    """Rates by role, and for all (role null), at which held-out pages are called anomalous, pooled over the folds.
+
+    chi2: the tail is below ANOMALY; p95, p96, p97: the distance is above that quantile of the role's training pages, where
+    there are at least least_train of them; top_dim: the measure that is most often the worst of a page called so by chi2.
+    """
+    parts = []
+    for k in range(folds):  # a profile for each fold
+        train, test = (cut(pages.where(c)) for c in (F.col(fold) != k, F.col(fold) == k))
+        profile = fit(train, dims, least_papers)
+        own = page_scores(train, profile).where("d2 is not null").select("role", "d2")
+        limits = percentiles(own, ["role"], (0.95, 0.96, 0.97), "d2").where(F.col("n") >= least_train).select("role", "p")
+        worst = F.array_max(F.filter(F.arrays_zip(F.col("norm").alias("v"), F.array(*map(F.lit, dims)).alias("d")), lambda x: x["v"].isNotNull()))["d"]
+        rows = page_scores(test, profile).where("d2 is not null").select("role", "d2", F.col("p").alias("tail"), worst.alias("worst"))
+        parts.append(cut(rows.join(limits, "role", "left")))
+    rows = reduce(DataFrame.unionByName, parts)
+    over = [F.avg(F.when(F.col("p").isNotNull(), (F.col("d2") > F.col("p")[i]).cast("double"))).alias(c) for i, c in enumerate(("p95", "p96", "p97"))]
+    rates = [F.count("*").alias("n"), F.avg((F.col("tail") < ANOMALY).cast("double")).alias("chi2"), *over, F.mode(F.when(F.col("tail") < ANOMALY, F.col("worst")), True).alias("top_dim")]
+    return rows.groupBy("role").agg(*rates).unionByName(rows.agg(*rates).withColumn("role", F.lit(None).cast("string")))
+
+
 def weighted_rank(rows: DataFrame, keys: list[str], rank: object, name: str) -> DataFrame:
     """The value at a 0-based rank of each group, rows counted __m times. Groups are the trials of a measure: one a paper."""
     w = W.partitionBy(*keys)

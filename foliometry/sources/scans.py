@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def page_docs(spark: SparkSession, folder: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """One JSON file a paper to page rows, and the files that could not be read. schema has an array of structs `pages`."""
+def page_docs(spark: SparkSession, folder: str, schema: T.StructType, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One JSON file (or line) a paper to page rows, and the files that could not be read. schema has an array of structs `pages`."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    raw = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(folder)
+    raw = spark.read.schema(full).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(folder)
     raw = raw.withColumn("file", F.col("_metadata.file_name")).cache()  # a corrupt-record column alone cannot be queried without it
     good = raw.where(F.col("_bad").isNull())
-    rows = good.select("file", *[f.name for f in schema.fields if f.name != "pages"], F.explode("pages").alias("page")).select("*", "page.*")
+    rows = good.select("file", *[f.name for f in schema.fields if f.name != "pages"], F.explode("pages").alias("page"))
     return rows, raw.where(F.col("_bad").isNotNull()).select("file", "_bad")
 
 
