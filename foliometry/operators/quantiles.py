@@ -74,3 +74,15 @@ def percentiles(df: DataFrame, keys: list[str], qs: tuple[float, ...], value: st
         return F.when(a == b, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b)
 
     return found.select(*keys, "n", F.array(*[between(k, q) for k, q in enumerate(qs)]).alias("p"))
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
+    """df with the rank of its value in the stratum, from 1; equal values share their mean rank. For strata of any size."""
+    values = cut(counted(df, keys, value))
+    if small(values, keys):
+        upto = F.sum("c").over(W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+        places = values.withColumn("upto", upto)
+    else:
+        places = running(values, keys)
+    places = places.select(*keys, F.col("value").alias("__value"), (F.col("upto") - (F.col("c") - 1) / 2).alias(out))
+    return joined(df.withColumn("__value", F.col(value).cast("double")), places, [*keys, "__value"]).drop("__value")

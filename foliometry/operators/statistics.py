@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliometry.functions.scalar import band_loss, corr, r6, robust_z
 from foliometry.operators import evaluation, sampling
 from foliometry.operators.lineage import cut
-from foliometry.operators.windows import average_rank
+from foliometry.operators.quantiles import ranked
 
 
 def _pairs(dims: list[str]) -> list[tuple[str, str]]:
@@ -20,11 +20,11 @@ def _pairs(dims: list[str]) -> list[tuple[str, str]]:
 
 def spearman(wide: DataFrame, keys: list[str], dims: list[str], least: int) -> DataFrame:
     """(keys, a, b, n, rho) of every two measures; groups below `least` rows are left out. Ranks are taken once a measure."""
-    ranked = wide.dropna(subset=dims)
+    table = cut(wide.dropna(subset=dims))
     for d in dims:
-        ranked = average_rank(ranked, keys, d, f"r_{d}")
+        table = ranked(table, keys, d, f"r_{d}")
     pairs = _pairs(dims)
-    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), *[corr(f"r_{a}", f"r_{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    g = table.groupBy(*keys).agg(F.count("*").alias("n"), *[corr(f"r_{a}", f"r_{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("rho")) for k, (a, b) in enumerate(pairs)])
     return g.where(F.col("n") >= least).select(*keys, "n", F.explode(rows).alias("r")).select(*keys, "r.a", "r.b", "n", "r.rho")
 
@@ -91,6 +91,14 @@ def chi2_tail(x: Column, k: int) -> Column:
     return F.exp(-x / 2) * total
 
 
+def binomial_tail(n: Column, hits: Column) -> Column:
+    """Probability of at least so many hits in n fair draws, in logs; n is the size of a sheet of human choices, not of a corpus."""
+    start = F.aggregate(F.when(n > hits, F.sequence(F.lit(1).cast("long"), n - hits)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.log((hits + i) / i)) - n * F.log(F.lit(2.0))
+    more = F.when(n > hits, F.sequence(hits, n - 1)).otherwise(F.array().cast("array<bigint>"))
+    step = lambda s, k: F.struct((s["l"] + F.log((n - k) / (k + 1))).alias("l"), (s["p"] + F.exp(s["l"] + F.log((n - k) / (k + 1)))).alias("p"))
+    return F.aggregate(more, F.struct(start.alias("l"), F.exp(start).alias("p")), step, lambda s: s["p"])
+
+
 def mahalanobis(z: DataFrame, inverse: DataFrame, key: str, dims: list[str]) -> DataFrame:
     """d2 and its chi-square tail of each row; the matrix of a stratum is one row (k x k numbers) and joins by the stratum."""
     entries = inverse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "i", "j"), "v"))).alias("m"))

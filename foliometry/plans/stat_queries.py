@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import corr, r6
 from foliometry.operators import evaluation, profiles, statistics, windows
+from foliometry.operators.lineage import cut
+from foliometry.operators.quantiles import percentiles, ranked
 from foliometry.plans.profile_queries import BLOCK, LOSS, NORM, TOP, WEIGHT_SQL, WEIGHTS
 from foliometry.plans.registry import DIMS, LONG_SQL, PAGES_SQL, Tables, query, with_views
 
@@ -43,21 +45,21 @@ Z = "z_ AS (SELECT paper, page, role, dim, greatest(-4, least(4, (value - center
 d_ AS (SELECT role, greatest(0, least(1, sum(v) / max(n) / nullif(sum(r * r), 0))) AS delta FROM c_ GROUP BY role)""", body="SELECT role, a, b, n, round(r, 6) AS r, round(delta, 6) AS delta, round((1 - delta) * r, 6) AS shrunk FROM c_ JOIN d_ USING (role)"))
 def corr_shrink(t: Tables) -> DataFrame:
     """Correlation of clipped z shrunk to the identity; all sums in one pass over wide z rows."""
-    z = statistics.wide_z(t.long, profiles.robust_block(t.long, ["role"]), ["role"], DIMS)
+    z = statistics.wide_z(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"], DIMS)
     return statistics.shrunk_correlation(z, ["role"], DIMS).select("role", "a", "b", "n", *[r6(c).alias(c) for c in ("r", "delta", "shrunk")])
 
 
 @query("pattern_inverse")
 def pattern_inverse(t: Tables) -> DataFrame:
     """Inverse of the shrunk correlation of each stratum, as rows and columns."""
-    z = statistics.wide_z(t.long, profiles.robust_block(t.long, ["role"]), ["role"], DIMS)
+    z = statistics.wide_z(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"], DIMS)
     return statistics.inverses(statistics.shrunk_correlation(z, ["role"], DIMS), "role", DIMS).select("role", "i", "j", F.round("v", 5).alias("v"))
 
 
 @query("mahalanobis_d2")
 def mahalanobis_d2(t: Tables) -> DataFrame:
     """Squared distance of each page and its chi-square tail."""
-    z = statistics.wide_z(t.long, profiles.robust_block(t.long, ["role"]), ["role"], DIMS)
+    z = statistics.wide_z(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"], DIMS)
     inverse = statistics.inverses(statistics.shrunk_correlation(z, ["role"], DIMS), "role", DIMS)
     return statistics.mahalanobis(z, inverse, "role", DIMS).select("paper", "page", F.round("d2", 4).alias("d2"), F.round("p", 6).alias("p"))
 
@@ -71,8 +73,9 @@ def pca_profile(t: Tables) -> DataFrame:
 @query("dim_validity", with_views(LONG_SQL, body="SELECT role, dim, n, round(mode_n / n, 6) AS mode_share, round(p90 - p10, 6) AS width, mode_n / n < 0.5 AND p90 - p10 > 1e-9 AS valid FROM (SELECT role, dim, max(c) AS mode_n, sum(c) AS n FROM (SELECT role, dim, value, count(*) AS c FROM long_ GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT role, dim, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90 FROM long_ GROUP BY 1, 2) USING (role, dim)").replace("SELECT role, dim, n, round", "SELECT role, dim, CAST(n AS BIGINT) AS n, round"))
 def dim_validity(t: Tables) -> DataFrame:
     c = t.long.groupBy("role", "dim", "value").agg(F.count("*").alias("c"))
-    width = F.percentile("value", 0.9, F.col("c")) - F.percentile("value", 0.1, F.col("c"))
-    g = c.groupBy("role", "dim").agg(F.sum("c").alias("n"), F.max("c").alias("m"), width.alias("w"))
+    c = cut(c)
+    width = percentiles(c, ["role", "dim"], (0.1, 0.9), count="c").select("role", "dim", (F.col("p")[1] - F.col("p")[0]).alias("w"))
+    g = c.groupBy("role", "dim").agg(F.sum("c").alias("n"), F.max("c").alias("m")).join(width, ["role", "dim"])
     return g.select("role", "dim", "n", r6(F.col("m") / F.col("n")).alias("mode_share"), r6("w").alias("width"), ((F.col("m") / F.col("n") < 0.5) & (F.col("w") > 1e-9)).alias("valid"))
 
 
@@ -93,17 +96,17 @@ def fold_profiles(t: Tables) -> DataFrame:
     """Profiles of the training papers of every fold. Equal values are counted once a fold, then weighted, so no page is copied."""
     c = t.long.join(folded(t).select("paper", "fold"), "paper").groupBy("fold", "role", "dim", "value").agg(F.count("*").alias("c"))
     train = c.withColumn("test_fold", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda k: k != F.col("fold"))))
-    p = [r6(F.percentile("value", q, F.col("c"))).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return train.groupBy("test_fold", "role", "dim").agg(F.sum("c").alias("n"), *p)
+    p = percentiles(train, ["test_fold", "role", "dim"], (0.25, 0.5, 0.75), count="c")
+    return p.select("test_fold", "role", "dim", "n", *[r6(F.col("p")[k]).alias(n) for k, n in enumerate(("p25", "p50", "p75"))])
 
 
 @query("fp_protocol", with_views(PAGES_SQL, FOLD, "k_ AS (SELECT unnest(range(5)) AS test_fold)", "thr_ AS (SELECT test_fold, role, quantile_cont(net_price, 0.95) AS t95, quantile_cont(net_price, 0.97) AS t97 FROM pages_ JOIN fold_ USING (paper) JOIN k_ ON test_fold <> fold GROUP BY 1, 2)", body="SELECT p.role, count(*) AS n, round(avg(CASE WHEN net_price > t95 THEN 1.0 ELSE 0.0 END), 6) AS fp95, round(avg(CASE WHEN net_price > t97 THEN 1.0 ELSE 0.0 END), 6) AS fp97 FROM pages_ p JOIN fold_ f USING (paper) JOIN thr_ t ON t.test_fold = f.fold AND t.role = p.role GROUP BY p.role"))
 def fp_protocol(t: Tables) -> DataFrame:
     """False-positive rates of training quantiles on held-out papers, pooled over the folds."""
     pages = t.pages.join(folded(t).select("paper", "fold"), "paper").select("fold", "role", F.col("net_price").alias("v"))
-    c = pages.groupBy("fold", "role", "v").agg(F.count("*").alias("c"))
+    c = cut(pages.groupBy("fold", "role", "v").agg(F.count("*").alias("c")))
     train = c.withColumn("test_fold", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda k: k != F.col("fold"))))
-    thr = train.groupBy("test_fold", "role").agg(F.percentile("v", 0.95, F.col("c")).alias("t95"), F.percentile("v", 0.97, F.col("c")).alias("t97"))
+    thr = percentiles(train, ["test_fold", "role"], (0.95, 0.97), "v", "c").select("test_fold", "role", F.col("p")[0].alias("t95"), F.col("p")[1].alias("t97"))
     test = c.join(thr.withColumnRenamed("test_fold", "fold"), ["fold", "role"])
     rate = lambda q: r6(F.sum(F.when(F.col("v") > F.col(q), F.col("c")).otherwise(0)) / F.sum("c"))
     return test.groupBy("role").agg(F.sum("c").alias("n"), rate("t95").alias("fp95"), rate("t97").alias("fp97"))
@@ -161,7 +164,7 @@ def block_filter(t: Tables) -> DataFrame:
     """Blocks without the gated dims, with weights."""
     gated = dim_gate(t).where("gate = 'report'").select("dim")
     weights = t.spark.createDataFrame(list(WEIGHTS.items()), "dim string, w double")
-    block = profiles.robust_block(t.long, ["role"]).join(gated, "dim", "left_anti").join(weights, "dim", "left")
+    block = profiles.robust_block(t.kept, ["role"]).join(gated, "dim", "left_anti").join(weights, "dim", "left")
     return block.select("role", "dim", r6("center").alias("center"), F.coalesce("w", F.lit(1.0)).alias("weight"))
 
 
@@ -228,10 +231,10 @@ def answers_to_pairs(t: Tables) -> DataFrame:
 
 @query("pair_summary", with_views(LONG_SQL, body="SELECT dim, count(*) AS n, list_sort(list(d))[CAST(floor(count(*) / 2.0) AS BIGINT) + 1] AS median_abs FROM (SELECT dim, abs(value - lead(value) OVER (PARTITION BY paper, dim ORDER BY page)) AS d FROM long_ WHERE dim IN ('quantity', 'tax')) WHERE d IS NOT NULL GROUP BY dim"))
 def pair_summary(t: Tables) -> DataFrame:
-    from foliometry.operators.aggregates import at_ranks, upper_median_rank
+    from foliometry.operators.aggregates import ranks_of, upper_median_rank
 
     d = F.abs(F.col("value") - F.lead("value").over(W.partitionBy("paper", "dim").orderBy("page")))
-    return at_ranks(t.long.where("dim in ('quantity', 'tax')").select("dim", d.alias("d")), ["dim"], {"median_abs": upper_median_rank()}, "d").select("dim", "n", "median_abs")
+    return ranks_of(t.long.where("dim in ('quantity', 'tax')").select("dim", d.alias("d")), ["dim"], {"median_abs": upper_median_rank()}, "d").select("dim", "n", "median_abs")
 
 
 @query("indifference_point", "SELECT k, round(CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND hi >= lo THEN (lo + hi) / 2 WHEN lo IS NOT NULL THEN lo ELSE hi END, 6) AS point, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND hi >= lo THEN 'mid' WHEN lo IS NOT NULL THEN 'lower' ELSE 'upper' END AS kind FROM (SELECT p_brand AS k, max(p_size) FILTER (WHERE p_retailprice % 3 < 1.5) AS lo, min(p_size) FILTER (WHERE p_retailprice % 3 >= 2.9) AS hi FROM part GROUP BY 1)")
@@ -287,35 +290,37 @@ def detector_verdict(t: Tables) -> DataFrame:
     return t.long.groupBy("dim").agg(F.when(zero > 0.5, "hold").when(cv < 0.2, "change").otherwise("usable").alias("verdict"))
 
 
-@query("pair_agreement", """WITH j AS (SELECT l.quality, CASE WHEN regexp_matches(text, '[#$%&*|!]') THEN 0 ELSE 1 END AS model FROM documents JOIN labels l USING (doc_id)) SELECT count(*) AS n, count(*) FILTER (WHERE quality = model) AS hits, round(avg(CASE WHEN quality = model THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM j""")
+@query("pair_agreement", """WITH j AS (SELECT l.quality, CASE WHEN regexp_matches(text, '[#$%&*|!]') THEN 0 ELSE 1 END AS model FROM documents JOIN labels l USING (doc_id)) SELECT count(*) AS n, count(*) FILTER (WHERE quality = model) AS hits, round(avg(CASE WHEN quality = model THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+(SELECT round(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))), 6) FROM (SELECT n, unnest(range(hits, n + 1)) AS k FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = model) AS hits FROM j))) AS tail FROM j""")
 def pair_agreement(t: Tables) -> DataFrame:
     """Agreement of a model's choice with human choice, and the exact one-sided tail of that many hits by chance."""
     model = F.when(F.col("text").rlike("[#$%&*|!]"), 0).otherwise(1)
     j = t["documents"].join(t["labels"], "doc_id").select((F.col("quality") == model).alias("hit"))
-    return j.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), r6(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0))).alias("accuracy"))
+    g = j.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), r6(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0))).alias("accuracy"))
+    return g.withColumn("tail", r6(statistics.binomial_tail(F.col("n"), F.col("hits"))))
 
 
 @query("human_rank_corr", """SELECT lang, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2.0 AS ry FROM documents JOIN labels USING (doc_id)) GROUP BY lang HAVING count(*) >= 8""")
 def human_rank_corr(t: Tables) -> DataFrame:
     j = t["documents"].select("doc_id", "lang", "n_chars").join(t["labels"].select("doc_id", "quality"), "doc_id")
-    r = windows.average_rank(windows.average_rank(j, ["lang"], "n_chars", "rx"), ["lang"], "quality", "ry")
+    r = ranked(ranked(cut(j), ["lang"], "n_chars", "rx"), ["lang"], "quality", "ry")
     return r.groupBy("lang").agg(F.count("*").alias("n"), r6(corr("rx", "ry")).alias("rho")).where("n >= 8")
 
 
 @query("signal_noise_weights", with_views(LONG_SQL, BLOCK, LOSS, NORM, body="""SELECT dim, round(greatest(0.25, least(4.0, c / avg(c) OVER ())), 6) AS weight FROM (SELECT dim, greatest(0.25, least(4.0, (quantile_cont(norm, 0.95) - quantile_cont(norm, 0.5)) / (quantile_cont(norm, 0.9) + 0.05))) AS c FROM norm_ GROUP BY dim)"""))
 def signal_noise_weights(t: Tables) -> DataFrame:
     """Signal over noise of each dim's loss, clipped, brought to mean 1, clipped again."""
-    norm = profiles.normalise(profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"]), ["role"])
-    q = lambda x: F.percentile("norm", x)
+    norm = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])
+    p = percentiles(norm, ["dim"], (0.5, 0.9, 0.95), "norm")
     clip = lambda c: F.greatest(F.lit(0.25), F.least(F.lit(4.0), c))
-    g = norm.groupBy("dim").agg(clip((q(0.95) - q(0.5)) / (q(0.9) + 0.05)).alias("c"))
+    g = p.select("dim", clip((F.col("p")[2] - F.col("p")[0]) / (F.col("p")[1] + 0.05)).alias("c"))
     return g.select("dim", r6(clip(F.col("c") / F.avg("c").over(W.partitionBy()))).alias("weight"))
 
 
 @query("margin_stats", with_views(LONG_SQL, BLOCK, LOSS, NORM, TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").replace("value", "norm"), WEIGHT_SQL, body="""SELECT round(quantile_cont(new - old, 0.5), 5) AS median_margin, round(avg(CASE WHEN new > old THEN 1.0 ELSE 0.0 END), 6) AS positive, count(*) AS n FROM (SELECT paper, sum(w * (0.5 * top_mean + 0.5 * mean)) / sum(w) AS new, avg(0.5 * top_mean + 0.5 * mean) AS old FROM pool_ JOIN w_ USING (dim) GROUP BY paper)"""))
 def margin_stats(t: Tables) -> DataFrame:
     """Margins of the scores under new weights over those under equal weights."""
-    losses = profiles.normalise(profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"]), ["role"])
+    losses = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])
     pooled = profiles.pooled(losses, ["paper", "dim"], "norm")
     both = profiles.weighted_score(pooled, ["paper"], "pooled", WEIGHTS).select("paper", F.col("score").alias("new")).join(profiles.weighted_score(pooled, ["paper"], "pooled", {}).select("paper", F.col("score").alias("old")), "paper")
     d = F.col("new") - F.col("old")
@@ -325,7 +330,7 @@ def margin_stats(t: Tables) -> DataFrame:
 @query("evaluate_docs", with_views(LONG_SQL, BLOCK, LOSS, NORM, TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").replace("value", "norm"), WEIGHT_SQL, "score_ AS (SELECT paper, sum(w * (0.5 * top_mean + 0.5 * mean)) / sum(w) AS score FROM pool_ JOIN w_ USING (dim) GROUP BY paper)", "odd_ AS (SELECT paper, count(*) FILTER (WHERE round(s, 6) > 12) AS anomalous, arg_max(page, (round(s, 6), -page)) AS worst_page FROM (SELECT paper, page, sum(norm) AS s FROM norm_ GROUP BY 1, 2) GROUP BY paper)", body="SELECT paper, round(score, 5) AS score, anomalous, worst_page FROM score_ JOIN odd_ USING (paper)"))
 def evaluate_docs(t: Tables) -> DataFrame:
     """Documents against the profile: weighted score, anomalous pages and the worst page, all documents in one job."""
-    norm = profiles.normalise(profiles.page_losses(t.long, profiles.robust_block(t.long, ["role"]), ["role"]), ["role"])
+    norm = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])
     score = profiles.weighted_score(profiles.pooled(norm, ["paper", "dim"], "norm"), ["paper"], "pooled", WEIGHTS)
     pages = norm.groupBy("paper", "page").agg(r6(F.sum("norm")).alias("s"))
     odd = pages.groupBy("paper").agg(F.count_if(F.col("s") > 12).alias("anomalous"), F.max_by("page", F.struct("s", (-F.col("page")).alias("p"))).alias("worst_page"))

@@ -65,12 +65,12 @@ def scan_logs(t: Tables) -> DataFrame:
     return t["orders"].select(F.col("o_custkey").alias("case_id")).distinct().join(logs, F.col("case_id") == F.col("doc"), "left").select("case_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
-@query("interval_join_span", with_views(LOGS_SQL, ISSUE, "span_ AS (SELECT user_id AS doc, event_id % 400 AS lo, event_id % 400 + 12 AS hi FROM events WHERE event_type = 'error' AND event_id % 4 = 0)", body="SELECT doc, line_no, line_lo, CASE WHEN EXISTS (SELECT 1 FROM span_ s WHERE s.doc = i.doc AND i.line_lo BETWEEN s.lo - 1 AND s.hi + 1) THEN 'table' ELSE 'text' END AS place FROM issue_ i WHERE kind = 'overfull'"))
+@query("interval_join_span", with_views(LOGS_SQL, ISSUE, "span_ AS (SELECT user_id AS doc, event_id % 400 AS lo, event_id % 400 + 12 AS hi FROM events WHERE event_type = 'error')", body="SELECT doc, line_no, line_lo, CASE WHEN EXISTS (SELECT 1 FROM span_ s WHERE s.doc = i.doc AND i.line_lo BETWEEN s.lo - 1 AND s.hi + 1) THEN 'table' ELSE 'text' END AS place FROM issue_ i WHERE kind = 'overfull'"))
 def interval_join_span(t: Tables) -> DataFrame:
     """Overfull lines inside any span (one line of slack) are of a table. Buckets of 64 lines make the range join an equi-join."""
     over = issues(t).where("kind = 'overfull'").select("doc", "line_no", "line_lo")
     e = F.col("event_id") % 400
-    spans = t["events"].where("event_type = 'error' and event_id % 4 = 0").select(F.col("user_id").alias("doc"), (e - 1).alias("lo"), (e + 13).alias("hi"))
+    spans = t["events"].where("event_type = 'error'").select(F.col("user_id").alias("doc"), (e - 1).alias("lo"), (e + 13).alias("hi"))
     cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / 64), F.floor(F.col("hi") / 64))))
     left = over.withColumn("cell", F.floor(F.col("line_lo") / 64)).alias("o")
     hit = left.join(cells.alias("s"), (F.col("o.doc") == F.col("s.doc")) & (F.col("o.cell") == F.col("s.cell")) & F.col("line_lo").between(F.col("lo"), F.col("hi")), "left_semi").select("line_no", F.lit(True).alias("hit"))
