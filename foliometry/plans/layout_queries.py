@@ -128,3 +128,24 @@ def whitespace_rows(t: Tables) -> DataFrame:
     rows = frame.join(covered.select("doc", F.col("row").alias("j"), F.bit_count("mask").alias("n")), ["doc", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rows = rows.withColumn("last", F.max(F.when(F.col("n") > 0, F.col("j"))).over(W.partitionBy("doc")))
     return rows.select("doc", "j", F.when(F.col("n") == 0, "band").when(F.col("j") >= F.col("last"), "trailing").when(F.col("n") < 4, "anomalous").otherwise("structural").alias("class"))
+
+
+FLOATS = """box_ AS (SELECT o_custkey AS page, o_orderkey AS id, substr(o_orderpriority, 1, 1) AS kind, CAST(o_orderkey % 13 AS DOUBLE) * 40 AS x0, CAST(o_orderkey % 17 AS DOUBLE) * 45 AS y0,
+  CAST(o_orderkey % 13 AS DOUBLE) * 40 + 60 AS x1, CAST(o_orderkey % 17 AS DOUBLE) * 45 + 20 + o_orderkey % 5 AS y1 FROM orders),
+cap_ AS (SELECT *, CASE WHEN x0 >= 276 THEN 280.0 ELSE 0.0 END AS lft, CASE WHEN x0 >= 276 THEN 580.0 ELSE 260.0 END AS rgt FROM box_ WHERE kind = '3'),
+g_ AS (SELECT * FROM box_ WHERE kind IN ('1', '2') AND (x1 - x0) * (y1 - y0) < 0.75 * 440800 AND x1 - x0 >= 12 AND y1 - y0 >= 3 AND (x1 - x0) * (y1 - y0) >= 0.004 * 300000),
+reach_ AS (SELECT c.id, c.page, c.lft, c.rgt, greatest(c.x0, c.lft) AS x0, greatest(c.y0, 40.0) AS y0, least(c.x1, c.rgt) AS x1, least(c.y1, 740.0) AS y1 FROM cap_ c
+  UNION SELECT r.id, r.page, r.lft, r.rgt, greatest(g.x0, r.lft), greatest(g.y0, 40.0), least(g.x1, r.rgt), least(g.y1, 740.0) FROM reach_ r JOIN g_ g ON g.page = r.page AND least(g.x1, r.rgt) - greatest(g.x0, r.lft) >= 2 AND g.y1 >= r.y0 - 60 AND g.y0 <= r.y1 + 60)"""
+
+
+@query("float_regions", "WITH RECURSIVE " + FLOATS + " SELECT page, id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, round((max(x1) - min(x0)) * (max(y1) - min(y0)), 1) AS area FROM reach_ GROUP BY page, id")
+def float_regions(t: Tables) -> DataFrame:
+    """Regions that captions span with the graphics of their column, chained by gaps of at most 60."""
+    o = t["orders"]
+    x, y = (F.col("o_orderkey") % 13).cast("double") * 40, (F.col("o_orderkey") % 17).cast("double") * 45
+    boxes = o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).alias("kind"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 20 + F.col("o_orderkey") % 5).alias("y1"))
+    second = F.col("x0") >= 276
+    captions = boxes.where("kind = '3'").select("*", F.when(second, 280.0).otherwise(0.0).alias("left"), F.when(second, 580.0).otherwise(260.0).alias("right"), F.lit(40.0).alias("bottom"), F.lit(740.0).alias("top"))
+    graphics = geometry.usable_graphics(boxes.where("kind in ('1', '2')"), 440800.0, 300000.0)
+    out = geometry.float_regions(captions, graphics, "page", 60.0)
+    return out.select("page", "id", "x0", "y0", "x1", "y1", F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 1).alias("area"))
