@@ -29,7 +29,7 @@ from foliometry.llm.common import M1, fold, mix, slices
 
 #: Numbers of a vector, texts learned from in each language, and languages.
 DIMS, MAX_TRAIN_DOCS, MOST_LANGS = 1024, 5_000, 1000
-#: Trigram vectors that a task keeps; 4 * DIMS bytes each.
+#: Trigram vectors that a task keeps; DIMS bytes each.
 KEPT = 30_000
 EDGE = 32
 #: The cosine of unrelated texts is about normal with deviation 1 / sqrt(DIMS); three deviations are noise.
@@ -49,7 +49,7 @@ def trigram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
     for place in range(3):
         points, at = np.unique((grams >> np.uint64(21 * (2 - place))) & np.uint64((1 << 21) - 1), return_inverse=True)
         out *= np.roll(letter_vectors(points, dims), 2 - place, axis=1)[at]
-    return out.astype(np.float32)
+    return out
 
 
 _LETTER = np.zeros(0, bool)
@@ -68,7 +68,7 @@ class Bundler:
 
     def __init__(self, dims: int) -> None:
         self.dims = dims
-        self.vectors = np.zeros((1024, dims), np.float32)
+        self.vectors = np.zeros((1024, dims), np.int8)
         self._clear()
 
     def _clear(self) -> None:
@@ -84,7 +84,7 @@ class Bundler:
                 new = grams
             used = len(self.grams)
             if used + len(new) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.zeros((max(len(self.vectors), len(new)), self.dims), np.float32)])
+                self.vectors = np.concatenate([self.vectors, np.zeros((max(len(self.vectors), len(new)), self.dims), np.int8)])
             self.vectors[used : used + len(new)] = trigram_vectors(new, self.dims)
             spot = np.searchsorted(self.grams, new)
             self.grams, self.rows = np.insert(self.grams, spot, new), np.insert(self.rows, spot, np.arange(used, used + len(new)))
@@ -105,7 +105,7 @@ class Bundler:
         for i in range(0, len(grams), KEPT // 2):
             part = grams[i : i + KEPT // 2]
             places = self._places(part)
-            total += counts[i : i + KEPT // 2].astype(np.float32) @ self.vectors[places]
+            total += counts[i : i + KEPT // 2].astype(np.float32) @ self.vectors[places].astype(np.float32)
         return total
 
 
