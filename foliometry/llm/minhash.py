@@ -11,10 +11,11 @@ probability (1 - (1 - s^r)^m)^2; with r = 3 and m = 14 that is above 0.9999 at s
 3. Rows of a bucket meet the smallest class in it (minima per bucket are partial aggregates; the join back is one that
    AQE can split); each class is compared with the one that it meets most often, on the full sets. Then the buckets of A's
    bands whose members are in more than one component get a centre, in STARS - 1 rounds; of buckets with the same members one goes on.
-4. The classes that share a band of A and are still in more than one component are compared in blocks: each pair of parts of
-   at most about BLOCK classes is a group, which reads the sets and gives only links that connect components. A component that
-   fills blocks of its own is not compared with itself. Each pair that meets in some table is compared once, at the first band
-   of A that it shares, so no link that a table shows is lost and pairs are never emitted.
+4. The classes that share a band of A and are still in more than one component are compared: a bucket of two gives its pair,
+   if that was not compared before; larger ones are compared in blocks, where each pair of parts of at most about BLOCK classes
+   is a group, which reads the sets and gives only links that connect components. A component that fills blocks of its own is
+   not compared with itself. Each pair that meets in some table and is still apart is compared at the first band of A that it
+   shares, whatever that bucket's size, so no link that a table shows is lost; pairs of larger buckets are never emitted.
 
 Results of each step are tables in the shared scratch folder; those that the result does not read are deleted.
 
@@ -28,13 +29,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliometry.llm.common import BROADCAST_IDS, M1, connected_components, mark, materialize, mix, release, slices, without, word_hashes
+from foliometry.llm.common import BROADCAST_IDS, M1, connected_components, free_name, mark, materialize, mix, release, slices, without, word_hashes
 
 #: Classes in each of the two parts of a bucket that one task compares.
 BLOCK = 512
@@ -205,16 +207,26 @@ def _compare(threshold: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with more than one component; of buckets with the same members only those of the first table."""
+    """Rows of buckets with more than one component, with the bucket's size; of buckets with the same members only those of the first table."""
     per = rows.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min("i").alias("table"),
         *[F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"m{salt}") for salt in (1, 2)],
-    ).where("low <> high and size > 2")
+    ).where("low <> high")
     first = Window.partitionBy("m1", "m2", "size").orderBy("table")
-    kept = materialize(per.withColumn("place", F.row_number().over(first)).where("place = 1").select("key"), "mixed")
+    kept = materialize(per.withColumn("place", F.row_number().over(first)).where("place = 1").select("key", "size"), "mixed")
     return rows.join(kept, "key")
 
 
+def _twos(rows: DataFrame, reps: DataFrame, tried: list[DataFrame], bands: int) -> DataFrame:
+    """The pairs (a, b) of buckets of two that meet in some table, so share a band of B as well, and were not compared before."""
+    pairs = rows.where("size = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    for before in tried:
+        pairs = pairs.join(before.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    side = [reps.select(F.col("node").alias(n), F.slice("bands", bands + 1, bands).alias(f"b{n}")) for n in "ab"]
+    met = F.exists(F.zip_with("ba", "bb", lambda x, y: x == y), lambda x: x)
+    return pairs.join(side[0], "a").join(side[1], "b").where(met).select("a", "b")
+
+
 def _open_blocks(rows: DataFrame) -> DataFrame:
     """Rows of mixed buckets, dealt to pairs (u, v) of parts that hold pairs to compare.
 
@@ -259,7 +271,8 @@ def _labelled(docs: DataFrame, width: int, threshold: int, bands: int, rows: int
     shared = materialize(keyed.join(buckets, "key"), "buckets")
 
     sets = _sets_of(docs, classes, shared.select("node").distinct(), width)
-    links = _verified(sets, _best(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))), threshold)
+    tried = [_best(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))]
+    links = _verified(sets, tried[0], threshold)
 
     # what is still open is looked at by bands of A, of which a class has m and not the tables' m * m
     bands_a = live.select("node", F.explode("a").alias("a")).select("node", F.col("a.k").alias("i"), F.col("a.h").alias("key"))
@@ -268,20 +281,23 @@ def _labelled(docs: DataFrame, width: int, threshold: int, bands: int, rows: int
         labels = connected_components(links)
         rows_ = bands_a.join(labels, "node", "left").select("key", "i", "node", F.coalesce("component", "node").alias("component"))
         rows_ = materialize(_mixed(rows_), "rows")
-        if turn == STARS or not rows_.take(1):
+        many = rows_.where("size > 2")
+        if turn == STARS or not many.take(1):
             break
         # another centre in each bucket that is still open: the smallest after some bits are flipped
         flip = F.lit(turn * 0x3A7C5E19B4D26F83 % (1 << 63))
-        centres = rows_.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip).alias("a"))
+        centres = many.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip).alias("a"))
         centres = centres.join(labels.toDF("a", "other"), "a", "left").withColumn("other", F.coalesce("other", "a"))
-        apart = rows_.join(centres, "key").where("component <> other").select("a", F.col("node").alias("b"))
-        links = materialize(links.union(_verified(sets, _best(apart), threshold)), "links")
-    dealt = materialize(_open_blocks(rows_), "open")
+        apart = many.join(centres, "key").where("component <> other").select("a", F.col("node").alias("b"))
+        tried.append(_best(apart))
+        links = materialize(links.union(_verified(sets, tried[-1], threshold)), "links")
+    found = [_verified(sets, _twos(rows_, reps, tried, bands), threshold)]
+    dealt = materialize(_open_blocks(many), "open")
     if dealt.take(1):
         wide = dealt.join(sets.join(reps, "node"), "node")
-        more = wide.groupBy("key", "u", "v").applyInArrow(_compare(threshold), "a long, b long")
-        links = materialize(links.union(more.distinct()), "links")
-        labels = connected_components(links)
+        found.append(materialize(wide.groupBy("key", "u", "v").applyInArrow(_compare(threshold), "a long, b long").distinct(), "links"))
+    if any(more.take(1) for more in found):
+        labels = connected_components(materialize(reduce(DataFrame.union, found, links), "links"))
     # the smallest id of each component
     owners = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     smallest = owners.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -312,7 +328,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, b
     out = without(docs, gone, *key)
     if several.take(1):  # rows alike in id and text
         many = several.select("doc_id", "first").distinct()
-        hidden = [f"__key{k}" for k in range(2)]
+        hidden = [free_name(docs, f"__key{k}") for k in range(2)]
         again = out.select("*", *[c.alias(h) for c, h in zip(key, hidden, strict=True)]).join(many.toDF(*hidden), hidden, "left_semi")
         out = without(out, many, *key).unionByName(again.dropDuplicates(hidden).drop(*hidden))
     return out

@@ -27,7 +27,7 @@ BENCH = [(1, PASSAGE), (None, PASSAGE), (2, None), (3, ""), (1, PASSAGE)]
 @pytest.fixture(scope="module", params=["long", "int"])
 def docs(spark, request):
     df = spark.createDataFrame(ROWS, SCHEMA.format(request.param))
-    for c in ("d", "key", "rep", "node", "label", "__row", "__d", "n_lines", "t", "iw", "words"):
+    for c in ("d", "key", "rep", "node", "label", "__row", "__d", "n_lines", "t", "iw", "words", "__key0", "__key1"):
         df = df.withColumn(c, F.lit("x"))
     return df
 

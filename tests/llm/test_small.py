@@ -73,6 +73,28 @@ def test_minhash_matches_brute_force(docs):
     assert all(got[k].n_shingles == len(sets[k]) and got[k].kept == (want[k] == k) for k in sets)
 
 
+def _changed(words, places, tag):
+    return [f"{tag}{k}" if k in places else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize(("chains", "length"), [(2000, 3), (300, 6)])
+def test_minhash_loses_no_link_of_chains(spark, chains, length):
+    """Neighbours in a chain are similar (0.84), others are not (0.71 at most): each chain is one component, found through its links alone."""
+    rng = np.random.default_rng(chains)
+    rows, want = [], {}
+    for chain in range(chains):
+        base = [f"c{chain}w{k}" for k in range(120)]
+        places = rng.permutation(np.arange(6, 114, 9))[: 2 * length]
+        ids = (chain * length + rng.permutation(length)).tolist()  # the smallest id stands anywhere in the chain
+        texts = [base]
+        for k in range(length - 1):  # each text has two words of its own beside what it took over
+            texts.append(_changed(texts[-1], set(places[2 * k : 2 * k + 2].tolist()), f"x{chain}n{k}w"))
+        rows += [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+        want |= dict.fromkeys(ids, min(ids))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.component_id != want[r.doc_id] for r in got) == 0 and len(got) == len(rows)
+
+
 def test_minhash_large_group_of_near_misses(spark):
     """A bucket whose centre links few of its members: links among the others are found, in blocks."""
     base = [f"b{i}" for i in range(60)]
