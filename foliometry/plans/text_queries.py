@@ -236,8 +236,8 @@ def distinct_captures(t: Tables) -> DataFrame:
 RULES = {"bars": r"[|]", "shout": r"!!", "symbols": r"[#$%&*]{3}", "long_number": r"[0-9]{9,}", "mail": r"@", "assign": r" = ", "double_word": r"(?i)\bthe the\b"}
 
 
-@query("hygiene_scan", with_views(LINES_SQL, body=" UNION ALL ".join(f"SELECT doc, line, '{k}' AS kind, regexp_extract(text, '{p}') AS detail FROM lines_ WHERE regexp_matches(text, '{p}') AND NOT starts_with(text, '%')" for k, p in RULES.items())))
-def hygiene_scan(t: Tables) -> DataFrame:
+@query("line_rules", with_views(LINES_SQL, body=" UNION ALL ".join(f"SELECT doc, line, '{k}' AS kind, regexp_extract(text, '{p}') AS detail FROM lines_ WHERE regexp_matches(text, '{p}') AND NOT starts_with(text, '%')" for k, p in RULES.items())))
+def line_rules(t: Tables) -> DataFrame:
     """Line rules over source lines (comments left out): one pass, a row for each rule that fires."""
     rules = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 0).alias("detail"))) for k, p in RULES.items()])
     hits = t.lines.where(~F.col("text").startswith("%")).select("doc", "line", F.explode(F.array_compact(rules)).alias("h"))
