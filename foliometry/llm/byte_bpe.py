@@ -22,16 +22,19 @@ import codecs
 import struct
 from collections.abc import Callable, Iterator
 from functools import cache
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliometry.llm.common import slices, texts_of
 from foliometry.llm.gather import WordIds, bounds_of, byte_runs, matches
 
+#: Ids that are decoded at a time.
+MOST_IDS = 1 << 18
+
 # Field numbers and values of sentencepiece's model format (fixed values).
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE_TEXT, PIECE_SCORE, PIECE_TYPE = 1, 2, 3
@@ -85,8 +88,25 @@ def model_of(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _block(TRAINER, trainer) + _block(NORMALIZER, identity)
 
 
-class Codec:
-    """Ids of texts and bytes of ids under one vocabulary and one pattern."""
+class Decoder:
+    """Bytes of ids under one vocabulary."""
+
+    def __init__(self, path: str) -> None:
+        by_rank = {rank: raw for raw, rank in read_ranks(path).items()}
+        size = max(by_rank) + 1
+        self.bytes = byte_runs([by_rank.get(k, b"") for k in range(size)])
+        self.known_ids = np.array([k in by_rank for k in range(size)])
+
+    def __call__(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all rows of ids, and where each row's bytes begin and end."""
+        if not ((ids >= 0) & (ids < len(self.known_ids))).all() or not self.known_ids[ids].all():
+            raise ValueError("an id is outside the vocabulary")
+        raw, lengths = self.bytes.gather(ids)
+        return raw, bounds_of(lengths)[bounds]
+
+
+class Encoder:
+    """Ids of texts under one vocabulary and one pattern."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
@@ -97,6 +117,7 @@ class Codec:
             raise ValueError(f"not a byte-level vocabulary: bytes {missing} have no rank")
         self.model = SentencePieceProcessor(model_proto=model_of(self.ranks))
         self.encode = WordIds(matches(regex.compile(pattern)), self._encode)  # texts to ids and bounds
+        self.by_word = WordIds(matches(regex.compile(pattern)), self._encode)
         size = max(self.ranks.values()) + 1
         by_rank = {rank: raw for raw, rank in self.ranks.items()}
         self.bytes = byte_runs([by_rank.get(k, b"") for k in range(size)])
@@ -109,37 +130,45 @@ class Codec:
         rest = iter(self.model.encode([letters(raw) for raw, k in zip(raws, whole, strict=True) if k is None], num_threads=1))
         return [next(rest) if k is None else [k] for k in whole]
 
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all rows of ids, and where each row's bytes begin and end."""
-        if not ((ids >= 0) & (ids < len(self.known_ids))).all() or not self.known_ids[ids].all():
-            raise ValueError("an id is outside the vocabulary")
-        raw, lengths = self.bytes.gather(ids)
-        return raw, bounds_of(lengths)[bounds]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text by text, and where each text's ids begin and end."""
+        return self.by_word(texts)
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
+def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker."""
-    return Codec(path, pattern)
+    return Encoder(path, pattern)
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def _encoding(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, bounds = codec(path, pattern).encode(texts_of(batch.column(1)))
+            ids, bounds = encoder(path, pattern)(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     return run
 
 
-def _decoding(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that the lists of this column have about MOST_IDS values together; a longer list is a batch of its own."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(column)), 0))
+    part = np.cumsum(sizes, dtype=np.int64) // MOST_IDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+
+
+def _decoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            column: Any = batch.column(at)
-            column = column.fill_null([]) if column.null_count else column
+        for batch in (part for whole in batches for part in _parts(whole, "ids")):
+            column = pc.fill_null(batch.column("ids"), [])
             offsets = np.asarray(column.offsets).astype(np.int64)
-            raw, bounds = codec(path, pattern).decode(np.asarray(column.flatten()), offsets - offsets[0])
+            raw, bounds = decoder(path)(np.asarray(column.flatten()), offsets - offsets[0])
             decoded = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
 
@@ -152,9 +181,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     return rows.mapInArrow(_encoding(ranks, pattern), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, ids) with the bytes of the ids as decoded."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks, pattern), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks), "doc_id long, ids array<int>, decoded binary")
 
 
 def query(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -162,7 +191,7 @@ def query(docs: DataFrame, ranks: str | None = None, pattern: str | None = None)
     import public_tokenizers
 
     ranks, pattern = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    decoded = decode(encode(docs, ranks, pattern), ranks, pattern)
+    decoded = decode(encode(docs, ranks, pattern), ranks)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

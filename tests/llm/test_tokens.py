@@ -5,7 +5,9 @@ import random
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,9 +55,8 @@ def test_model_equals_the_library_on_scraps(library, monkeypatch):
     texts = [*scraps(2000, 3), "".join(random.Random(4).choice("abc") for _ in range(50_000))]
     for stretch in (500_000, 7):
         monkeypatch.setattr(gather, "STRETCH", stretch)
-        codec = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
-        ids, bounds = codec.encode(texts)
-        raw, ends = codec.decode(ids, bounds)
+        ids, bounds = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)(texts)
+        raw, ends = byte_bpe.Decoder(RANKS)(ids, bounds)
         for k, t in enumerate(texts):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode_ordinary(t)
             assert raw[ends[k] : ends[k + 1]].tobytes() == t.encode()
@@ -63,23 +64,32 @@ def test_model_equals_the_library_on_scraps(library, monkeypatch):
 
 def test_model_equals_the_library_on_letters_of_all_kinds(library):
     texts = [f"a{c}b {c}1{c} {c}" for k in range(0, 0x30000, 7) if not 0xD800 <= k < 0xE000 for c in [chr(k)]]
-    ids, bounds = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN).encode(texts)
+    ids, bounds = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)(texts)
     assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_store_of_words_stays_small(library, monkeypatch):
     monkeypatch.setattr(gather, "MOST_WORDS", 50)
     monkeypatch.setattr(gather, "MOST_CHARS", 400)
-    codec = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    encoder = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
     for t in scraps(300, 5):
-        assert codec.encode([t])[0].tolist() == library.encode_ordinary(t)
-        assert len(codec.encode.place) <= 50 + len(SCRAPS)
+        assert encoder([t])[0].tolist() == library.encode_ordinary(t)
+        assert len(encoder.by_word.place) <= 50 + len(SCRAPS)
 
 
 def test_ids_outside_the_vocabulary_are_an_error(spark):
     encoded = spark.createDataFrame([(1, [5, 60_000])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
-        byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()
+        byte_bpe.decode(encoded, RANKS).collect()
+
+
+def test_decoding_cuts_batches_and_takes_nulls(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MOST_IDS", 10)
+    rows = [(k, None if k % 7 == 0 else list(range(k % 23))) for k in range(200)]
+    plain = byte_bpe.Decoder(RANKS)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "ids": x} for i, x in rows])
+    got = [x for part in byte_bpe._decoding(RANKS)(iter([batch.slice(3)])) for x in part.column("decoded").to_pylist()]
+    assert got == [plain(np.array(x or [], np.int32), np.array([0, len(x or [])]))[0].tobytes() for _, x in rows[3:]]
 
 
 def expected_bytes(rows, library):
