@@ -20,8 +20,8 @@ def versions(t: Tables) -> DataFrame:
     return t["orders"].select(F.col("o_custkey").alias("doc"), k.alias("ver"), (k % 4).alias("n_gate"), F.round(F.col("o_totalprice") / 1000, 3).alias("m1"), (k % 9).cast("double").alias("m2"))
 
 
-@query("lexi_accept", with_views(VERSIONS, body="SELECT doc, ver, CASE WHEN prev IS NULL THEN 'first' WHEN n_gate < pg THEN 'fewer violations' WHEN n_gate > pg THEN 'rejected' WHEN m1 < pm1 THEN 'lower m1' WHEN m1 > pm1 THEN 'rejected' WHEN m2 < pm2 THEN 'lower m2' ELSE 'rejected' END AS reason FROM (SELECT *, lag(ver) OVER w AS prev, lag(n_gate) OVER w AS pg, lag(m1) OVER w AS pm1, lag(m2) OVER w AS pm2 FROM v_ WINDOW w AS (PARTITION BY doc ORDER BY ver))"))
-def lexi_accept(t: Tables) -> DataFrame:
+@query("version_steps", with_views(VERSIONS, body="SELECT doc, ver, CASE WHEN prev IS NULL THEN 'first' WHEN n_gate < pg THEN 'fewer violations' WHEN n_gate > pg THEN 'rejected' WHEN m1 < pm1 THEN 'lower m1' WHEN m1 > pm1 THEN 'rejected' WHEN m2 < pm2 THEN 'lower m2' ELSE 'rejected' END AS reason FROM (SELECT *, lag(ver) OVER w AS prev, lag(n_gate) OVER w AS pg, lag(m1) OVER w AS pm1, lag(m2) OVER w AS pm2 FROM v_ WINDOW w AS (PARTITION BY doc ORDER BY ver))"))
+def version_steps(t: Tables) -> DataFrame:
     """Each version against the one before: violations first, then m1, then m2."""
     w = W.partitionBy("doc").orderBy("ver")
     p = lambda c: F.lag(c).over(w)
@@ -35,8 +35,8 @@ def model_score(t: Tables) -> DataFrame:
     return versions(t).groupBy("doc").agg(F.min(F.struct("n_gate", "m1", "m2", "ver")).alias("b"), r6(F.min(2.0 * F.col("m1") + F.col("m2") + 0.5 * F.col("n_gate"))).alias("score")).select("doc", F.col("b.ver").alias("best"), "score")
 
 
-@query("run_status", with_views(STEPS, body="SELECT doc, CASE WHEN min(i) > 0 THEN 'gate' WHEN count(*) FILTER (WHERE accepted) = 0 THEN 'no_change' WHEN max(p) > 90 THEN 'defects' ELSE 'ok' END AS status, count(*) AS attempts FROM steps_ GROUP BY doc"))
-def run_status(t: Tables) -> DataFrame:
+@query("step_status", with_views(STEPS, body="SELECT doc, CASE WHEN min(i) > 0 THEN 'gate' WHEN count(*) FILTER (WHERE accepted) = 0 THEN 'no_change' WHEN max(p) > 90 THEN 'defects' ELSE 'ok' END AS status, count(*) AS attempts FROM steps_ GROUP BY doc"))
+def step_status(t: Tables) -> DataFrame:
     status = F.when(F.min("i") > 0, "gate").when(F.count_if("accepted") == 0, "no_change").when(F.max("p") > 90, "defects").otherwise("ok")
     return steps(t).groupBy("doc").agg(status.alias("status"), F.count("*").alias("attempts"))
 

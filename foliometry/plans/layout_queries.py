@@ -31,8 +31,8 @@ def balance_metrics(t: Tables) -> DataFrame:
     return cells(t).groupBy("doc").agg(share(j < 13).alias("top"), share((j >= 13) & (j < 26)).alias("middle"), share(j >= 26).alias("bottom"), r6(F.avg(j + 0.5)).alias("centroid"), share(F.col("i") < 14).alias("left_share"))
 
 
-@query("alignment_metrics", with_views(ITEMS, body="SELECT doc, round(quantile_cont(l, 0.5), 6) AS left_sd, round(quantile_cont(r, 0.5), 6) AS right_sd FROM (SELECT doc, CAST(floor(x0 / 280) AS BIGINT) AS col, stddev_pop(x0) AS l, stddev_pop(x1) AS r FROM item_ GROUP BY 1, 2) GROUP BY doc"))
-def alignment_metrics(t: Tables) -> DataFrame:
+@query("box_alignment", with_views(ITEMS, body="SELECT doc, round(quantile_cont(l, 0.5), 6) AS left_sd, round(quantile_cont(r, 0.5), 6) AS right_sd FROM (SELECT doc, CAST(floor(x0 / 280) AS BIGINT) AS col, stddev_pop(x0) AS l, stddev_pop(x1) AS r FROM item_ GROUP BY 1, 2) GROUP BY doc"))
+def box_alignment(t: Tables) -> DataFrame:
     """Spread of the edges within columns, median over columns."""
     g = items(t).groupBy("doc", F.floor(F.col("x0") / 280).alias("col")).agg(F.stddev_pop("x0").alias("l"), F.stddev_pop("x1").alias("r"))
     return g.groupBy("doc").agg(r6(F.percentile("l", 0.5)).alias("left_sd"), r6(F.percentile("r", 0.5)).alias("right_sd"))
@@ -44,13 +44,13 @@ def float_quality(t: Tables) -> DataFrame:
     return items(t).groupBy("doc").agg(F.count("*").alias("n"), r6(F.when(F.count("*") >= 2, F.stddev_pop(h) / F.avg(h))).alias("height_cv"), r6(F.min(72 * 600 / w)).alias("min_dpi"), F.count_if(F.abs(w / h / 2.7 - 1) > 0.1).alias("stretched"))
 
 
-@query("frame_measure", with_views(ITEMS, body="SELECT doc, min(x0) AS left_edge, max(x1) AS right_edge, min(y0) AS top, max(y1) AS bottom, count(DISTINCT CAST(floor(x0 / 280) AS BIGINT)) AS columns FROM item_ GROUP BY doc"))
-def frame_measure(t: Tables) -> DataFrame:
+@query("box_frame", with_views(ITEMS, body="SELECT doc, min(x0) AS left_edge, max(x1) AS right_edge, min(y0) AS top, max(y1) AS bottom, count(DISTINCT CAST(floor(x0 / 280) AS BIGINT)) AS columns FROM item_ GROUP BY doc"))
+def box_frame(t: Tables) -> DataFrame:
     return items(t).groupBy("doc").agg(F.min("x0").alias("left_edge"), F.max("x1").alias("right_edge"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.count_distinct(F.floor(F.col("x0") / 280)).alias("columns"))
 
 
-@query("margin_measure", with_views(ITEMS, body="SELECT doc, round(min(x0) * 25.4 / 72, 6) AS left_mm, round((612 - max(x1)) * 25.4 / 72, 6) AS right_mm, round((max(x1) - min(x0)) * 25.4 / 72, 6) AS width_mm FROM item_ GROUP BY doc"))
-def margin_measure(t: Tables) -> DataFrame:
+@query("box_margins", with_views(ITEMS, body="SELECT doc, round(min(x0) * 25.4 / 72, 6) AS left_mm, round((612 - max(x1)) * 25.4 / 72, 6) AS right_mm, round((max(x1) - min(x0)) * 25.4 / 72, 6) AS width_mm FROM item_ GROUP BY doc"))
+def box_margins(t: Tables) -> DataFrame:
     mm = lambda c: r6(c * 25.4 / 72)
     return items(t).groupBy("doc").agg(mm(F.min("x0")).alias("left_mm"), mm(612 - F.max("x1")).alias("right_mm"), mm(F.max("x1") - F.min("x0")).alias("width_mm"))
 

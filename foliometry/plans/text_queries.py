@@ -144,8 +144,8 @@ DEALT = 16
 BODY = r"regexp_replace(regexp_replace(replace({x}, '|', ''), '[#$%&*]{{3}}', '', 'g'), '[ \t\n\r]+', '', 'g')"
 
 
-@query("content_equal", f"WITH v AS (SELECT doc_id, source, md5({BODY.format(x='text')}) AS body FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM v a JOIN v b ON a.body = b.body AND a.doc_id < b.doc_id AND a.source = b.source")
-def content_equal(t: Tables) -> DataFrame:
+@query("equal_pairs", f"WITH v AS (SELECT doc_id, source, md5({BODY.format(x='text')}) AS body FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM v a JOIN v b ON a.body = b.body AND a.doc_id < b.doc_id AND a.source = b.source")
+def equal_pairs(t: Tables) -> DataFrame:
     """Pairs of versions (of one source) whose bodies are equal after removing layout; found by hash."""
     v = t["documents"].select("doc_id", "source", F.md5(tx.strip_layout(F.col("text")).cast("binary")).alias("body"))
     return v.alias("a").join(v.alias("b"), (F.col("a.body") == F.col("b.body")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
@@ -163,8 +163,8 @@ def content_groups(t: Tables) -> DataFrame:
     return v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")).join(dealt, ["body", "part"]).select("doc_id", "first", "n")
 
 
-@query("figure_fingerprint", with_views(LINES_SQL, body="SELECT doc, sha256(string_agg(regexp_replace(lower(text), '[^a-z]', '', 'g'), '|' ORDER BY line)) AS print FROM lines_ WHERE length(text) < 60 GROUP BY doc"))
-def figure_fingerprint(t: Tables) -> DataFrame:
+@query("block_print", with_views(LINES_SQL, body="SELECT doc, sha256(string_agg(regexp_replace(lower(text), '[^a-z]', '', 'g'), '|' ORDER BY line)) AS print FROM lines_ WHERE length(text) < 60 GROUP BY doc"))
+def block_print(t: Tables) -> DataFrame:
     """Hash of a document's short blocks in order."""
     short = t.lines.where(F.length("text") < 60).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("x")))).alias("b"))
     return short.select("doc", F.sha2(F.array_join("b.x", "|").cast("binary"), 256).alias("print"))

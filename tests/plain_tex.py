@@ -130,3 +130,60 @@ def hygiene(src):
             own.add(k)
         inside &= "===== inserted end" not in x
     return [x for x in out if x[0] not in own]
+
+
+def _tables(text):
+    out, at = "", 0
+    for m in iter(lambda: re.compile(r"\\(begin|end)\{(tabularx|tabular\*?|longtable|array)\}").search(text, at), None):
+        out += text[at : m.start()] + ("\\end{TAB}" if m[1] == "end" else "\\begin{TAB}{COLS}")
+        at = m.end()
+        while m[1] == "begin" and text[at : at + 1] in ("[", "{"):
+            if text[at] == "[":
+                at = text.index("]", at) + 1
+            else:
+                got = braced(text, at)
+                at = got[1] + len(got[0]) + 1
+    return out + text[at:]
+
+
+def body(src):
+    m = re.search(r"\\begin\{document\}(.*)\\end\{document\}", src, re.S)
+    return m[1] if m else ""
+
+
+def content(text):
+    text = re.sub(r"% ===== inserted.*?% ===== inserted end[^\n]*\n?", "", text, flags=re.S)
+    text = re.sub(r"\\tableofcontents\s*(?:\\(?:newpage|clearpage))?", "", text)
+    text = re.sub(r"(\\begin\{(figure|table)\*?\})(\[[^\]]*\])?", r"\1", text)
+    text = re.sub(r"(width|height)\s*=\s*[^,\]]+", "width=W", text)
+    text = re.sub(r"\{\s*\d*\.?\d+\s*\\(textwidth|linewidth|columnwidth|textheight|paperheight|hsize)\s*\}", "{LEN}", text)
+    text = re.sub(r"\$\$.+?\$\$|\\\[.+?\\\]", "MATH", text, flags=re.S)
+    text = re.sub(r"\\(newpage|clearpage|pagebreak)\*?(\s*\[[^\]]*\])?", "", text)
+    text = re.sub(r"\\vspace\*?\{[^}]*\}", "", text)
+    text = re.sub(r"\\(" + "|".join(SIZES) + r")\b", "", text).replace("\\-", "")
+    text = re.sub(r"\\begin\{multicols\*?\}(\s*\[[^\]]*\])?(\s*\{[^}]*\})?|\\end\{multicols\*?\}", "", text)
+
+    def kept(m):
+        left = [o for o in m[2].split(",") if o.strip() and o.split("=")[0].strip() not in ("itemsep", "topsep", "parsep", "partopsep")]
+        return m[1] + (f"[{','.join(left)}]" if left else "")
+
+    return _tables(re.sub(r"(\\begin\{(?:itemize|enumerate|description)\})\s*\[([^\]]*)\]", kept, text))
+
+
+def wording(text):
+    text = content(re.sub(r"(?<!\\)%.*", "", text)).replace("\\underline", "\\emph")
+    text = re.sub(r"\\vspace\*?\{[^}]*\}|\\(newpage|clearpage|pagebreak|noindent)\b", "", text)
+    text = re.sub(r"\\(begin|end)\{center\}", "", re.sub(r"\\(" + "|".join(SIZES) + r")\b", "", text))
+    text = re.sub(r"\\\\\s*(\[[^\]]*\])?", "", _tables(text)).replace("\\-", "")
+    text = re.sub(r"\\(hfill|break)\b", "", text).replace("{}", "")
+    return re.sub(r"[ \t\n\x0b\f\r]+", "", text)
+
+
+def floats(src):
+    src, out = re.sub(r"(?<!\\)%.*", "", src), []
+    for m in re.finditer(r"\\begin\{((?:figure|table)\*?)\}.*?\\end\{\1\}", src, re.S):
+        x = re.sub(r"(width|height)\s*=\s*[^,\]]+", "LEN=W", m[0])
+        x = re.sub(r"\{\s*\d*\.?\d+\s*\\(textwidth|linewidth|columnwidth|textheight|paperheight|hsize)\s*\}", "{LEN}", x)
+        x = _tables(re.sub(r"(\\begin\{(?:figure|table)\*?\})\[[^\]]*\]", r"\1", x))
+        out.append(re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" "))
+    return out
