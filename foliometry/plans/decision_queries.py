@@ -320,22 +320,6 @@ def legacy_adapt(t: Tables) -> DataFrame:
     return nested.select("doc_id", "density.chars", "density.status")
 
 
-@query("greedy_unique_pairs")
-def greedy_unique_pairs(t: Tables) -> DataFrame:
-    """Round-robin over groups: in each round every group offers its best pair of unused papers; a paper goes to its best offer."""
-    rows = t["orders"].select((F.col("o_custkey") % 6).alias("dim"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 50).alias("b"), F.round("o_totalprice", 2).alias("gap"), "o_orderkey")
-    open_, picked = rows, None
-    for _ in range(3):  # at most three pairs a dim
-        best = open_.groupBy("dim").agg(F.max(F.struct("gap", "o_orderkey", "a", "b")).alias("p")).select("dim", "p.*")
-        sides = best.select("o_orderkey", "gap", F.explode(F.array("a", "b")).alias("paper")).groupBy("paper").agg(F.max(F.struct("gap", "o_orderkey")).alias("m"))
-        lost = best.select("o_orderkey", F.explode(F.array("a", "b")).alias("paper")).join(sides, "paper").where("m.o_orderkey <> o_orderkey").select("o_orderkey").distinct()
-        won = best.join(lost, "o_orderkey", "left_anti")
-        picked = won if picked is None else picked.unionByName(won)
-        used = picked.select(F.explode(F.array("a", "b")).alias("paper")).distinct()
-        open_ = open_.join(used.withColumnRenamed("paper", "a"), "a", "left_anti").join(used.withColumnRenamed("paper", "b"), "b", "left_anti")
-    return picked.select("dim", "a", "b", "gap")
-
-
 @query("accept_verdict", with_views(VERSIONS, body="SELECT n, round(old_median, 6) AS old_median, round(new_median, 6) AS new_median, new_median <= old_median AND new_worst <= old_worst AS accepted FROM (SELECT count(*) AS n, quantile_cont(m1, 0.5) AS old_median, quantile_cont(m1 + 0.1 * m2, 0.5) AS new_median, max(m1) AS old_worst, max(m1 + 0.1 * m2) AS new_worst FROM v_)"))
 def accept_verdict(t: Tables) -> DataFrame:
     """New scores are accepted only if neither the median nor the worst is worse."""

@@ -29,8 +29,8 @@ def redundancy_groups(t: Tables) -> DataFrame:
     return statistics.groups(statistics.spearman(t.pages, ["role"], DIMS, 50), ["role"], 0.8)
 
 
-@query("select_dims", with_views(PAGES_SQL, RANKS, SPEAR, "e_ AS (SELECT role, a, b FROM spear_ WHERE abs(rho) >= 0.8 UNION ALL SELECT role, b, a FROM spear_ WHERE abs(rho) >= 0.8)", "d_ AS (SELECT role, unnest([" + ", ".join(f"'{d}'" for d in DIMS) + "]) AS dim FROM (SELECT DISTINCT role FROM pages_))", body="SELECT d_.role, d_.dim FROM d_ WHERE NOT EXISTS (SELECT 1 FROM e_ WHERE e_.role = d_.role AND e_.a = d_.dim AND e_.b < d_.dim)"))
-def select_dims(t: Tables) -> DataFrame:
+@query("independent_dims", with_views(PAGES_SQL, RANKS, SPEAR, "e_ AS (SELECT role, a, b FROM spear_ WHERE abs(rho) >= 0.8 UNION ALL SELECT role, b, a FROM spear_ WHERE abs(rho) >= 0.8)", "d_ AS (SELECT role, unnest([" + ", ".join(f"'{d}'" for d in DIMS) + "]) AS dim FROM (SELECT DISTINCT role FROM pages_))", body="SELECT d_.role, d_.dim FROM d_ WHERE NOT EXISTS (SELECT 1 FROM e_ WHERE e_.role = d_.role AND e_.a = d_.dim AND e_.b < d_.dim)"))
+def independent_dims(t: Tables) -> DataFrame:
     """One measure of each redundancy group, the first by name, and all measures outside of groups."""
     rho = statistics.spearman(t.pages, ["role"], DIMS, 50).where("abs(rho) >= 0.8")
     later = rho.select("role", F.greatest("a", "b").alias("dim")).distinct()
@@ -64,14 +64,14 @@ def mahalanobis_d2(t: Tables) -> DataFrame:
     return statistics.mahalanobis(z, inverse, "role", DIMS).select("paper", "page", F.round("d2", 4).alias("d2"), F.round("p", 6).alias("p"))
 
 
-@query("pca_profile")
-def pca_profile(t: Tables) -> DataFrame:
+@query("pca_shares")
+def pca_shares(t: Tables) -> DataFrame:
     """Explained shares of the principal components of the standardised measures."""
     return statistics.pca(t.pages, DIMS)
 
 
-@query("dim_validity", with_views(LONG_SQL, body="SELECT role, dim, n, round(mode_n / n, 6) AS mode_share, round(p90 - p10, 6) AS width, mode_n / n < 0.5 AND p90 - p10 > 1e-9 AS valid FROM (SELECT role, dim, max(c) AS mode_n, sum(c) AS n FROM (SELECT role, dim, value, count(*) AS c FROM long_ GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT role, dim, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90 FROM long_ GROUP BY 1, 2) USING (role, dim)").replace("SELECT role, dim, n, round", "SELECT role, dim, CAST(n AS BIGINT) AS n, round"))
-def dim_validity(t: Tables) -> DataFrame:
+@query("dim_modes", with_views(LONG_SQL, body="SELECT role, dim, n, round(mode_n / n, 6) AS mode_share, round(p90 - p10, 6) AS width, mode_n / n < 0.5 AND p90 - p10 > 1e-9 AS valid FROM (SELECT role, dim, max(c) AS mode_n, sum(c) AS n FROM (SELECT role, dim, value, count(*) AS c FROM long_ GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT role, dim, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90 FROM long_ GROUP BY 1, 2) USING (role, dim)").replace("SELECT role, dim, n, round", "SELECT role, dim, CAST(n AS BIGINT) AS n, round"))
+def dim_modes(t: Tables) -> DataFrame:
     c = t.long.groupBy("role", "dim", "value").agg(F.count("*").alias("c"))
     c = cut(c)
     width = percentiles(c, ["role", "dim"], (0.1, 0.9), count="c").select("role", "dim", (F.col("p")[1] - F.col("p")[0]).alias("w"))
