@@ -116,8 +116,8 @@ def html_to_text(t: Tables) -> DataFrame:
     return x.select("page_id", F.length("x").cast("long").alias("n"), F.md5(F.col("x").cast("binary")).alias("text_md5"))
 
 
-@query("index_extract", """SELECT page_id, i AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS url, regexp_extract(a, '>([^<]*)<', 1) AS title FROM (SELECT page_id, unnest(l) AS a, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages))""")
-def index_extract(t: Tables) -> DataFrame:
+@query("link_extract", """SELECT page_id, i AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS url, regexp_extract(a, '>([^<]*)<', 1) AS title FROM (SELECT page_id, unnest(l) AS a, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages))""")
+def link_extract(t: Tables) -> DataFrame:
     """Links of index pages with their place, address and title."""
     links = t["pages"].select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="[^"]*">[^<]*</a>'), F.lit(0))).alias("pos", "a"))
     return links.select("page_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("a", 'href="([^"]*)"', 1).alias("url"), F.regexp_extract("a", ">([^<]*)<", 1).alias("title"))
