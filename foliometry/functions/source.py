@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import MM, length_in
 
 #: One command with options or without and a plain argument.
 COMMAND = r"\\([A-Za-z]+\*?)\s*(?:\[([^\]]*)\])?\s*\{([^{}]*)\}"
+#: The column of a table's commands.
+COMMANDS = "__commands"
 #: Gate codes that deterministic actions can repair.
 REPAIRABLE = ("pages", "font", "margin", "fleqn", "toc", "header")
 #: Width and height of papers in mm.
@@ -32,11 +34,16 @@ def settings(options: Column) -> Column:
     return F.transform(options, lambda o: F.struct(F.trim(F.substring_index(o, "=", 1)).alias("key"), F.when(o.contains("="), F.trim(F.regexp_replace(o, "^[^=]*=", ""))).alias("value")))
 
 
+def with_commands(df: DataFrame, src: str = "src") -> DataFrame:
+    """df with the array of each source's commands, which is made once for all facts that are read from it."""
+    return df.withColumn(COMMANDS, commands(F.col(src)))
+
+
 class Source:
-    """Columns of one source, all from the array that commands() gives."""
+    """Columns of one source of a table that with_commands() has gone over."""
 
     def __init__(self, src: Column) -> None:
-        self.src, self.commands = src, commands(src)
+        self.src, self.commands = src, F.col(COMMANDS)
 
     def named(self, *names: str) -> Column:
         return F.filter(self.commands, lambda c: c["name"].isin(*names))
@@ -97,6 +104,7 @@ def floats(src: Column) -> Column:
 
 
 def facts(src: Column) -> dict[str, Column]:
+    """Columns over a table that with_commands() has gone over."""
     s = Source(src)
     margin, explicit = s.margin_mm()
     return {

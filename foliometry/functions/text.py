@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,18 +14,12 @@ ENTITIES = (
 )
 QUOTES_FROM, QUOTES_TO = "‘’“”–—−", "''\"\"---"
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("­", ""))
-_DETAIL, _LINES = r" \(([^)]*)\) ", r"(?:(?:in paragraph|in alignment) at lines ([0-9]+)(?:--([0-9]+))?|detected at line ([0-9]+))"
-_VBOX = r"(?:has occurred while \\output is active|detected at line ([0-9]+))"
-#: Patterns of compile-log lines, by kind: pattern, and the groups of detail, first lines and last line.
-LOG_RULES = {
-    "overfull": (r"Overfull \\hbox" + _DETAIL + _LINES, 1, (2, 4), 3),
-    "underfull": (r"Underfull \\hbox" + _DETAIL + _LINES, 1, (2, 4), 3),
-    "vbox_over": (r"Overfull \\vbox" + _DETAIL + _VBOX, 1, (2,), 0),
-    "vbox_under": (r"Underfull \\vbox" + _DETAIL + _VBOX, 1, (2,), 0),
-    "floatwarn": (r"LaTeX Warning: [^\n]*[Ff]loat", 0, (), 0),
-    "error": (r"^! ", 0, (), 0),
-    "warning": (r"LaTeX Warning: ", 0, (), 0),
-}
+#: A box message is a word, a side, a detail in brackets and its place; the places that name lines, and the one of pages.
+BOX = r"(Over|Under)full \\([hv])box \(([^)]*)\) (.*)"
+BOX_KINDS = {"Overh": "overfull", "Underh": "underfull", "Overv": "vbox_over", "Underv": "vbox_under"}
+AT_LINE, AT_LINES, ON_PAGE = "detected at line ", ("in paragraph at lines ", "in alignment at lines "), "has occurred while \\output is active"
+#: Other messages.
+WARNING, ERROR = "LaTeX Warning: ", "! "
 
 
 def unescape(c: Column) -> Column:
@@ -61,32 +57,37 @@ def strip_layout(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t\n\r]+", "")
 
 
-def log_kind(c: Column) -> Column:
-    out = F.lit("other")
-    for kind, rule in reversed(list(LOG_RULES.items())):
-        out = F.when(c.rlike(rule[0]), kind).otherwise(out)
-    return out
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
 
+def log_message(c: Column) -> Column:
+    """A log line as kind (overfull, underfull, vbox_over, vbox_under, floatwarn, error, warning or other), amount, first and last.
 
-def _by_rule(c: Column, groups: dict[str, tuple[int, ...]], dtype: str, inside: str | None = None) -> Column:
-    """The first non-empty of a rule's groups, or what a pattern finds in it; null where no rule or group applies."""
-    out = F.lit(None).cast(dtype)
-    for kind, wanted in groups.items():
-        pattern = LOG_RULES[kind][0]
-        found = F.concat(*[F.regexp_extract(c, pattern, g) for g in wanted])
-        found = F.regexp_extract(found, inside, 0) if inside else found
-        out = F.when(c.rlike(pattern), F.nullif(found, F.lit("")).cast(dtype)).otherwise(out)
-    return out
+    The amount is the number in a box message's detail: points too wide or high, or badness. first and last are its source lines:
+    a single line has no last one, a page's box has none.
+    """
 
+    def parts(x: Column) -> Column:
+        return F.struct(x.alias("text"), *[F.regexp_extract(x, BOX, k).alias(name) for k, name in enumerate(("word", "side", "detail", "place"), 1)])
 
-def log_amount(c: Column) -> Column:
-    """The number in a log line's detail: points too wide or high, or badness."""
-    return _by_rule(c, {k: (r[1],) for k, r in LOG_RULES.items() if r[1]}, "double", r"[0-9]+\.?[0-9]*")
+    def placed(p: Column) -> Column:
+        named = p["place"].startswith(AT_LINE) | (p["side"] == "h") & (p["place"].startswith(AT_LINES[0]) | p["place"].startswith(AT_LINES[1]))
+        numbers = F.nullif(F.regexp_extract(p["place"], "^[a-z ]+ ([0-9]+(?:--[0-9]+)?)", 1), F.lit(""))
+        at = F.when(named, numbers).when((p["side"] == "v") & p["place"].startswith(ON_PAGE), F.lit(""))
+        return F.struct(p["text"].alias("text"), F.concat(p["word"], p["side"]).alias("box"), p["detail"].alias("detail"), at.alias("at"))
 
+    def read(p: Column) -> Column:
+        said = p["text"].contains(WARNING)
+        kind = F.when(said & F.lower(p["text"]).contains("float"), "floatwarn").when(p["text"].startswith(ERROR), "error").when(said, "warning").otherwise("other")
+        kinds = F.create_map(*[F.lit(x) for pair in BOX_KINDS.items() for x in pair])
+        line = lambda k: F.nullif(F.get(F.split(p["at"], "--", -1), F.lit(k)), F.lit("")).cast("long")
+        amount = F.nullif(F.regexp_extract(p["detail"], r"[0-9]+\.?[0-9]*", 0), F.lit("")).cast("double")
+        is_box = p["at"].isNotNull()
+        return F.struct(F.when(is_box, F.element_at(kinds, p["box"])).otherwise(kind).alias("kind"), F.when(is_box, amount).alias("amount"), line(0).alias("first"), line(1).alias("last"))
 
-def log_lines(c: Column) -> tuple[Column, Column]:
-    """First and last source line of a log line; a single line has no last one."""
-    return _by_rule(c, {k: r[2] for k, r in LOG_RULES.items() if r[2]}, "long"), _by_rule(c, {k: (r[3],) for k, r in LOG_RULES.items() if r[3]}, "long")
+    return _once(_once(_once(c, parts), placed), read)
 
 
 def caption_kind(c: Column) -> Column:

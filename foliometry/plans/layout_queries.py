@@ -95,7 +95,8 @@ def regions(t: Tables) -> DataFrame:
     """Blank regions of all pages over the full frame; a box's kind comes from the order's priority by rule."""
     kind = F.when(F.col("o_orderpriority").startswith("1"), "head").when(F.col("o_orderpriority").startswith("2"), "float").when(F.col("o_orderpriority").startswith("3"), "caption").otherwise("text")
     boxes = items(t).join(t["orders"].select(F.col("o_orderkey").alias("id"), kind.alias("kind")), "id")
-    return geometry.blank_regions(boxes, "doc", "kind", GRID, LEADING)
+    context = boxes.select("doc").distinct().select("doc", (F.col("doc") % 10 == 0).alias("is_first"), (F.col("doc") % 10 == 9).alias("is_last"))  # ten pages a document
+    return geometry.blank_regions(boxes, "doc", "kind", GRID, LEADING, context)
 
 
 @query("blank_regions_all")
@@ -107,7 +108,7 @@ def blank_regions_all(t: Tables) -> DataFrame:
 @query("whitespace_regions")
 def whitespace_regions(t: Tables) -> DataFrame:
     """Class and confidence of every blank region."""
-    return regions(t).select("doc", "region", "n_cells", "class", "confidence")
+    return regions(t).select("doc", "region", "n_cells", "rule", "class", "confidence")
 
 
 @query("whitespace_ratios")

@@ -42,7 +42,7 @@ FACTS = ("documentclass", "font_pt", "twocolumn", "fleqn", "margin_mm", "margin_
 def source_parse(t: Tables) -> DataFrame:
     """Class, options, font size, margins and flags of each source."""
     f = source.facts(F.col("src"))
-    out = sources(t).select("doc", *[c.alias(n) for n, c in f.items()])
+    out = source.with_commands(sources(t)).select("doc", *[c.alias(n) for n, c in f.items()])
     return out.withColumn("margin_mm", r6("margin_mm")).withColumn("sections", F.col("sections").cast("long")).withColumn("lines", F.col("lines").cast("long"))
 
 
@@ -57,7 +57,7 @@ def source_floats(t: Tables) -> DataFrame:
 CASE WHEN font_pt <> 11 THEN 'font' END, CASE WHEN CASE WHEN doc % 2 = 0 THEN margin_mm < 19.5 ELSE abs(margin_mm - 20) > 0.5 END THEN 'margin' END, CASE WHEN fleqn THEN 'fleqn' END, CASE WHEN sections >= 2 AND NOT toc THEN 'toc' END, CASE WHEN doc % 3 = 0 AND NOT header THEN 'header' END]) AS code FROM fact_) WHERE code IS NOT NULL"""))
 def gate_checks(t: Tables) -> DataFrame:
     """Rules that a measured source breaks, and whether an action can repair it; even documents' margin is a floor."""
-    rows = sources(t).select("doc", "p_size", *[c.alias(n) for n, c in source.facts(F.col("src")).items()])
+    rows = source.with_commands(sources(t)).select("doc", "p_size", *[c.alias(n) for n, c in source.facts(F.col("src")).items()])
     size, lit = F.col("p_size"), F.lit
     codes = source.gates(size != 1, size != 2, size, lit(40), lit(11), lit(20.0), F.col("doc") % 2 == 0, lit(True), lit(2), F.col("doc") % 3 == 0)
     return rows.select("doc", F.explode(codes).alias("code")).withColumn("repairable", F.col("code").isin(*source.REPAIRABLE))

@@ -26,9 +26,8 @@ ISSUE = r"""issue_ AS (SELECT doc, line_no, text, kind,
 
 
 def issues(t: Tables) -> DataFrame:
-    x = F.col("text")
-    low, high = tx.log_lines(x)
-    return t.logs.select("doc", "line_no", "text", tx.log_kind(x).alias("kind"), tx.log_amount(x).alias("amount"), low.alias("line_lo"), high.alias("line_hi"))
+    rows = t.logs.select("doc", "line_no", "text", tx.log_message(F.col("text")).alias("m"))
+    return rows.select("doc", "line_no", "text", "m.kind", "m.amount", F.col("m.first").alias("line_lo"), F.col("m.last").alias("line_hi"))
 
 
 @query("log_issues", with_views(LOGS_SQL, ISSUE, body="SELECT doc, line_no, kind, amount, line_lo, line_hi FROM issue_ WHERE kind <> 'other'"))

@@ -93,6 +93,25 @@ def test_region_classes(spark, boxes, want):
     assert len(got) == (want != "") and all(r[0] in want.split() for r in got)
 
 
+@pytest.mark.parametrize(("boxes", "first", "last", "want"), [
+    ([("text", 0, 0, 580, 60)], True, False, ("trailing", 0.85)),  # a title page: its blank foot ends the text
+    ([("text", 0, 0, 580, 60)], False, True, ("trailing", 0.85)),  # the last page
+    ([("text", 0, 0, 580, 60)], False, False, ("anomalous", 0.7)),  # a full line, and then nothing
+    ([("text", 0, 0, 200, 60)], False, False, ("trailing", 0.85)),  # a short last line
+    ([("text", 0, 400, 580, 760)], True, False, ("structural", 0.7)),  # a title page begins further down
+    ([("text", 0, 400, 580, 760)], False, False, ("boundary", 0.8)),
+    ([("text", 0, 0, 580, 200), ("text", 0, 500, 580, 760)], False, False, ("anomalous", 0.75)),  # a hole
+    ([("text", 0, 0, 580, 200), ("text", 0, 260, 580, 760)], False, False, ("structural", 0.8)),  # spacing
+    ([("text", 0, 0, 580, 200), ("text", 0, 340, 580, 760)], False, False, ("structural", 0.7)),  # between paragraphs
+    ([("float", 0, 0, 580, 200), ("text", 0, 700, 580, 760)], False, False, ("float", 0.6)),  # a large blank at a float
+])
+def test_region_classes_by_page(spark, boxes, first, last, want):
+    df = spark.createDataFrame([(1, k, *map(float, b)) for k, *b in boxes], "doc long, kind string, x0 double, y0 double, x1 double, y1 double")
+    context = spark.createDataFrame([(1, first, last)], "doc long, is_first boolean, is_last boolean")
+    got = geometry.blank_regions(df, "doc", "kind", geometry.Grid(29, 38, 20.0), 45.0, context).orderBy(F.desc("n_cells")).first()
+    assert (got["class"], got["confidence"]) == want
+
+
 def all_losses(duck):
     return duck.execute("SELECT l_suppkey, l_linestatus, l_orderkey * 10 + l_linenumber AS page, round(sum(l_quantity), 6), round(sum(l_discount * 100), 6) FROM lineitem GROUP BY 1, 2, 3 ORDER BY 1, 3, 2").fetchall()
 
