@@ -31,6 +31,8 @@ from foliometry.llm.common import M1, fold, mix, slices
 DIMS, MAX_TRAIN_DOCS, MOST_LANGS = 1024, 5_000, 1000
 #: Trigram vectors that a task keeps; DIMS bytes each.
 KEPT = 30_000
+#: Trigrams of a text that are bundled at a time, which bounds what a long text takes.
+PART = 2048
 EDGE = 32
 #: The cosine of unrelated texts is about normal with deviation 1 / sqrt(DIMS); three deviations are noise.
 MIN_SCORE = 3 / DIMS**0.5
@@ -102,10 +104,10 @@ class Bundler:
         symbols = symbols[np.concatenate([[True], ~(edge[1:] & edge[:-1])])]
         grams, counts = np.unique((symbols[:-2] << np.uint64(42)) | (symbols[1:-1] << np.uint64(21)) | symbols[2:], return_counts=True)
         total = np.zeros(self.dims, np.float32)
-        for i in range(0, len(grams), KEPT // 2):
-            part = grams[i : i + KEPT // 2]
+        for i in range(0, len(grams), PART):
+            part = grams[i : i + PART]
             places = self._places(part)
-            total += counts[i : i + KEPT // 2].astype(np.float32) @ self.vectors[places].astype(np.float32)
+            total += counts[i : i + PART].astype(np.float32) @ self.vectors[places].astype(np.float32)
         return total
 
 
