@@ -53,7 +53,7 @@ def conflict_gate(t: Tables) -> DataFrame:
 GATE_RULES = {"size": "length(text) > 8000", "bars": "contains(text, '|')", "no_end": "NOT regexp_matches(text, '[.!?]$')", "long_number": "regexp_matches(text, '[0-9]{16,}')"}
 
 
-@query("gate_rules", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, {str(k in ('bars', 'no_end')).lower()} AS repairable FROM documents WHERE {c}" for k, c in GATE_RULES.items()))
+@query("text_rules", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, {str(k in ('bars', 'no_end')).lower()} AS repairable FROM documents WHERE {c}" for k, c in GATE_RULES.items()))
 def gate_rules(t: Tables) -> DataFrame:
     """A row for each violated rule of each document."""
     x = F.col("text")

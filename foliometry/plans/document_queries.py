@@ -34,19 +34,19 @@ def scored(t: Tables) -> tuple[documents.Profile, DataFrame]:
     return profile, cut(documents.page_scores(rows, profile))
 
 
-@query("pattern_inverses")
+@query("pattern_inverse")
 def pattern_inverses(t: Tables) -> DataFrame:
     """Inverse of the shrunk correlation for each stratum and pattern of measures that are there."""
     return documents.fit(pages(t), DIMS, LEAST).inverses.select("stratum", "pattern", F.posexplode("inverse").alias("cell", "v")).where("v <> 0")
 
 
-@query("page_distances")
+@query("mahalanobis_d2")
 def page_distances(t: Tables) -> DataFrame:
     """Each page's stratum, distance over the measures that it has, and the chi-square tail."""
     return scored(t)[1].select("paper", "page", "stratum", F.round("d2", 4).alias("d2"), F.col("k").cast("long").alias("k"), F.round("p", 6).alias("p"))
 
 
-@query("document_reports")
+@query("evaluate_docs")
 def document_reports(t: Tables) -> DataFrame:
     """Documents against the profile: score, scored and anomalous pages, the most distant page, strata used."""
     profile, scores = scored(t)
@@ -66,7 +66,7 @@ def ablation_trials(t: Tables) -> DataFrame:
     return documents.ablation_trials(scores, profile, UNIT, NON_NEGATIVE).select("paper", "page", "dim", "sign", "alpha", "measure", r6("before").alias("before"), r6("delta").alias("delta"))
 
 
-@query("trial_weights")
+@query("signal_noise_weights")
 def trial_weights(t: Tables) -> DataFrame:
     """Weights from trials: signal of the changed measure over the noise of the others."""
     profile, scores = scored(t)
@@ -82,7 +82,7 @@ def weights_bootstrap(t: Tables) -> DataFrame:
     return documents.weights_bootstrap(trials, DIMS)
 
 
-@query("fp_rules")
+@query("fp_protocol")
 def fp_rules(t: Tables) -> DataFrame:
     """False positives on held-out papers, pooled over five folds, by role (null: all): chi-square tail, and P95, P96, P97 of training pages."""
     rows = cut(pages(t).join(folded(t).select("paper", "fold"), "paper"))

@@ -84,31 +84,7 @@ def ref_integrity(t: Tables) -> DataFrame:
     return found.unionByName(row("missing_part", t["lineitem"].select("l_partkey").distinct().join(parts, "l_partkey", "left_anti"), "l_partkey"))
 
 
-LOSSES = "loss_ AS (SELECT l_suppkey AS paper, l_linestatus AS col, l_orderkey * 10 + l_linenumber AS page, sum(l_quantity) AS a, sum(l_discount * 100) AS b FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 7 = 0 GROUP BY 1, 2, 3)"
-
-
-def losses(t: Tables) -> DataFrame:
-    rows = t["lineitem"].where("l_quantity >= 49 and l_partkey % 7 = 0")
-    return rows.groupBy(F.col("l_suppkey").alias("paper"), F.col("l_linestatus").alias("col"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page")).agg(F.sum("l_quantity").alias("a"), F.sum(F.col("l_discount") * 100).alias("b"))
-
-
-@query("pair_within_paper", with_views(LOSSES, body="SELECT x.paper, x.page AS p, y.page AS q, CASE WHEN abs(x.a - y.a) >= abs(x.b - y.b) THEN 'a' ELSE 'b' END AS lead, round(greatest(abs(x.a - y.a), abs(x.b - y.b)), 6) AS lead_delta, round(least(abs(x.a - y.a), abs(x.b - y.b)), 6) AS second_delta FROM loss_ x JOIN loss_ y ON x.paper = y.paper AND x.page < y.page"))
-def pair_within_paper(t: Tables) -> DataFrame:
-    """Page pairs of one paper with the dim that differs most."""
-    x = losses(t)
-    j = x.alias("x").join(x.alias("y"), (F.col("x.paper") == F.col("y.paper")) & (F.col("x.page") < F.col("y.page")))
-    da, db = F.abs(F.col("x.a") - F.col("y.a")), F.abs(F.col("x.b") - F.col("y.b"))
-    return j.select("x.paper", F.col("x.page").alias("p"), F.col("y.page").alias("q"), F.when(da >= db, "a").otherwise("b").alias("lead"), r6(F.greatest(da, db)).alias("lead_delta"), r6(F.least(da, db)).alias("second_delta"))
-
-
-@query("pair_theta_join", with_views(LOSSES, body="""SELECT x.paper AS hi_paper, x.page AS hi, y.paper AS lo_paper, y.page AS lo FROM (SELECT * FROM loss_ WHERE a + b >= 58) x JOIN (SELECT * FROM loss_ WHERE a + b < 49.5) y ON x.col = y.col AND x.paper % 10 = y.paper % 10 AND x.paper <> y.paper WHERE x.b - y.b >= 0.5 * (x.a + x.b - y.a - y.b)"""))
-def pair_theta_join(t: Tables) -> DataFrame:
-    """High and low pages of different papers of one column and group, where one dim explains half of the gap."""
-    x = losses(t).withColumn("g", F.col("paper") % 10)
-    hi, lo = x.where("a + b >= 58").alias("x"), x.where("a + b < 49.5").alias("y")
-    on = (F.col("x.col") == F.col("y.col")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.paper") != F.col("y.paper"))
-    gap = F.col("x.a") + F.col("x.b") - F.col("y.a") - F.col("y.b")
-    return hi.join(lo, on).where(F.col("x.b") - F.col("y.b") >= 0.5 * gap).select(F.col("x.paper").alias("hi_paper"), F.col("x.page").alias("hi"), F.col("y.paper").alias("lo_paper"), F.col("y.page").alias("lo"))
+LOSSES = "loss_ AS MATERIALIZED (SELECT l_suppkey AS paper, l_linestatus AS col, l_orderkey * 10 + l_linenumber AS page, round(sum(l_quantity), 6) AS a, round(sum(l_discount * 100), 6) AS b FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def all_losses(t: Tables) -> DataFrame:
@@ -117,13 +93,17 @@ def all_losses(t: Tables) -> DataFrame:
     return t["lineitem"].groupBy(*keys).agg(r6(F.sum("l_quantity")).alias("a"), r6(F.sum(F.col("l_discount") * 100)).alias("b"))
 
 
-@query("pair_partners")
+@query("pair_within_paper", with_views(LOSSES, """best_ AS (SELECT x.paper, x.page, x.col, count(*) AS n, count_if(abs(x.a - y.a) >= abs(x.b - y.b)) AS la, count_if(abs(x.a - y.a) < abs(x.b - y.b)) AS lb,
+ min({'far': -greatest(abs(x.a - y.a), abs(x.b - y.b)), 'page': y.page, 'col': y.col, 'da': abs(x.a - y.a), 'db': abs(x.b - y.b)}) AS m FROM loss_ x JOIN loss_ y ON x.paper = y.paper AND x.page <> y.page GROUP BY 1, 2, 3)""",
+ body="SELECT paper, page, col, coalesce(n, 0) AS n_pairs, coalesce(la, 0) AS lead_a, coalesce(lb, 0) AS lead_b, m.page AS partner, CASE WHEN m.da >= m.db THEN 'a' WHEN n > 0 THEN 'b' END AS lead, greatest(m.da, m.db) AS lead_delta, least(m.da, m.db) AS second_delta FROM loss_ LEFT JOIN best_ USING (paper, page, col)"))
 def pair_partners(t: Tables) -> DataFrame:
     """All pairs of pages of one paper, summed up for each page: counts by the dim that differs most, and the best partner."""
     return partners(all_losses(t), "paper", "page", "col", "a", "b")
 
 
-@query("pair_theta_counts")
+@query("pair_theta_join", with_views(LOSSES, "side_ AS MATERIALIZED (SELECT *, round(b - a, 6) AS w, CASE WHEN a + b >= 58 THEN 'hi' WHEN a + b < 49.5 THEN 'lo' END AS side FROM loss_)",
+ body="""SELECT x.paper, x.col, x.page, 'hi' AS side, count(y.paper) AS n_pairs FROM side_ x LEFT JOIN side_ y ON y.side = 'lo' AND y.col = x.col AND y.paper <> x.paper AND x.w >= y.w WHERE x.side = 'hi' GROUP BY 1, 2, 3
+UNION ALL SELECT x.paper, x.col, x.page, 'lo' AS side, count(y.paper) AS n_pairs FROM side_ x LEFT JOIN side_ y ON y.side = 'hi' AND y.col = x.col AND y.paper <> x.paper AND y.w >= x.w WHERE x.side = 'lo' GROUP BY 1, 2, 3"""))
 def pair_theta_counts(t: Tables) -> DataFrame:
     """All pairs of high and low pages of different papers of one column where one dim explains half of the gap, counted for each page."""
     rows = all_losses(t).withColumn("w", r6(F.col("b") - F.col("a")))

@@ -70,16 +70,7 @@ def merge_boxes(t: Tables) -> DataFrame:
     return geometry.merged_boxes(items(t), "doc", 8.0)
 
 
-@query("blank_regions", "WITH RECURSIVE " + ITEMS + ", " + CELLS + ", frame_ AS (SELECT DISTINCT doc, i, j FROM (SELECT DISTINCT doc FROM item_ WHERE doc < 40), (SELECT unnest(range(0, 29, 4)) AS i), (SELECT unnest(range(0, 38, 4)) AS j)), blank_ AS (SELECT * FROM frame_ f WHERE NOT EXISTS (SELECT 1 FROM cell_ c WHERE c.doc = f.doc AND c.i = f.i AND c.j = f.j)), reach_(doc, i, j, c) AS (SELECT doc, i, j, i * 1000 + j FROM blank_ UNION SELECT b.doc, b.i, b.j, r.c FROM reach_ r JOIN blank_ b ON b.doc = r.doc AND abs(b.i - r.i) + abs(b.j - r.j) = 4), lab_ AS (SELECT doc, i, j, min(c) AS region FROM reach_ GROUP BY 1, 2, 3) SELECT doc, region, count(*) AS n_cells, min(j) AS top, max(j) AS bottom FROM lab_ GROUP BY doc, region")
-def blank_regions(t: Tables) -> DataFrame:
-    """Connected blank cells of a coarse grid over the first forty pages (the stand-in's frame), with their extent."""
-    covered = cells(t)
-    frame = items(t).select("doc").where("doc < 40").distinct().select("doc", F.explode(F.sequence(F.lit(0), F.lit(28), F.lit(4))).alias("i")).select("doc", F.col("i").cast("long").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(37), F.lit(4))).alias("j"))
-    blank = frame.select("doc", "i", F.col("j").cast("long").alias("j")).join(covered, ["doc", "i", "j"], "left_anti")
-    return geometry.regions(blank, "doc", 4).groupBy("doc", "region").agg(F.count("*").alias("n_cells"), F.min("j").alias("top"), F.max("j").alias("bottom"))
-
-
-@query("whitespace_class", with_views(ITEMS, CELLS, body="SELECT doc, j, CASE WHEN n = 0 THEN 'band' WHEN j >= last THEN 'trailing' WHEN n < 4 THEN 'anomalous' ELSE 'structural' END AS class FROM (SELECT doc, j, count(*) AS n, max(j) OVER (PARTITION BY doc) AS last FROM cell_ GROUP BY doc, j)"))
+@query("covered_rows", with_views(ITEMS, CELLS, body="SELECT doc, j, CASE WHEN n = 0 THEN 'band' WHEN j >= last THEN 'trailing' WHEN n < 4 THEN 'anomalous' ELSE 'structural' END AS class FROM (SELECT doc, j, count(*) AS n, max(j) OVER (PARTITION BY doc) AS last FROM cell_ GROUP BY doc, j)"))
 def whitespace_class(t: Tables) -> DataFrame:
     """Class of each grid row by what covers it, in a fixed order of decisions."""
     rows = cells(t).groupBy("doc", "j").agg(F.count("*").alias("n")).withColumn("last", F.max("j").over(W.partitionBy("doc")))
@@ -99,13 +90,13 @@ def regions(t: Tables) -> DataFrame:
     return geometry.blank_regions(boxes, "doc", "kind", GRID, LEADING, context)
 
 
-@query("blank_regions_all")
+@query("blank_regions")
 def blank_regions_all(t: Tables) -> DataFrame:
     """Connected blank cells of every page and every cell of its frame, with bands; regions under 0.4% are marked."""
     return regions(t).select("doc", "region", "n_cells", "top", "bottom", "band", "bottom_band", "fragment")
 
 
-@query("whitespace_regions")
+@query("whitespace_class")
 def whitespace_regions(t: Tables) -> DataFrame:
     """Class and confidence of every blank region."""
     return regions(t).select("doc", "region", "n_cells", "rule", "class", "confidence")

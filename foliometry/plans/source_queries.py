@@ -38,7 +38,7 @@ def sources(t: Tables) -> DataFrame:
 FACTS = ("documentclass", "font_pt", "twocolumn", "fleqn", "margin_mm", "margin_explicit", "microtype", "abstract", "sections", "lines", "toc", "header")
 
 
-@query("source_parse", with_views(SRC, FACT, body="SELECT doc, documentclass, font_pt, twocolumn, fleqn, round(margin_mm, 6) AS margin_mm, margin_explicit, microtype, abstract, sections, lines, toc, header FROM fact_"))
+@query("source_facts", with_views(SRC, FACT, body="SELECT doc, documentclass, font_pt, twocolumn, fleqn, round(margin_mm, 6) AS margin_mm, margin_explicit, microtype, abstract, sections, lines, toc, header FROM fact_"))
 def source_parse(t: Tables) -> DataFrame:
     """Class, options, font size, margins and flags of each source."""
     f = source.facts(F.col("src"))
@@ -53,7 +53,7 @@ def source_floats(t: Tables) -> DataFrame:
     return rows.select("doc", F.col("pos").cast("long").alias("pos"), "f.kind", "f.starred", "f.spec")
 
 
-@query("gate_checks", with_views(SRC, FACT, body="""SELECT doc, code, code IN ('pages', 'font', 'margin', 'fleqn', 'toc', 'header') AS repairable FROM (SELECT doc, unnest([CASE WHEN p_size = 1 THEN 'compile' END, CASE WHEN p_size = 2 THEN 'pdf' END, CASE WHEN p_size > 40 THEN 'pages' END,
+@query("gate_rules", with_views(SRC, FACT, body="""SELECT doc, code, code IN ('pages', 'font', 'margin', 'fleqn', 'toc', 'header') AS repairable FROM (SELECT doc, unnest([CASE WHEN p_size = 1 THEN 'compile' END, CASE WHEN p_size = 2 THEN 'pdf' END, CASE WHEN p_size > 40 THEN 'pages' END,
 CASE WHEN font_pt <> 11 THEN 'font' END, CASE WHEN CASE WHEN doc % 2 = 0 THEN margin_mm < 19.5 ELSE abs(margin_mm - 20) > 0.5 END THEN 'margin' END, CASE WHEN fleqn THEN 'fleqn' END, CASE WHEN sections >= 2 AND NOT toc THEN 'toc' END, CASE WHEN doc % 3 = 0 AND NOT header THEN 'header' END]) AS code FROM fact_) WHERE code IS NOT NULL"""))
 def gate_checks(t: Tables) -> DataFrame:
     """Rules that a measured source breaks, and whether an action can repair it; even documents' margin is a floor."""

@@ -49,14 +49,14 @@ def corr_shrink(t: Tables) -> DataFrame:
     return statistics.shrunk_correlation(z, ["role"], DIMS).select("role", "a", "b", "n", *[r6(c).alias(c) for c in ("r", "delta", "shrunk")])
 
 
-@query("pattern_inverse")
+@query("complete_inverse")
 def pattern_inverse(t: Tables) -> DataFrame:
     """Inverse of the shrunk correlation of each stratum, as rows and columns."""
     z = statistics.wide_z(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"], DIMS)
     return statistics.inverses(statistics.shrunk_correlation(z, ["role"], DIMS), "role", DIMS).select("role", "i", "j", F.round("v", 5).alias("v"))
 
 
-@query("mahalanobis_d2")
+@query("complete_distance")
 def mahalanobis_d2(t: Tables) -> DataFrame:
     """Squared distance of each page and its chi-square tail."""
     z = statistics.wide_z(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"], DIMS)
@@ -100,7 +100,7 @@ def fold_profiles(t: Tables) -> DataFrame:
     return p.select("test_fold", "role", "dim", "n", *[r6(F.col("p")[k]).alias(n) for k, n in enumerate(("p25", "p50", "p75"))])
 
 
-@query("fp_protocol", with_views(PAGES_SQL, FOLD, "k_ AS (SELECT unnest(range(5)) AS test_fold)", "thr_ AS (SELECT test_fold, role, quantile_cont(net_price, 0.95) AS t95, quantile_cont(net_price, 0.97) AS t97 FROM pages_ JOIN fold_ USING (paper) JOIN k_ ON test_fold <> fold GROUP BY 1, 2)", body="SELECT p.role, count(*) AS n, round(avg(CASE WHEN net_price > t95 THEN 1.0 ELSE 0.0 END), 6) AS fp95, round(avg(CASE WHEN net_price > t97 THEN 1.0 ELSE 0.0 END), 6) AS fp97 FROM pages_ p JOIN fold_ f USING (paper) JOIN thr_ t ON t.test_fold = f.fold AND t.role = p.role GROUP BY p.role"))
+@query("fp_single", with_views(PAGES_SQL, FOLD, "k_ AS (SELECT unnest(range(5)) AS test_fold)", "thr_ AS (SELECT test_fold, role, quantile_cont(net_price, 0.95) AS t95, quantile_cont(net_price, 0.97) AS t97 FROM pages_ JOIN fold_ USING (paper) JOIN k_ ON test_fold <> fold GROUP BY 1, 2)", body="SELECT p.role, count(*) AS n, round(avg(CASE WHEN net_price > t95 THEN 1.0 ELSE 0.0 END), 6) AS fp95, round(avg(CASE WHEN net_price > t97 THEN 1.0 ELSE 0.0 END), 6) AS fp97 FROM pages_ p JOIN fold_ f USING (paper) JOIN thr_ t ON t.test_fold = f.fold AND t.role = p.role GROUP BY p.role"))
 def fp_protocol(t: Tables) -> DataFrame:
     """False-positive rates of training quantiles on held-out papers, pooled over the folds."""
     pages = t.pages.join(folded(t).select("paper", "fold"), "paper").select("fold", "role", F.col("net_price").alias("v"))
@@ -307,7 +307,7 @@ def human_rank_corr(t: Tables) -> DataFrame:
     return r.groupBy("lang").agg(F.count("*").alias("n"), r6(corr("rx", "ry")).alias("rho")).where("n >= 8")
 
 
-@query("signal_noise_weights", with_views(LONG_SQL, BLOCK, LOSS, NORM, body="""SELECT dim, round(greatest(0.25, least(4.0, c / avg(c) OVER ())), 6) AS weight FROM (SELECT dim, greatest(0.25, least(4.0, (quantile_cont(norm, 0.95) - quantile_cont(norm, 0.5)) / (quantile_cont(norm, 0.9) + 0.05))) AS c FROM norm_ GROUP BY dim)"""))
+@query("noise_weights", with_views(LONG_SQL, BLOCK, LOSS, NORM, body="""SELECT dim, round(greatest(0.25, least(4.0, c / avg(c) OVER ())), 6) AS weight FROM (SELECT dim, greatest(0.25, least(4.0, (quantile_cont(norm, 0.95) - quantile_cont(norm, 0.5)) / (quantile_cont(norm, 0.9) + 0.05))) AS c FROM norm_ GROUP BY dim)"""))
 def signal_noise_weights(t: Tables) -> DataFrame:
     """Signal over noise of each dim's loss, clipped, brought to mean 1, clipped again."""
     norm = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])
@@ -327,7 +327,7 @@ def margin_stats(t: Tables) -> DataFrame:
     return both.agg(F.round(F.percentile(d, 0.5), 5).alias("median_margin"), r6(F.avg(F.when(d > 0, 1.0).otherwise(0.0))).alias("positive"), F.count("*").alias("n"))
 
 
-@query("evaluate_docs", with_views(LONG_SQL, BLOCK, LOSS, NORM, TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").replace("value", "norm"), WEIGHT_SQL, "score_ AS (SELECT paper, sum(w * (0.5 * top_mean + 0.5 * mean)) / sum(w) AS score FROM pool_ JOIN w_ USING (dim) GROUP BY paper)", "odd_ AS (SELECT paper, count(*) FILTER (WHERE round(s, 6) > 12) AS anomalous, arg_max(page, (round(s, 6), -page)) AS worst_page FROM (SELECT paper, page, sum(norm) AS s FROM norm_ GROUP BY 1, 2) GROUP BY paper)", body="SELECT paper, round(score, 5) AS score, anomalous, worst_page FROM score_ JOIN odd_ USING (paper)"))
+@query("document_scores", with_views(LONG_SQL, BLOCK, LOSS, NORM, TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").replace("value", "norm"), WEIGHT_SQL, "score_ AS (SELECT paper, sum(w * (0.5 * top_mean + 0.5 * mean)) / sum(w) AS score FROM pool_ JOIN w_ USING (dim) GROUP BY paper)", "odd_ AS (SELECT paper, count(*) FILTER (WHERE round(s, 6) > 12) AS anomalous, arg_max(page, (round(s, 6), -page)) AS worst_page FROM (SELECT paper, page, sum(norm) AS s FROM norm_ GROUP BY 1, 2) GROUP BY paper)", body="SELECT paper, round(score, 5) AS score, anomalous, worst_page FROM score_ JOIN odd_ USING (paper)"))
 def evaluate_docs(t: Tables) -> DataFrame:
     """Documents against the profile: weighted score, anomalous pages and the worst page, all documents in one job."""
     norm = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])

@@ -243,13 +243,13 @@ def line_rules(t: Tables) -> DataFrame:
     return hits.select("doc", "line", "h.kind", "h.detail")
 
 
-@query("float_inventory", with_views(LINES_SQL, body=r"""SELECT doc, line, i AS pos, m AS number, TRY_CAST(m AS DOUBLE) > 1e12 AS wide FROM (SELECT doc, line, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT doc, line, regexp_extract_all(text, '[0-9]{3,}') AS l FROM lines_))"""))
+@query("long_numbers", with_views(LINES_SQL, body=r"""SELECT doc, line, i AS pos, m AS number, TRY_CAST(m AS DOUBLE) > 1e12 AS wide FROM (SELECT doc, line, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT doc, line, regexp_extract_all(text, '[0-9]{3,}') AS l FROM lines_))"""))
 def float_inventory(t: Tables) -> DataFrame:
     found = t.lines.select("doc", "line", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0))).alias("pos", "number"))
     return found.select("doc", "line", F.col("pos").cast("long").alias("pos"), "number", (F.col("number").try_cast("double") > 1e12).alias("wide"))
 
 
-@query("source_facts", r"""SELECT doc_id, regexp_extract(text, '^(\S+)', 1) AS first_word, len(string_split(text, chr(10))) AS n_lines, contains(text, '@') AS has_mail, coalesce(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE), 10.0) AS first_number FROM documents""")
+@query("text_facts", r"""SELECT doc_id, regexp_extract(text, '^(\S+)', 1) AS first_word, len(string_split(text, chr(10))) AS n_lines, contains(text, '@') AS has_mail, coalesce(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE), 10.0) AS first_number FROM documents""")
 def source_facts(t: Tables) -> DataFrame:
     x = F.col("text")
     return t["documents"].select(
@@ -258,7 +258,7 @@ def source_facts(t: Tables) -> DataFrame:
     )
 
 
-@query("degrade_text", "SELECT doc_id, lv AS level, length(CASE lv WHEN 1 THEN replace(text, '. ', '.') WHEN 2 THEN replace(replace(text, '. ', '.'), ', ', ',') ELSE replace(replace(replace(text, '. ', '.'), ', ', ','), ' the ', ' ') END) AS n FROM documents, (SELECT unnest([1, 2, 3]) AS lv)")
+@query("text_levels", "SELECT doc_id, lv AS level, length(CASE lv WHEN 1 THEN replace(text, '. ', '.') WHEN 2 THEN replace(replace(text, '. ', '.'), ', ', ',') ELSE replace(replace(replace(text, '. ', '.'), ', ', ','), ' the ', ' ') END) AS n FROM documents, (SELECT unnest([1, 2, 3]) AS lv)")
 def degrade_text(t: Tables) -> DataFrame:
     """Cumulative degradations of a text by level."""
     steps = [lambda c: F.replace(c, F.lit(". "), F.lit(".")), lambda c: F.replace(c, F.lit(", "), F.lit(",")), lambda c: F.replace(c, F.lit(" the "), F.lit(" "))]

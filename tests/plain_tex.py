@@ -187,3 +187,32 @@ def floats(src):
         x = _tables(re.sub(r"(\\begin\{(?:figure|table)\*?\})\[[^\]]*\]", r"\1", x))
         out.append(re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" "))
     return out
+
+
+def degraded(src):
+    """The source at levels 0 to 4."""
+    out = [src]
+    for text in ("\\vspace{3cm}\n", "\\newpage\n"):
+        places = [m.start() for m in re.finditer(r"\\section\*?\{", out[-1])]
+        out.append(out[-1][: places[1]] + text + out[-1][places[1] :] if len(places) > 1 else out[-1])
+    x, n = re.subn(r"(\\begin\{(?:figure|table)\*?\})\s*\[[^\]]*\]", r"\1[H]", out[-1])
+    if n and "\\usepackage{float}" not in x and "\\usepackage{placeins}" not in x:
+        m = re.search(r"\\usepackage(\[[^\]]*\])?\{[^}]*\}", x)
+        x = x[: m.end()] + "\n\\usepackage{float}" + x[m.end() :] if m else x.replace("\\begin{document}", "\\usepackage{float}\n\\begin{document}", 1)
+    out.append(x)
+    m = re.search(r"\\includegraphics\s*\[[^\]]*\]", x)
+    out.append(x[: m.start()] + "\\includegraphics[width=1.25\\linewidth]" + x[m.end() :] if m else x)
+    return out
+
+
+def inventory(src):
+    """(line, kind, starred, spec, width, too wide) of floats and figures with a width."""
+    out = []
+    for m in re.finditer(r"\\begin\{(figure|table)(\*?)\}(?:\[([^\]]*)\])?|\\includegraphics(?:\[([^\]]*)\])?\{", src):
+        line = src[: m.start()].count("\n") + 1
+        if m[1]:
+            out.append((line, m[1], bool(m[2]), (m[3] or "").strip() or None, None, None))
+        elif w := re.search(r"width\s*=\s*([^,\]]+)", m[4] or ""):
+            mm, share = length(w[1].strip(), MM), re.fullmatch(r"(\d*\.?\d+)\s*\\(linewidth|textwidth|columnwidth|hsize)", w[1].strip())
+            out.append((line, "graphic", False, None, w[1].strip(), mm > 160 if mm is not None else bool(share) and float(share[1]) > 1))
+    return out

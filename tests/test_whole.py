@@ -49,7 +49,7 @@ def test_blank_regions_of_all_pages(spark, duck):
             runs = [[j for j in js if j - js.index(j) == k] for k in {j - js.index(j) for j in js}]
             band, last = max(map(len, runs), default=0), next((len(r) for r in runs if r[-1] == 37), 0)
             want.add((doc, min(i * 1000 + j for i, j in part), len(part), min(j for _, j in part), max(j for _, j in part), band, last, len(part) / (29 * 38) < 0.004))
-    got = [tuple(r) for r in registry.run("blank_regions_all")(spark, DATA).collect()]
+    got = [tuple(r) for r in registry.run("blank_regions")(spark, DATA).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -126,7 +126,7 @@ def test_pair_partners_of_all_pages(spark, duck):
             d = [(max(abs(a - x), abs(b - y)), -q, abs(a - x), abs(b - y)) for q, _, x, y in pages if q != page]
             lead_b, (far, q, _, _) = sum(r[3] > r[2] for r in d), max(d)
             want.add((paper, page, col, len(d), len(d) - lead_b, lead_b, -q, far))
-    got = registry.run("pair_partners")(spark, DATA).collect()
+    got = registry.run("pair_within_paper")(spark, DATA).collect()
     assert {(r.paper, r.page, r.col, r.n_pairs, r.lead_a, r.lead_b, r.partner, r.lead_delta) for r in got} == want and len(got) == len(want)
 
 
@@ -147,7 +147,7 @@ def test_pair_theta_counts_of_all_pages(spark, duck):
             if x[1] == y[1] and x[0] != y[0] and x[4] - y[4] >= 0.5 * (x[3] + x[4] - y[3] - y[4]):
                 want[*x[:3], "hi"] += 1
                 want[*y[:3], "lo"] += 1
-    got = {(r.paper, r.col, r.page, r.side): r.n_pairs for r in registry.run("pair_theta_counts")(spark, DATA).collect()}
+    got = {(r.paper, r.col, r.page, r.side): r.n_pairs for r in registry.run("pair_theta_join")(spark, DATA).collect()}
     assert got == want and sum(want.values()) > 0
 
 
