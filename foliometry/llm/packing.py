@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from foliometry.llm.common import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Waiting examples among which the heuristic chooses, and words of which a task remembers the ids.
+#: Waiting examples among which the heuristic chooses, and words of which a worker remembers the ids (about 600 bytes each; fewer cost time only).
 WINDOW, MOST_WORDS = 128, 800_000
 
 
@@ -62,8 +62,8 @@ class Encoder:
     Texts that may hold a special token's string go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, end_id: int) -> None:
-        self.tokenizer, self.end_id = _tokenizer(path), end_id
+    def __init__(self, path: str, end_id: int, most_words: int = MOST_WORDS) -> None:
+        self.tokenizer, self.end_id, self.most_words = _tokenizer(path), end_id, most_words
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._clear()
@@ -96,7 +96,7 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> bool:
         """Adds words that are not known; False if the store was full and has been emptied instead."""
-        if self.place and len(self.place) + len(words) > MOST_WORDS:
+        if self.place and len(self.place) + len(words) > self.most_words:
             self._clear()
             return False
         known = self.place
@@ -141,9 +141,9 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str, end_id: int) -> Encoder:
+def _encoder(path: str, end_id: int, most_words: int) -> Encoder:
     """One for each Python worker, so that its words serve all tasks of the worker."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, most_words)
 
 
 class Packer:
@@ -223,11 +223,11 @@ class Packer:
                 self._place()
 
 
-def _pack(path: str, end_id: int, limits: tuple[int, int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(path: str, end_id: int, limits: tuple[int, int, int], most_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = _encoder(path, end_id)
+        encode = _encoder(path, end_id, most_words)
         packer = Packer(*limits, first=TaskContext.get().partitionId() << 33)
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -255,14 +255,16 @@ def _pack(path: str, end_id: int, limits: tuple[int, int, int]) -> Callable[[Ite
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, most_tokens: int = 4096, most_segments: int = 1024, most_loss: int | None = None, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, end_id: int = 2, most_tokens: int = 4096, most_segments: int = 1024, most_loss: int | None = None, doc_id: str = "doc_id", text: str = "text",
+    most_words: int = MOST_WORDS,
+) -> DataFrame:
     """Pieces of tokenised documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer: path of a tokenizer file. Every token of a document bears loss; most_loss is most_tokens if not given.
+    most_words: words of which a worker remembers the ids, fewer where other steps have left little memory; the result is the same.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, end_id, (most_tokens, most_segments, most_loss or most_tokens)), PIECES)
+    return rows.mapInArrow(_pack(tokenizer, end_id, (most_tokens, most_segments, most_loss or most_tokens), most_words), PIECES)
 
 
 def pack_examples(examples: DataFrame, most_tokens: int, most_segments: int, most_loss: int) -> DataFrame:
