@@ -119,8 +119,8 @@ PROJ = "proj_(field, kind, basis) AS (VALUES ('a', 'ECONOMY', 'small'), ('b', 'S
 PROJ_ROWS = [("a", "ECONOMY", "small"), ("b", "STANDARD", "red"), ("c", "ECONOMY", "blue"), ("d", "PROMO", "green"), ("e", "NONE", "x")]
 
 
-@query("spec_projection", with_views(PROJ, body="SELECT p_brand, field, min(p_size) AS value FROM part JOIN proj_ ON p_type = kind AND starts_with(p_name, basis) GROUP BY p_brand, field"))
-def spec_projection(t: Tables) -> DataFrame:
+@query("brand_projection", with_views(PROJ, body="SELECT p_brand, field, min(p_size) AS value FROM part JOIN proj_ ON p_type = kind AND starts_with(p_name, basis) GROUP BY p_brand, field"))
+def brand_projection(t: Tables) -> DataFrame:
     """Constraint rows mapped to fields, of permitted bases only."""
     proj = t.spark.createDataFrame(PROJ_ROWS, "field string, kind string, basis string")
     j = t["part"].join(F.broadcast(proj), F.col("p_type") == F.col("kind"))  # a fixed table of six rows
@@ -132,7 +132,7 @@ def spec_deferred(t: Tables) -> DataFrame:
     """Fields that could not be projected, with a reason."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit("no source" if k == "NONE" else "basis not permitted").alias("reason")) for f, k, _ in PROJ_ROWS]))
     all_ = t["part"].select("p_brand").distinct().select("p_brand", fields.alias("f")).select("p_brand", "f.field", "f.reason")
-    return all_.join(spec_projection(t).select("p_brand", "field"), ["p_brand", "field"], "left_anti")
+    return all_.join(brand_projection(t).select("p_brand", "field"), ["p_brand", "field"], "left_anti")
 
 
 @query("deferred_summary", with_views(PROJ, "b_ AS (SELECT DISTINCT p_brand FROM part)", "got_ AS (SELECT DISTINCT p_brand, field FROM part JOIN proj_ ON p_type = kind AND starts_with(p_name, basis))", body="SELECT reason, count(*) AS n, count(DISTINCT field) AS n_fields, count(DISTINCT p_brand) AS n_venues FROM (SELECT b_.p_brand, proj_.field, CASE WHEN kind = 'NONE' THEN 'no source' ELSE 'basis not permitted' END AS reason FROM b_, proj_ WHERE NOT EXISTS (SELECT 1 FROM got_ g WHERE g.p_brand = b_.p_brand AND g.field = proj_.field)) GROUP BY reason"))
@@ -279,8 +279,8 @@ def text_area(t: Tables) -> DataFrame:
     return t["part"].select("p_partkey", side(210.0).alias("width_mm"), side(297.0).alias("height_mm"))
 
 
-@query("derived_metrics", "SELECT o_orderkey, round(CASE WHEN n > 0 THEN q / n END, 6) AS qty_per_line, round(CASE WHEN n > 3 THEN q / p END, 9) AS gap FROM (SELECT o_orderkey, count(l_orderkey) AS n, sum(l_quantity) AS q, max(o_totalprice) AS p FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
-def derived_metrics(t: Tables) -> DataFrame:
+@query("guarded_ratios", "SELECT o_orderkey, round(CASE WHEN n > 0 THEN q / n END, 6) AS qty_per_line, round(CASE WHEN n > 3 THEN q / p END, 9) AS gap FROM (SELECT o_orderkey, count(l_orderkey) AS n, sum(l_quantity) AS q, max(o_totalprice) AS p FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
+def guarded_ratios(t: Tables) -> DataFrame:
     """Guarded ratios."""
     li = t["lineitem"].groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     j = t["orders"].join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -328,10 +328,10 @@ def accept_verdict(t: Tables) -> DataFrame:
     return g.select("n", r6("a").alias("old_median"), r6("b").alias("new_median"), ((F.col("b") <= F.col("a")) & (F.col("wb") <= F.col("wa"))).alias("accepted"))
 
 
-@query("venue_template", """WITH m AS (SELECT p_brand, quantile_cont(p_size, 0.25) AS p25, quantile_cont(p_size, 0.5) AS p50, quantile_cont(p_size, 0.75) AS p75, count(*) AS n FROM part GROUP BY 1),
+@query("brand_template", """WITH m AS (SELECT p_brand, quantile_cont(p_size, 0.25) AS p25, quantile_cont(p_size, 0.5) AS p50, quantile_cont(p_size, 0.75) AS p75, count(*) AS n FROM part GROUP BY 1),
 o AS (SELECT p_brand, min(p_size) AS official FROM part WHERE p_type = 'PROMO' AND p_size > 20 GROUP BY 1)
 SELECT m.p_brand, coalesce(CAST(official AS DOUBLE), p50) AS target, CASE WHEN official IS NULL THEN 'sample' ELSE 'official' END AS basis, p25 AS low, p75 AS high, n >= 16 AS reliable FROM m LEFT JOIN o USING (p_brand)""")
-def venue_template(t: Tables) -> DataFrame:
+def brand_template(t: Tables) -> DataFrame:
     """One row a venue: the official value, else the sample's median, with the usual range and whether it is reliable."""
     q = F.percentile("p_size", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     m = t["part"].groupBy("p_brand").agg(q.alias("q"), F.count("*").alias("n"))
