@@ -147,8 +147,8 @@ def field_reliability(t: Tables) -> DataFrame:
     return g.agg(named(F.col("n") >= 14).alias("reliable"), named(F.col("n") < 14).alias("unreliable"))
 
 
-@query("sample_anomalies", "SELECT p_partkey, rule FROM (SELECT p_partkey, unnest([CASE WHEN p_size < 4 THEN 'few_pages' END, CASE WHEN p_size > 46 THEN 'many_pages' END, CASE WHEN p_retailprice % 100 < 1 THEN 'zero_refs' END]) AS rule FROM part) WHERE rule IS NOT NULL")
-def sample_anomalies(t: Tables) -> DataFrame:
+@query("part_anomalies", "SELECT p_partkey, rule FROM (SELECT p_partkey, unnest([CASE WHEN p_size < 4 THEN 'few_pages' END, CASE WHEN p_size > 46 THEN 'many_pages' END, CASE WHEN p_retailprice % 100 < 1 THEN 'zero_refs' END]) AS rule FROM part) WHERE rule IS NOT NULL")
+def part_anomalies(t: Tables) -> DataFrame:
     rules = F.array_compact(F.array(F.when(F.col("p_size") < 4, "few_pages"), F.when(F.col("p_size") > 46, "many_pages"), F.when(F.col("p_retailprice") % 100 < 1, "zero_refs")))
     return t["part"].select("p_partkey", F.explode(rules).alias("rule"))
 
@@ -195,21 +195,21 @@ def unattributed_items(t: Tables) -> DataFrame:
     return issues(t).where("line_lo is null and kind <> 'other'").groupBy("doc", "kind").agg(F.count("*").alias("n"))
 
 
-@query("page_attribution", with_views(LOGS_SQL, ISSUE, SEV, body="SELECT doc, page, n, round(p, 4) AS p FROM (SELECT doc, CAST(floor(line_lo / 100.0) AS BIGINT) AS page, count(*) AS n, sum(w) AS p FROM issue_ JOIN sev_ USING (kind) GROUP BY 1, 2)"))
-def page_attribution(t: Tables) -> DataFrame:
+@query("issue_pages", with_views(LOGS_SQL, ISSUE, SEV, body="SELECT doc, page, n, round(p, 4) AS p FROM (SELECT doc, CAST(floor(line_lo / 100.0) AS BIGINT) AS page, count(*) AS n, sum(w) AS p FROM issue_ JOIN sev_ USING (kind) GROUP BY 1, 2)"))
+def issue_pages(t: Tables) -> DataFrame:
     """Defect weight by page; items without a line stay under a null page."""
     j = issues(t).join(F.broadcast(t.spark.createDataFrame(SEV_ROWS, "kind string, w double")), "kind")
     return j.groupBy("doc", F.floor(F.col("line_lo") / 100.0).alias("page")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("p"))
 
 
-@query("visual_defects", with_views(LINES_SQL, body="SELECT doc, line, kind FROM (SELECT doc, line, unnest([CASE WHEN length(text) > 900 THEN 'giant' END, CASE WHEN length(text) = 0 THEN 'blank' END, CASE WHEN length(text) BETWEEN 1 AND 8 THEN 'stranded' END]) AS kind FROM lines_) WHERE kind IS NOT NULL"))
-def visual_defects(t: Tables) -> DataFrame:
+@query("line_defects", with_views(LINES_SQL, body="SELECT doc, line, kind FROM (SELECT doc, line, unnest([CASE WHEN length(text) > 900 THEN 'giant' END, CASE WHEN length(text) = 0 THEN 'blank' END, CASE WHEN length(text) BETWEEN 1 AND 8 THEN 'stranded' END]) AS kind FROM lines_) WHERE kind IS NOT NULL"))
+def line_defects(t: Tables) -> DataFrame:
     n = F.length("text")
     return t.lines.select("doc", "line", F.explode(F.array_compact(F.array(F.when(n > 900, "giant"), F.when(n == 0, "blank"), F.when((n >= 1) & (n <= 8), "stranded")))).alias("kind"))
 
 
-@query("visual_summary", with_views(LINES_SQL, body="SELECT doc, count(*) AS n, round(avg(length(text)), 6) AS ink_mean, min(length(text)) AS ink_min, max(length(text)) AS ink_max, CASE WHEN max(length(text)) > 900 THEN 'high' WHEN min(length(text)) BETWEEN 1 AND 8 THEN 'low' ELSE 'none' END AS severity FROM lines_ GROUP BY doc"))
-def visual_summary(t: Tables) -> DataFrame:
+@query("line_summary", with_views(LINES_SQL, body="SELECT doc, count(*) AS n, round(avg(length(text)), 6) AS ink_mean, min(length(text)) AS ink_min, max(length(text)) AS ink_max, CASE WHEN max(length(text)) > 900 THEN 'high' WHEN min(length(text)) BETWEEN 1 AND 8 THEN 'low' ELSE 'none' END AS severity FROM lines_ GROUP BY doc"))
+def line_summary(t: Tables) -> DataFrame:
     n = F.length("text")
     return t.lines.groupBy("doc").agg(F.count("*").alias("n"), r6(F.avg(n)).alias("ink_mean"), F.min(n).cast("long").alias("ink_min"), F.max(n).cast("long").alias("ink_max"), F.when(F.max(n) > 900, "high").when((F.min(n) >= 1) & (F.min(n) <= 8), "low").otherwise("none").alias("severity"))
 
