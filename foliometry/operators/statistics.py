@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliometry.functions.scalar import band_loss, corr, r6, robust_z
 from foliometry.operators import evaluation, sampling
 from foliometry.operators.lineage import cut
-from foliometry.operators.quantiles import ranked
+from foliometry.operators.quantiles import joined, percentiles, ranked
 
 
 def _pairs(dims: list[str]) -> list[tuple[str, str]]:
@@ -127,7 +127,8 @@ def bootstrap_median(long: DataFrame, paper: str, keys: list[str], rounds: int,
     """
     values = cut(long.groupBy(paper, *keys, "value").agg(F.count("*").alias("c")))
     counts = cut(evaluation.bootstrap_counts(cut(values.select(paper).distinct()), paper, rounds))
-    n = cut(values.groupBy(*keys).agg(F.count_distinct(paper).alias("papers"), F.sum("c").alias("pages"), r6(F.percentile("value", 0.5, F.col("c"))).alias("p50")))
+    middle = percentiles(values, keys, (0.5,), count="c").select(*keys, r6(F.col("p")[0]).alias("p50"))
+    n = cut(joined(values.groupBy(*keys).agg(F.count_distinct(paper).alias("papers"), F.sum("c").alias("pages")), middle, keys, "left"))
     reach = min(0.5, 2.5 / (n.agg(F.min("pages")).first()[0] or 1) ** 0.5)
     while True:
         medians, inside = _near_medians(values, counts, paper, keys, reach)

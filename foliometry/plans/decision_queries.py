@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliometry.functions import scalar
 from foliometry.functions.scalar import r6
+from foliometry.operators.lineage import cut
+from foliometry.operators.quantiles import joined, percentiles
 from foliometry.plans.registry import LINES_SQL, LOGS_SQL, PAGES_SQL, Tables, query, with_views
 from foliometry.plans.text_queries import ISSUE, issues
 from foliometry.plans.window_queries import STEPS, steps
@@ -174,8 +176,10 @@ def history_order_check(t: Tables) -> DataFrame:
 
 @query("venue_shadow_summary", with_views(PAGES_SQL, body="SELECT venue, count(*) AS n, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.9), 6) AS p90, round(avg(CASE WHEN s > 50000 THEN 1.0 ELSE 0.0 END), 6) AS anomalous FROM (SELECT venue, paper, avg(price) AS s FROM pages_ GROUP BY 1, 2) GROUP BY venue"))
 def venue_shadow_summary(t: Tables) -> DataFrame:
-    s = t.pages.groupBy("venue", "paper").agg(F.avg("price").alias("s"))
-    return s.groupBy("venue").agg(F.count("*").alias("n"), r6(F.percentile("s", 0.5)).alias("median"), r6(F.percentile("s", 0.9)).alias("p90"), r6(F.avg(F.when(F.col("s") > 50000, 1.0).otherwise(0.0))).alias("anomalous"))
+    s = cut(t.pages.groupBy("venue", "paper").agg(F.avg("price").alias("s")))
+    odd = s.groupBy("venue").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("s") > 50000, 1.0).otherwise(0.0))).alias("anomalous"))
+    both = joined(odd, percentiles(s, ["venue"], (0.5, 0.9), "s").drop("n"), ["venue"])
+    return both.select("venue", "n", r6(F.col("p")[0]).alias("median"), r6(F.col("p")[1]).alias("p90"), "anomalous")
 
 
 #: Weights of log defects.
@@ -324,7 +328,11 @@ def legacy_adapt(t: Tables) -> DataFrame:
 def accept_verdict(t: Tables) -> DataFrame:
     """New scores are accepted only if neither the median nor the worst is worse."""
     new = F.col("m1") + 0.1 * F.col("m2")
-    g = versions(t).agg(F.count("*").alias("n"), F.percentile("m1", 0.5).alias("a"), F.percentile(new, 0.5).alias("b"), F.max("m1").alias("wa"), F.max(new).alias("wb"))
+    side = lambda name, c: F.struct(F.lit(name).alias("side"), c.alias("v"))
+    sides = versions(t).select(F.explode(F.array(side("old", F.col("m1")), side("new", new))).alias("s")).select("s.*")
+    both = joined(sides.groupBy("side").agg(F.count("*").alias("n"), F.max("v").alias("worst")), percentiles(sides, ["side"], (0.5,), "v").drop("n"), ["side"])
+    of = lambda name, c, out: F.max(F.when(F.col("side") == name, c)).alias(out)
+    g = both.agg(F.max("n").alias("n"), of("old", F.col("p")[0], "a"), of("new", F.col("p")[0], "b"), of("old", F.col("worst"), "wa"), of("new", F.col("worst"), "wb"))
     return g.select("n", r6("a").alias("old_median"), r6("b").alias("new_median"), ((F.col("b") <= F.col("a")) & (F.col("wb") <= F.col("wa"))).alias("accepted"))
 
 

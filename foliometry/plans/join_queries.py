@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import corr, r6
 from foliometry.operators import windows
+from foliometry.operators.lineage import cut
 from foliometry.operators.pairs import partners, theta_counts
+from foliometry.operators.quantiles import joined, percentiles
 from foliometry.plans.registry import DIMS, LOGS_SQL, LONG_SQL, PAGES_SQL, Tables, query, with_views
 from foliometry.plans.text_queries import ISSUE, issues
 
@@ -50,7 +52,9 @@ def paired_compare(t: Tables) -> DataFrame:
 
 @query("paired_summary", with_views(PAGES_SQL, PAIR, PAIRED, body="SELECT count(*) AS n_papers, round(quantile_cont(rho, 0.5), 6) AS median_rho, round(min(rho), 6) AS min_rho, count(*) FILTER (WHERE constant) AS degenerate, round(max(p90_delta), 6) AS worst FROM cmp_"))
 def paired_summary(t: Tables) -> DataFrame:
-    return paired(t).agg(F.count("*").alias("n_papers"), r6(F.percentile("rho", 0.5)).alias("median_rho"), r6(F.min("rho")).alias("min_rho"), F.count_if("constant").alias("degenerate"), r6(F.max("p90_delta")).alias("worst"))
+    rows = cut(paired(t).withColumn("of", F.lit("all")))
+    g = rows.groupBy("of").agg(F.count("*").alias("n_papers"), r6(F.min("rho")).alias("min_rho"), F.count_if("constant").alias("degenerate"), r6(F.max("p90_delta")).alias("worst"))
+    return joined(g, percentiles(rows, ["of"], (0.5,), "rho").select("of", r6(F.col("p")[0]).alias("median_rho")), ["of"], "left").drop("of")
 
 
 @query("anti_dedupe_candidates", """SELECT d.doc_id FROM documents d WHERE d.doc_id % 2 = 1 AND d.text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.text = d.text) AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND lower(substr(e.text, 1, 40)) = lower(substr(d.text, 1, 40)))""")

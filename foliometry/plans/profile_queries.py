@@ -10,7 +10,7 @@ from foliometry.functions.scalar import r6
 from foliometry.operators import aggregates as agg
 from foliometry.operators import flatten, profiles
 from foliometry.operators.lineage import cut
-from foliometry.operators.quantiles import percentiles
+from foliometry.operators.quantiles import joined, percentiles
 from foliometry.plans.registry import DIMS, LONG_SQL, PAGES_SQL, Tables, query, with_views
 
 P = "round(quantile_cont({v}, {q}), 6)"
@@ -262,7 +262,9 @@ def sample_stats(t: Tables) -> DataFrame:
 
 @query("venue_pattern_table", """SELECT p_brand, round(avg(p_size), 6) AS mean_size, quantile_cont(p_retailprice, 0.5) AS median_price, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types, count(DISTINCT p_type) = 1 AS consistent FROM part GROUP BY p_brand""")
 def venue_pattern_table(t: Tables) -> DataFrame:
-    return t["part"].groupBy("p_brand").agg(r6(F.avg("p_size")).alias("mean_size"), F.percentile("p_retailprice", 0.5).alias("median_price"), F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"), (F.count_distinct("p_type") == 1).alias("consistent"))
+    median = percentiles(t["part"], ["p_brand"], (0.5,), "p_retailprice").select("p_brand", F.col("p")[0].alias("median_price"))
+    rows = t["part"].groupBy("p_brand").agg(r6(F.avg("p_size")).alias("mean_size"), F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"), (F.count_distinct("p_type") == 1).alias("consistent"))
+    return joined(rows, median, ["p_brand"], "left")
 
 
 @query("judge_transform", with_views(LONG_SQL, body="SELECT paper, page, dim, CASE WHEN dim IN ('price', 'net_price') AND value > -1 THEN round(ln(1 + value), 6) ELSE value END AS value FROM long_"))

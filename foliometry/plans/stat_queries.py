@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliometry.functions.scalar import corr, r6
 from foliometry.operators import evaluation, profiles, statistics, windows
 from foliometry.operators.lineage import cut
-from foliometry.operators.quantiles import percentiles, ranked
+from foliometry.operators.quantiles import joined, percentiles, ranked
 from foliometry.plans.profile_queries import BLOCK, LOSS, NORM, TOP, WEIGHT_SQL, WEIGHTS
 from foliometry.plans.registry import DIMS, LONG_SQL, PAGES_SQL, Tables, query, with_views
 
@@ -120,8 +120,8 @@ def cluster_bootstrap_ci(t: Tables) -> DataFrame:
 
 @query("paper_features", with_views(LONG_SQL, body="SELECT paper, dim, round(median, 6) AS median, round((median - quantile_cont(median, 0.5) OVER (PARTITION BY dim)) / CASE WHEN quantile_cont(median, 0.75) OVER (PARTITION BY dim) - quantile_cont(median, 0.25) OVER (PARTITION BY dim) < 1e-9 THEN 1.0 ELSE quantile_cont(median, 0.75) OVER (PARTITION BY dim) - quantile_cont(median, 0.25) OVER (PARTITION BY dim) END, 5) AS z FROM (SELECT paper, dim, quantile_cont(value, 0.5) AS median FROM long_ GROUP BY paper, dim HAVING count(*) >= 3)"))
 def paper_features(t: Tables) -> DataFrame:
-    m = t.long.groupBy("paper", "dim").agg(F.percentile("value", 0.5).alias("median"), F.count("*").alias("n")).where("n >= 3")
-    q = m.groupBy("dim").agg(F.percentile("median", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    m = cut(percentiles(t.long, ["paper", "dim"], (0.5,)).where("n >= 3").select("paper", "dim", F.col("p")[0].alias("median")))
+    q = percentiles(m, ["dim"], (0.25, 0.5, 0.75), "median").select("dim", F.col("p").alias("q"))
     iqr = F.col("q")[2] - F.col("q")[0]
     return m.join(q, "dim").select("paper", "dim", r6("median").alias("median"), F.round((F.col("median") - F.col("q")[1]) / F.when(iqr < 1e-9, 1.0).otherwise(iqr), 5).alias("z"))
 
@@ -267,8 +267,9 @@ def response_weights(t: Tables) -> DataFrame:
 @query("sensitivity_table", with_views(LONG_SQL, body="SELECT dim, count(*) FILTER (WHERE d > 0.1 * abs(base)) AS responding, count(*) AS docs, round(quantile_cont(d, 0.5), 6) AS median_delta FROM (SELECT paper, dim, avg(value) FILTER (WHERE layout = 'F') AS base, max(value) - avg(value) FILTER (WHERE layout = 'F') AS d FROM long_ GROUP BY paper, dim) GROUP BY dim"))
 def sensitivity_table(t: Tables) -> DataFrame:
     base = F.avg(F.when(F.col("layout") == "F", F.col("value")))
-    g = t.long.groupBy("paper", "dim").agg(base.alias("base"), (F.max("value") - base).alias("d"))
-    return g.groupBy("dim").agg(F.count_if(F.col("d") > 0.1 * F.abs("base")).alias("responding"), F.count("*").alias("docs"), r6(F.percentile("d", 0.5)).alias("median_delta"))
+    g = cut(t.long.groupBy("paper", "dim").agg(base.alias("base"), (F.max("value") - base).alias("d")))
+    median = percentiles(g, ["dim"], (0.5,), "d").select("dim", r6(F.col("p")[0]).alias("median_delta"))
+    return joined(g.groupBy("dim").agg(F.count_if(F.col("d") > 0.1 * F.abs("base")).alias("responding"), F.count("*").alias("docs")), median, ["dim"], "left")
 
 
 @query("identifiability", with_views(LONG_SQL, body="SELECT dim, round(avg(within_sd), 6) AS within_sd, round(stddev_pop(mean), 6) AS between_sd, CASE WHEN max(within_sd) < 1e-9 THEN 'drop' WHEN stddev_pop(mean) < 0.05 * avg(within_sd) THEN 'stratify' ELSE 'keep' END AS verdict FROM (SELECT paper, dim, avg(value) AS mean, stddev_pop(value) AS within_sd FROM long_ GROUP BY 1, 2) GROUP BY dim"))
@@ -323,8 +324,10 @@ def margin_stats(t: Tables) -> DataFrame:
     losses = profiles.normalise(profiles.page_losses(t.kept, profiles.robust_block(t.kept, ["role"]), ["role"]), ["role"])
     pooled = profiles.pooled(losses, ["paper", "dim"], "norm")
     both = profiles.weighted_score(pooled, ["paper"], "pooled", WEIGHTS).select("paper", F.col("score").alias("new")).join(profiles.weighted_score(pooled, ["paper"], "pooled", {}).select("paper", F.col("score").alias("old")), "paper")
-    d = F.col("new") - F.col("old")
-    return both.agg(F.round(F.percentile(d, 0.5), 5).alias("median_margin"), r6(F.avg(F.when(d > 0, 1.0).otherwise(0.0))).alias("positive"), F.count("*").alias("n"))
+    d = F.col("d")
+    rows = cut(both.select(F.lit("all").alias("of"), (F.col("new") - F.col("old")).alias("d")))
+    counts = rows.groupBy("of").agg(r6(F.avg(F.when(d > 0, 1.0).otherwise(0.0))).alias("positive"), F.count("*").alias("n"))
+    return joined(counts, percentiles(rows, ["of"], (0.5,), "d").drop("n"), ["of"]).select(F.round(F.col("p")[0], 5).alias("median_margin"), "positive", "n")
 
 
 @query("document_scores", with_views(LONG_SQL, BLOCK, LOSS, NORM, TOP.replace("top_ AS", "pool_ AS").replace("FROM long_", "FROM norm_").replace("value", "norm"), WEIGHT_SQL, "score_ AS (SELECT paper, sum(w * (0.5 * top_mean + 0.5 * mean)) / sum(w) AS score FROM pool_ JOIN w_ USING (dim) GROUP BY paper)", "odd_ AS (SELECT paper, count(*) FILTER (WHERE round(s, 6) > 12) AS anomalous, arg_max(page, (round(s, 6), -page)) AS worst_page FROM (SELECT paper, page, sum(norm) AS s FROM norm_ GROUP BY 1, 2) GROUP BY paper)", body="SELECT paper, round(score, 5) AS score, anomalous, worst_page FROM score_ JOIN odd_ USING (paper)"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import r6
 from foliometry.operators import sampling, windows
+from foliometry.operators.lineage import cut
+from foliometry.operators.quantiles import percentiles
 from foliometry.plans.registry import LINES_SQL, LONG_SQL, PAGES_SQL, Tables, query, with_views
 
 
@@ -153,8 +155,8 @@ def sweep_coverage(t: Tables) -> DataFrame:
 
 @query("relative_to_group", with_views(PAGES_SQL, body="SELECT paper, venue, round(score / med, 6) AS relative FROM (SELECT paper, venue, avg(price) AS score FROM pages_ GROUP BY 1, 2) JOIN (SELECT venue, quantile_cont(score, 0.5) AS med FROM (SELECT paper, venue, avg(price) AS score FROM pages_ GROUP BY 1, 2) GROUP BY venue) USING (venue)"))
 def relative_to_group(t: Tables) -> DataFrame:
-    score = t.pages.groupBy("paper", "venue").agg(F.avg("price").alias("score"))
-    med = score.groupBy("venue").agg(F.percentile("score", 0.5).alias("med"))
+    score = cut(t.pages.groupBy("paper", "venue").agg(F.avg("price").alias("score")))
+    med = percentiles(score, ["venue"], (0.5,), "score").select("venue", F.col("p")[0].alias("med"))
     return score.join(med, "venue").select("paper", "venue", r6(F.col("score") / F.col("med")).alias("relative"))
 
 
