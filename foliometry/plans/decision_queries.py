@@ -296,8 +296,8 @@ def density_per_page(t: Tables) -> DataFrame:
     return t.pages.groupBy("paper").agg(r6(F.sum("quantity") / F.count("*")).alias("quantity"), r6(F.sum("discount") / F.count("*")).alias("discount"))
 
 
-@query("record_validate", "SELECT event_id, error FROM (SELECT event_id, unnest([CASE WHEN event_type = 'error' THEN 'unknown action' END, CASE WHEN value < 1 THEN 'below range' END, CASE WHEN value > 100 THEN 'above range' END]) AS error FROM events) WHERE error IS NOT NULL")
-def record_validate(t: Tables) -> DataFrame:
+@query("event_ranges", "SELECT event_id, error FROM (SELECT event_id, unnest([CASE WHEN event_type = 'error' THEN 'unknown action' END, CASE WHEN value < 1 THEN 'below range' END, CASE WHEN value > 100 THEN 'above range' END]) AS error FROM events) WHERE error IS NOT NULL")
+def event_ranges(t: Tables) -> DataFrame:
     """Violations of the rule table: unknown action, value out of range."""
     v = F.col("value")
     return t["events"].select("event_id", F.explode(F.array_compact(F.array(F.when(F.col("event_type") == "error", "unknown action"), F.when(v < 1, "below range"), F.when(v > 100, "above range")))).alias("error"))
