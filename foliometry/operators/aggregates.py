@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliometry.functions.scalar import r6
+from foliometry.functions.scalar import nearest6, r6
 from foliometry.operators.lineage import cut
 from foliometry.operators.quantiles import counted, joined, percentiles, running
 
@@ -16,7 +16,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
     out = joined(out, percentiles(df, keys, (0.1, 0.25, 0.5, 0.75, 0.9), value), keys)
     names = ("p10", "p25", "p50", "p75", "p90")
-    return out.select(*keys, "n", *[r6(c).alias(c) for c in ("mean", "min", "max")], *[r6(F.col("p")[i]).alias(c) for i, c in enumerate(names)])
+    return out.select(*keys, "n", *[r6(c).alias(c) for c in ("mean", "min", "max")], *[nearest6(F.col("p")[i]).alias(c) for i, c in enumerate(names)])
 
 
 def at_ranks(df: DataFrame, keys: list[str], ranks: dict[str, Column], value: str = "value") -> DataFrame:

@@ -164,3 +164,40 @@ def test_percentiles_of_large_and_small_strata_agree(spark, monkeypatch):
         assert all(np.allclose(got[g].p, want[g], rtol=0, atol=1e-12) for g in want) and got["a"].n == 5000
     ranks = {r.g: r for r in aggregates.ranks_of(df, ["g"], {"median": aggregates.upper_median_rank()}).collect()}
     assert all(ranks[g].median == sorted(v for h, v in rows if h == g and v is not None)[ranks[g].n // 2] for g in want)
+
+
+def test_large_strata_are_searched_exactly_whatever_their_shape(spark, monkeypatch):
+    from foliometry.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    shapes = {"even": rng.random(3000), "heavy": 10.0 ** rng.uniform(-200, 200, 3000), "few": rng.integers(0, 3, 3000) / 7, "one": np.full(3000, 2.5), "end": np.r_[rng.random(2999), np.inf], "small": rng.random(20)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in shapes.items() for v in vs], "g string, value double").repartition(7)
+    monkeypatch.setattr(quantiles, "MOST", 25)
+    monkeypatch.setattr(quantiles, "BINS", 16)
+    qs = (0.05, 0.1, 0.5, 0.9, 0.97)
+    twice = [{r.g: (r.n, r.p) for r in quantiles.percentiles(df, ["g"], qs).collect()} for _ in range(2)]
+    assert twice[0] == twice[1]
+    for g, vs in shapes.items():
+        assert twice[0][g][0] == len(vs) and np.allclose(twice[0][g][1], np.quantile(vs, qs), rtol=1e-12, atol=0)
+
+
+def test_running_counts_of_large_strata_need_no_array_on_the_rows(spark):
+    from foliometry.operators import quantiles
+    from foliometry.operators.lineage import cut
+
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 40_009).cast("double").alias("value"))
+    rows = quantiles.running(cut(quantiles.counted(df, ["g"], "value")), ["g"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan and rows.where("n <> 20000").count() == 0
+    for g in (0, 1):
+        got = [r.upto for r in rows.where(F.col("g") == g).orderBy("value").collect()]
+        assert got == list(range(1, 20_001))
+
+
+def test_quantiles_at_a_half_millionth_round_as_sql_does(spark, duck):
+    values = [1054.31325, 1054.319] + [1.0 + k / 8 for k in range(40)]
+    df = spark.createDataFrame([("a", v + j * 1e-4) for v in values for j in range(3)], "k string, value double")
+    duck.register("halves", df.toPandas())
+    want = duck.execute("SELECT round(quantile_cont(value, 0.25), 6), round(quantile_cont(value, 0.9), 6), round(1053.1601875::DOUBLE, 6), round(4075.4659375::DOUBLE, 6) FROM (SELECT value FROM halves)").fetchone()
+    got = aggregates.quantiles(df, ["k"]).select("p25", "p90", scalar.nearest6(F.lit(1053.1601875)), scalar.nearest6(F.lit(4075.4659375))).first()
+    assert tuple(got) == want
