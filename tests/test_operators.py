@@ -201,3 +201,19 @@ def test_quantiles_at_a_half_millionth_round_as_sql_does(spark, duck):
     want = duck.execute("SELECT round(quantile_cont(value, 0.25), 6), round(quantile_cont(value, 0.9), 6), round(1053.1601875::DOUBLE, 6), round(4075.4659375::DOUBLE, 6) FROM (SELECT value FROM halves)").fetchone()
     got = aggregates.quantiles(df, ["k"]).select("p25", "p90", scalar.nearest6(F.lit(1053.1601875)), scalar.nearest6(F.lit(4075.4659375))).first()
     assert tuple(got) == want
+
+
+def test_nearest_box_below_compares_places_not_boxes(spark):
+    from foliometry.plans.join_queries import below
+
+    rng = np.random.default_rng(5)
+    boxes = [(int(d), i, float(x), float(y), float(x + 6), float(y + 2)) for i, (d, x, y) in enumerate(zip(rng.integers(0, 2, 200), rng.integers(0, 12, 200), rng.integers(0, 20, 200), strict=True))]
+    want = {}
+    for d, i, x0, _, x1, y1 in boxes:
+        found = [(o[3] - y1, o[1]) for o in boxes if o[0] == d and o[1] != i and 0 <= o[3] - y1 <= 60 and x0 < o[4] and o[2] < x1]
+        if found:
+            want[d, i] = min(found)
+    df = spark.createDataFrame(boxes, "doc long, id long, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.doc, r.id): (r.gap, r.below) for r in below(df).collect()} == want
+    many = spark.range(40_000).select(F.lit(0).cast("long").alias("doc"), "id", F.lit(0.0).alias("x0"), ((F.col("id") % 2) * 30.0).alias("y0"), F.lit(9.0).alias("x1"), ((F.col("id") % 2) * 30.0 + 20).alias("y1"))
+    assert below(many).agg(F.count("*"), F.max("below")).first() == (20_000, 1)  # 400 million pairs of boxes, one of places
