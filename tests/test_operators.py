@@ -217,3 +217,24 @@ def test_nearest_box_below_compares_places_not_boxes(spark):
     assert {(r.doc, r.id): (r.gap, r.below) for r in below(df).collect()} == want
     many = spark.range(40_000).select(F.lit(0).cast("long").alias("doc"), "id", F.lit(0.0).alias("x0"), ((F.col("id") % 2) * 30.0).alias("y0"), F.lit(9.0).alias("x1"), ((F.col("id") % 2) * 30.0 + 20).alias("y1"))
     assert below(many).agg(F.count("*"), F.max("below")).first() == (20_000, 1)  # 400 million pairs of boxes, one of places
+
+
+def test_nearest_item_equals_all_pairs(spark):
+    import random
+
+    from foliometry.operators import evaluation
+
+    rng = random.Random(5)
+    rows = [(k, k % 3, rng.gauss(0, 1) * (50 if k % 40 == 0 else 1), rng.choice([rng.gauss(0, 0.1), 0.5])) for k in range(400)]
+    rows += [(400 + k, 7, rows[k][2], rows[k][3]) for k in range(30)] + [(900, 1, 1e5, -1e5), (901, 2, None, 0.0)]
+    best = {}
+    for a, _, x, y in rows:
+        others = [(round((((x - u) ** 2 + (y - v) ** 2) / 2) ** 0.5, 9), b, m) for b, m, u, v in rows if b != a and u is not None] if x is not None else [(None, 0, 0)]
+        best[a] = min(others)
+    for part in (rows, rows[:2], rows[-2:]):
+        got = evaluation.nearest(spark.createDataFrame(part, "item long, label long, x double, y double"), "item", "label", ["x", "y"]).collect()
+        assert len(got) == len(part)
+        if part is rows:
+            assert {r["item"]: (r["near_item"], r["near"]) for r in got} == {a: m[1:] for a, m in best.items()}
+    assert {r["item"]: r["near_item"] for r in got} == {900: 901, 901: 900}
+    assert evaluation.nearest(spark.createDataFrame(rows[:1], "item long, label long, x double, y double"), "item", "label", ["x", "y"]).count() == 0
