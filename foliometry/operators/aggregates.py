@@ -88,9 +88,9 @@ def spread(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
 def top_share(df: DataFrame, keys: list[str], value: str = "value", share: float = 0.05) -> DataFrame:
     """n, mean, and the mean of the k largest values, k = max(1, round(share * n)) half-even."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    w = W.partitionBy(*keys)
-    k = F.greatest(F.lit(1), F.bround(share * F.sum("__c").over(w)))
-    before = F.coalesce(F.sum("__c").over(w.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    w = W.partitionBy(*keys).orderBy(F.desc(value))  # both sums share one sort
+    k = F.greatest(F.lit(1), F.bround(share * F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    before = F.coalesce(F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     used = F.greatest(F.lit(0), F.least(F.col("__c"), F.col("k") - F.col("before")))
     rows = counted.withColumn("k", k.cast("long")).withColumn("before", before).withColumn("used", used)
     return rows.groupBy(*keys).agg(

@@ -248,3 +248,34 @@ def test_boxes_of_one_place_are_one_node(spark):
     got = geometry.merged_boxes(spark.createDataFrame(rows, "doc long, id long, x0 double, y0 double, x1 double, y1 double").repartition(4), "doc", 8.0).collect()
     want = {(p, 10_000 * p, 6_000, 0.0, 0.0, 25.0, 10.0) for p in range(2)} | {(p, 10_000 * p + 2, 3_000, 100.0, 100.0, 110.0, 110.0) for p in range(2)}
     assert {tuple(r) for r in got} == want
+
+
+def test_scores_of_equal_papers_are_equal(spark):
+    from foliometry.operators import profiles
+
+    values = {"a": 0.1, "b": 0.7, "c": 1e9, "d": 0.3, "e": -1e9, "f": 0.2}
+    rows = [(p, d, values[d]) for p in range(40) for d in sorted(values, key=lambda d, p=p: hash((p * 7919, ord(d) * 31)))] + [(99, "a", None)]
+    got = profiles.weighted_score(spark.createDataFrame(rows, "paper long, dim string, v double").repartition(7), ["paper"], "v", {"a": 0.3, "d": 1.7}).collect()
+    assert len({r["score"] for r in got if r["paper"] != 99}) == 1
+    assert [(r["n_dims"], r["score"]) for r in got if r["paper"] == 99] == [(0, None)]
+
+
+def test_rows_are_not_dealt_by_stratum(spark):
+    """Tables of large strata are broadcast to the rows; z of wide rows need no shuffle."""
+    from foliometry.operators import profiles, quantiles, statistics
+
+    most, quantiles.MOST = quantiles.MOST, 50
+    try:
+        pages = spark.range(3000).select(F.col("id").alias("paper"), F.lit(1).alias("page"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("role"), (F.col("id") * 7 % 1000).cast("double").alias("x"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).cast("double").alias("y"))
+        long = pages.unpivot(["paper", "page", "role"], ["x", "y"], "dim", "value").where("value is not null")
+        block = profiles.robust_block(long, ["role"])
+        for df in (profiles.page_losses(long, block, ["role"]), statistics.wide_z(pages, block, ["role"], ["x", "y"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        z = {r["paper"]: (r["x"], r["y"]) for r in statistics.wide_z(pages, block, ["role"], ["x", "y"]).collect()}
+        want = {}
+        for r in long.join(block, ["role", "dim"]).collect():
+            want.setdefault(r["paper"], {})[r["dim"]] = max(-4.0, min(4.0, (r["value"] - r["center"]) / r["scale"]))
+        assert z == {p: (m["x"], m["y"]) for p, m in want.items() if len(m) == 2}
+    finally:
+        quantiles.MOST = most
