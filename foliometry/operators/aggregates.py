@@ -104,10 +104,10 @@ def coverage(df: DataFrame, keys: list[str], value: str = "value", eps: float =
 
 
 def band_hits(df: DataFrame, bands: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Shares below, inside and above a band (columns lo, hi of a small table with the same keys)."""
+    """Shares below, inside and above a band (columns lo, hi of a small table with the same keys), which is broadcast: no row is dealt by key."""
     v = F.col(value)
     share = lambda c: r6(F.avg(F.when(c, 1.0).otherwise(0.0)))
-    return df.join(bands, keys).groupBy(*keys).agg(F.count(value).alias("n"), share(v < F.col("lo")).alias("below"), share((v >= F.col("lo")) & (v <= F.col("hi"))).alias("inside"), share(v > F.col("hi")).alias("above"))
+    return df.join(F.broadcast(bands), keys).groupBy(*keys).agg(F.count(value).alias("n"), share(v < F.col("lo")).alias("below"), share((v >= F.col("lo")) & (v <= F.col("hi"))).alias("inside"), share(v > F.col("hi")).alias("above"))
 
 
 def category_shares(df: DataFrame, group: list[str], category: str, count: str) -> DataFrame:

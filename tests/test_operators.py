@@ -279,3 +279,10 @@ def test_rows_are_not_dealt_by_stratum(spark):
         assert z == {p: (m["x"], m["y"]) for p, m in want.items() if len(m) == 2}
     finally:
         quantiles.MOST = most
+
+
+def test_bands_are_broadcast(spark):
+    long = spark.range(100).select(F.when(F.col("id") >= 0, "x").alias("dim"), F.col("id").cast("double").alias("value"))
+    got = aggregates.band_hits(long, spark.createDataFrame([("x", 9.5, 19.5)], "dim string, lo double, hi double"), ["dim"])
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("x", 100, 0.1, 0.1, 0.8)]
