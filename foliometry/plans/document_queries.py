@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliometry.functions.scalar import r6
+from foliometry.functions.scalar import nearest6, r6
 from foliometry.operators import documents, profiles
 from foliometry.operators.lineage import cut, folder
 from foliometry.plans.profile_queries import BLOCK, LOSS, WEIGHTS
@@ -120,4 +120,4 @@ def incremental_scoring(t: Tables) -> DataFrame:
     for lot in (0, 1):
         rows.where(F.col("paper") % 2 == lot).write.mode("append").parquet(f"{path}/in")
         score_arrivals(t.spark, f"{path}/in", rows.schema, block, f"{path}/out", f"{path}/state").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select("paper", "page", "dim", r6("loss").alias("loss"))
+    return t.spark.read.parquet(f"{path}/out").select("paper", "page", "dim", nearest6("loss").alias("loss"))
