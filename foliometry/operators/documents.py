@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foliometry.functions.scalar import band_loss, robust_z
 from foliometry.operators.aggregates import ranks_of
 from foliometry.operators.lineage import cut
-from foliometry.operators.quantiles import percentiles
+from foliometry.operators.quantiles import Parts, percentiles
 from foliometry.operators.sampling import scrambled
 from foliometry.operators.statistics import chi2_tail, shrunk_correlation
 
@@ -57,9 +57,14 @@ class Profile:
     weights: dict[str, float] = field(default_factory=dict)
 
 
+def _strata() -> list[Column]:
+    """A page's level (its place) and stratum, for each level."""
+    return [F.struct(F.lit(i).alias("level"), F.concat_ws("|", F.lit(name), *keys).alias("stratum")) for i, (name, keys) in enumerate(LEVELS)]
+
+
 def members(pages: DataFrame, dims: list[str]) -> DataFrame:
     """A row for each page and level: PAGE, level (its place), stratum, x."""
-    named = F.array(*[F.struct(F.lit(i).alias("level"), F.concat_ws("|", F.lit(name), *keys).alias("stratum")) for i, (name, keys) in enumerate(LEVELS)])
+    named = F.array(*_strata())
     x = F.array(*[F.col(d).cast("double") for d in dims])
     return pages.select(*PAGE, x.alias("x"), F.explode(named).alias("s")).select(*PAGE, "s.level", "s.stratum", "x")
 
@@ -80,7 +85,10 @@ def measured(rows: DataFrame, n: int) -> DataFrame:
 def with_distance(rows: DataFrame, inverses: DataFrame, n: int) -> DataFrame:
     """rows with d2, k (measures used) and p; null where no measure is there."""
     z = lambda i: F.coalesce(F.get("z", i), F.lit(0.0))
-    form = F.aggregate(F.sequence(F.lit(0), F.lit(n * n - 1)), F.lit(0.0), lambda s, e: s + z(F.floor(e / n).cast("int")) * z(e % n) * F.get("inverse", e))
+    if n <= 8:  # written out, Spark compiles it
+        form = sum((z(F.lit(e // n)) * z(F.lit(e % n)) * F.get("inverse", F.lit(e)) for e in range(n * n)), F.lit(0.0))
+    else:
+        form = F.aggregate(F.sequence(F.lit(0), F.lit(n * n - 1)), F.lit(0.0), lambda s, e: s + z(F.floor(e / n).cast("int")) * z(e % n) * F.get("inverse", e))
     rows = rows.join(inverses, ["stratum", "pattern"], "left").withColumn("d2", F.greatest(F.lit(0.0), F.when(F.col("pattern") > 0, form))).drop("inverse")
     rows = rows.withColumn("d2", F.when(F.col("pattern") > 0, F.col("d2"))).withColumn("k", F.bit_count("pattern"))
     return rows.withColumn("p", F.when(F.col("d2") <= 0, 1.0).otherwise(chi2_upper(F.col("d2"), F.col("k"), n)))
@@ -117,10 +125,19 @@ def pattern_inverses(correlation: DataFrame, patterns: DataFrame, dims: list[str
 
 
 def fit(pages: DataFrame, dims: list[str], least_papers: int = MEDIUM, weights: dict[str, float] | None = None) -> Profile:
-    """The profile of these pages, and reference values of the strata's own pages."""
-    n, rows = len(dims), cut(members(pages, dims))
-    long = rows.select("stratum", F.posexplode("x").alias("dim", "value")).where("value is not null")
-    q = percentiles(long, ["stratum", "dim"], (0.1, 0.25, 0.5, 0.75, 0.9))
+    """The profile of these pages, and reference values of the strata's own pages.
+
+    Pages are read several times, so a table that is dear to make is written first; their copies by level are never written.
+    """
+    n, rows = len(dims), members(pages, dims)
+    base, keys = ["venue", "role", "layout", "dim"], ["stratum", "dim"]
+    long = pages.select("venue", "role", "layout", F.posexplode(F.array(*[F.col(d).cast("double") for d in dims])).alias("dim", "value")).where("value is not null")
+
+    def deal(parts: DataFrame) -> DataFrame:
+        rest = [c for c in parts.columns if c not in base]
+        return parts.select("dim", *rest, F.explode(F.array(*_strata())).alias("s")).select("s.stratum", "dim", *rest)
+
+    q = percentiles(long, keys, (0.1, 0.25, 0.5, 0.75, 0.9), parts=Parts(keys, base, ["dim"], deal))
     p10, p25, p50, p75, p90 = (F.col("p")[i] for i in range(5))
     iqr, wide = p75 - p25, p90 - p10
     thin = iqr < 0.1 * wide
@@ -130,13 +147,13 @@ def fit(pages: DataFrame, dims: list[str], least_papers: int = MEDIUM, weights:
     arrays = [_each(n, lambda i, c=c: F.try_element_at("m", F.lit(i))[c]).alias(c) for c in ("center", "scale", "lo", "hi")]
     papers = rows.groupBy("stratum", "paper").agg(F.count("*").alias("c")).groupBy("stratum").agg(F.count("*").alias("n_papers"), F.sum("c").alias("n_pages"))
     strata = cut(block.select("stratum", *arrays).join(papers, "stratum").withColumn("usable", F.col("n_papers") >= least_papers))
-    z = cut(measured(rows.join(strata, "stratum"), n))
+    z = measured(rows.join(F.broadcast(strata), "stratum"), n)
     complete = z.where(F.col("pattern") == (1 << n) - 1).select("stratum", *[F.get("z", F.lit(i)).alias(d) for i, d in enumerate(dims)])
     patterns = z.select("stratum", "pattern").where("pattern > 0").distinct()
     inverses = cut(pattern_inverses(shrunk_correlation(complete, ["stratum"], dims), patterns, dims))
-    own = cut(with_distance(z.select("stratum", "z", "loss", "pattern"), inverses, n))
+    own = with_distance(z.select("stratum", "z", "pattern"), F.broadcast(inverses), n).select("stratum", "d2")
     refs = percentiles(own.where("d2 is not null"), ["stratum"], (0.9,), "d2").select("stratum", F.col("p")[0].alias("d2_ref"))
-    losses = own.select("stratum", F.posexplode("loss").alias("dim", "value")).where("value is not null")
+    losses = z.select("stratum", F.posexplode("loss").alias("dim", "value")).where("value is not null")
     loss_refs = percentiles(losses, ["stratum", "dim"], (0.9,)).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("p")[0]))).alias("r"))
     strata = strata.join(refs, "stratum", "left").join(loss_refs, "stratum", "left")
     return Profile(dims, cut(strata.withColumn("loss_ref", _each(n, lambda i: F.try_element_at("r", F.lit(i)))).drop("r")), inverses, weights or {})

@@ -28,10 +28,12 @@ def pages(t: Tables) -> DataFrame:
     return cut(t.pages.withColumn("discount", F.nullif("discount", F.lit(0.0))).withColumn("tax", F.nullif("tax", F.lit(0.0))))
 
 
-def scored(t: Tables) -> tuple[documents.Profile, DataFrame]:
+def scored(t: Tables, tails: bool = True) -> tuple[documents.Profile, DataFrame]:
+    """The profile of all pages and their scores, without the chi-square tail where it is not read."""
     rows = pages(t)
     profile = documents.fit(rows, DIMS, LEAST, WEIGHTS)
-    return profile, cut(documents.page_scores(rows, profile))
+    scores = documents.page_scores(rows, profile)
+    return profile, cut(scores if tails else scores.drop("p"))
 
 
 @query("pattern_inverse")
@@ -56,20 +58,20 @@ def document_reports(t: Tables) -> DataFrame:
 @query("injection_trials")
 def injection_trials(t: Tables) -> DataFrame:
     """One page of each sampled paper degraded measure by measure: does the document's score rise, and is the page found."""
-    profile, scores = scored(t)
+    profile, scores = scored(t, tails=False)
     return documents.injection_trials(scores, profile, UNIT, NON_NEGATIVE).select("paper", "page", "dim", "sign", "monotone", "strict", F.round("delta", 5).alias("delta"), "rank", "localized")
 
 
 @query("ablation_trials")
 def ablation_trials(t: Tables) -> DataFrame:
-    profile, scores = scored(t)
+    profile, scores = scored(t, tails=False)
     return documents.ablation_trials(scores, profile, UNIT, NON_NEGATIVE).select("paper", "page", "dim", "sign", "alpha", "measure", r6("before").alias("before"), r6("delta").alias("delta"))
 
 
 @query("signal_noise_weights")
 def trial_weights(t: Tables) -> DataFrame:
     """Weights from trials: signal of the changed measure over the noise of the others."""
-    profile, scores = scored(t)
+    profile, scores = scored(t, tails=False)
     trials = cut(documents.ablation_trials(scores, profile, UNIT, NON_NEGATIVE))
     return documents.trial_weights(trials, DIMS).select("dim", r6("signal").alias("signal"), r6("noise").alias("noise"), "weight")
 
@@ -77,7 +79,7 @@ def trial_weights(t: Tables) -> DataFrame:
 @query("weights_bootstrap")
 def weights_bootstrap(t: Tables) -> DataFrame:
     """Interval of each weight over resampled papers."""
-    profile, scores = scored(t)
+    profile, scores = scored(t, tails=False)
     trials = cut(documents.ablation_trials(scores, profile, UNIT, NON_NEGATIVE))
     return documents.weights_bootstrap(trials, DIMS)
 
@@ -106,8 +108,9 @@ def scan_page_docs(t: Tables) -> DataFrame:
 def sink_profile(t: Tables) -> DataFrame:
     """The profile written as a table by level, replaced as a whole, and read back."""
     path = f"{folder(t.spark)}/profile-{uuid.uuid4().hex}"
+    profile = cut(profiles.profile_levels(t.long))
     for _ in range(2):
-        scans.write_profile(profiles.profile_levels(t.kept), path)
+        scans.write_profile(profile, path)
     return t.spark.read.parquet(path)
 
 
