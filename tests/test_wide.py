@@ -44,3 +44,11 @@ def test_wide_rows_that_are_not_finite_equal_the_long_form(spark, monkeypatch):
     one = quantiles.wide_percentiles(df, ["role"], list("abcd"), (0.5,)).select("role", "dim", "n", F.col("p").cast("string").alias("p"))
     two = quantiles.percentiles(to_long(df, ["role"], list("abcd")), ["role", "dim"], (0.5,)).select("role", "dim", "n", F.col("p").cast("string").alias("p"))
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_rollup_takes_wide_rows_and_null_roles(spark):
+    from foliometry.operators import profiles
+
+    df = spark.createDataFrame([(1, "A", 1.0, None), (1, "A", 2.0, None), (1, None, 6.0, 4.0), (2, "B", None, None)], "paper long, role string, a double, b double")
+    got = {(r.paper, r.role, r.dim): (r.n, r.median, r["mean"], r.max, r.p90) for r in profiles.rollup(df, ["a", "b"]).collect()}
+    assert got == {(1, "A", "a"): (2, 1.5, 1.5, 2.0, 1.9), (1, None, "a"): (1, 6.0, 6.0, 6.0, 6.0), (1, None, "b"): (1, 4.0, 4.0, 4.0, 4.0), (1, "all", "a"): (3, 2.0, 3.0, 6.0, 5.2), (1, "all", "b"): (1, 4.0, 4.0, 4.0, 4.0)}
