@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.scalar import corr, r6
 from foliometry.operators.lineage import cut
-from foliometry.operators.quantiles import percentiles
+from foliometry.operators.quantiles import wide_percentiles
 
 #: The share of the most frequent value at which a measure is no use, and the least spread.
 MOST_MODE, LEAST_WIDTH = 0.5, 1e-9
@@ -56,10 +56,9 @@ def validity(wide: DataFrame, keys: list[str], dims: list[str], least_pages: int
     pages = cut(wide.select(*keys, *dims))
     kept = complete_dims(cut(patterns(pages, keys, dims)), keys, dims, least_pages)
     kept = cut(kept.select(*keys, "complete", F.explode("dims").alias("dim")))
-    values = pages.unpivot(keys, dims, "dim", "value").where("value is not null").groupBy(*keys, "dim", "value").agg(F.count("*").alias("c"))
-    values = cut(values.join(kept.select(*keys, "dim"), [*keys, "dim"], "left_semi"))
-    shown = F.when(F.col("dim").isin(*heavy) & (F.col("value") > -1), F.log1p("value")).otherwise(F.col("value"))
-    wide_ = percentiles(values.withColumn("value", shown), [*keys, "dim"], (0.1, 0.9), count="c").select(*keys, "dim", (F.col("p")[1] - F.col("p")[0]).alias("width"))
+    values = pages.unpivot(keys, dims, "dim", "value").where("value is not null").join(kept.select(*keys, "dim"), [*keys, "dim"], "left_semi").groupBy(*keys, "dim", "value").agg(F.count("*").alias("c"))
+    shown = [(F.when(F.col(d) > -1, F.log1p(d)).otherwise(F.col(d)) if d in heavy else F.col(d)).alias(d) for d in dims]
+    wide_ = wide_percentiles(pages.select(*keys, *shown), keys, dims, (0.1, 0.9)).select(*keys, "dim", (F.col("p")[1] - F.col("p")[0]).alias("width"))
     modes = values.groupBy(*keys, "dim").agg(F.sum("c").alias("n"), (F.max("c") / F.sum("c")).alias("mode_share"))
     out = kept.join(modes, [*keys, "dim"]).join(wide_, [*keys, "dim"])
     note = F.when(F.col("mode_share") >= MOST_MODE, "mode").when(F.col("width") <= LEAST_WIDTH, "constant")
