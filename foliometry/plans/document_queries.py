@@ -32,8 +32,7 @@ def scored(t: Tables, tails: bool = True) -> tuple[documents.Profile, DataFrame]
     """The profile of all pages and their scores, without the chi-square tail where it is not read."""
     rows = pages(t)
     profile = documents.fit(rows, DIMS, LEAST, WEIGHTS)
-    scores = documents.page_scores(rows, profile)
-    return profile, cut(scores if tails else scores.drop("p"))
+    return profile, cut(documents.page_scores(rows, profile, tails))
 
 
 @query("pattern_inverse")
@@ -57,13 +56,14 @@ def document_reports(t: Tables) -> DataFrame:
 
 @query("injection_trials")
 def injection_trials(t: Tables) -> DataFrame:
-    """One page of each sampled paper degraded measure by measure: does the document's score rise, and is the page found."""
+    """One page of each paper degraded measure by measure: does the document's score rise, and is the page found."""
     profile, scores = scored(t, tails=False)
     return documents.injection_trials(scores, profile, UNIT, NON_NEGATIVE).select("paper", "page", "dim", "sign", "monotone", "strict", F.round("delta", 5).alias("delta"), "rank", "localized")
 
 
 @query("ablation_trials")
 def ablation_trials(t: Tables) -> DataFrame:
+    """One page of each paper with each of its measures changed: what the paper's pooled losses were, and by how much they rise."""
     profile, scores = scored(t, tails=False)
     return documents.ablation_trials(scores, profile, UNIT, NON_NEGATIVE).select("paper", "page", "dim", "sign", "alpha", "measure", r6("before").alias("before"), r6("delta").alias("delta"))
 
