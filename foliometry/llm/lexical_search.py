@@ -4,7 +4,7 @@
    one row: documents with their lengths, terms with their numbers of documents, and postings in compressed blocks of BLOCK
    (gaps and occurrences in as few bytes as the block needs). Each block carries its last document, its most occurrences and
    its shortest length, so that its best possible score follows under any corpus statistics: shards can be added later.
-   There is no shuffle; the table of shards is in the shared scratch folder.
+   There is no shuffle; the table of shards is in the shared scratch folder, some shards a row group, so a task holds few at a time.
 2. search(): numbers of the corpus and of the queries' terms are sums over the shards (only those columns are read). Each
    task keeps the best of each query over the shards that it has seen, so what a later shard must reach rises.
    In a shard, terms are ordered by their bound over the whole list. The lists whose bounds together stay below what must be
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliometry.llm.common import mark, materialize, release, slices, texts_of
+from foliometry.llm.common import LARGE_ROWS, mark, materialize, release, slices, texts_of
 from foliometry.llm.gather import bounds_of, spread
 
 #: Postings of a block, and postings or documents at which a shard is closed.
@@ -93,7 +93,7 @@ class Builder:
         code = np.fromiter((self.codes[w] for k in held for w in words[k]), np.int64, int(sizes.sum()))
         key = np.repeat(np.arange(len(held)), sizes) << 32 | code
         key, times = np.unique(key, return_counts=True)
-        self.found.append((key & 0xFFFFFFFF, (key >> 32) + len(self.doc_ids), times))
+        self.found.append(((key & 0xFFFFFFFF).astype(np.int32), ((key >> 32) + len(self.doc_ids)).astype(np.int32), times.astype(np.int32)))
         self.doc_ids += [doc_ids[k] for k in held]
         self.sizes.append(sizes)
         self.postings += len(key)
@@ -104,21 +104,24 @@ class Builder:
 
     def row(self) -> dict[str, Any]:
         term, doc, times = (np.concatenate([x[k] for x in self.found]) for k in range(3))
+        self.found = []
         order = np.argsort(term, kind="stable")  # documents come in order already
-        term, doc, times = term[order], doc[order], times[order]
+        doc, times, docs_of = doc[order], times[order], np.bincount(term, minlength=len(self.codes))
+        del term, order
         sizes = np.concatenate(self.sizes)
-        docs_of = np.bincount(term, minlength=len(self.codes))
         blocks = -(-docs_of // BLOCK)
         per_list = spread(np.zeros(len(blocks), np.int64), blocks)  # each block's number within its list
         starts = np.repeat(np.cumsum(docs_of) - docs_of, blocks) + per_list * BLOCK
-        ends = np.append(starts[1:], len(term))
-        first = np.zeros(len(term), bool)
+        ends = np.append(starts[1:], len(doc))
+        first = np.zeros(len(doc), bool)
         first[starts[per_list == 0]] = True
-        gaps = doc - np.where(first, -1, np.concatenate([[-1], doc[:-1]]))
+        gaps = doc.copy()
+        gaps[1:] -= doc[:-1]
+        gaps[first] = doc[first] + 1
         gap_width, times_width = _width(np.maximum.reduceat(gaps, starts)), _width(np.maximum.reduceat(times, starts))
         per_posting = ends - starts
         both = np.stack([gaps, times], axis=1).reshape(-1)
-        widths = np.stack([np.repeat(gap_width, per_posting), np.repeat(times_width, per_posting)], axis=1).reshape(-1)
+        widths = np.stack([np.repeat(w.astype(np.uint8), per_posting) for w in (gap_width, times_width)], axis=1).reshape(-1)
         return {
             "n_docs": len(sizes), "n_terms": int(sizes.sum()), "doc_ids": self.doc_ids, "sizes": sizes, "terms": [t.decode() for t in self.codes], "docs_of": docs_of, "blocks": blocks, "last": doc[ends - 1],
             "most": np.maximum.reduceat(times, starts), "shortest": np.minimum.reduceat(sizes[doc], starts), "widths": gap_width << 4 | times_width,
@@ -257,7 +260,7 @@ def _search(wanted: list[str], queries: list[list[tuple[int, int]]], n_docs: int
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_postings: int = SHARD_POSTINGS) -> DataFrame:
     """The table of shards of docs, one row a shard."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(rows.mapInArrow(_build(most_postings), SHARDS), "shards")
+    return materialize(rows.mapInArrow(_build(most_postings), SHARDS), "shards", LARGE_ROWS)
 
 
 def _some(shards: DataFrame, items: DataFrame, k: int, n_docs: int, n_terms: int) -> DataFrame:
