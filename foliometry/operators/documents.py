@@ -8,6 +8,7 @@ that Spark joins; numpy inverts one small matrix for each (stratum, pattern).
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -564,16 +565,18 @@ def false_positives(pages: DataFrame, dims: list[str], fold: str, folds: int, le
     chi2: the tail is below ANOMALY; p95, p96, p97: the distance is above that quantile of the role's training pages, where
     there are at least least_train of them; top_dim: the measure that is most often the worst of a page called so by chi2.
     """
-    parts = []
-    for k in range(folds):  # a profile for each fold
+
+    def tested(k: int) -> DataFrame:
         train, test = (pages.where(c) for c in (F.col(fold) != k, F.col(fold) == k))
         profile = fit(train, dims, least_papers)
         own = cut(page_scores(train, profile, tails=False).where("d2 is not null").select("role", "d2"))
         limits = percentiles(own, ["role"], (0.95, 0.96, 0.97), "d2").where(F.col("n") >= least_train).select("role", "p")
         worst = F.array_max(F.filter(F.arrays_zip(F.col("norm").alias("v"), F.array(*map(F.lit, dims)).alias("d")), lambda x: x["v"].isNotNull()))["d"]
         rows = page_scores(test, profile).where("d2 is not null").select("role", "d2", F.col("p").alias("tail"), worst.alias("worst"))
-        parts.append(cut(rows.join(limits, "role", "left")))
-    rows = reduce(DataFrame.unionByName, parts)
+        return cut(rows.join(limits, "role", "left"))
+
+    with ThreadPoolExecutor(folds) as pool:  # a profile for each fold; their short jobs fill each other's gaps
+        rows = reduce(DataFrame.unionByName, pool.map(tested, range(folds)))
     over = [F.avg(F.when(F.col("p").isNotNull(), (F.col("d2") > F.col("p")[i]).cast("double"))).alias(c) for i, c in enumerate(("p95", "p96", "p97"))]
     rates = [F.count("*").alias("n"), F.avg((F.col("tail") < ANOMALY).cast("double")).alias("chi2"), *over, F.mode(F.when(F.col("tail") < ANOMALY, F.col("worst")), True).alias("top_dim")]
     return rows.groupBy("role").agg(*rates).unionByName(rows.agg(*rates).withColumn("role", F.lit(None).cast("string")))
